@@ -91,11 +91,14 @@ def tagged_answer(text: Column) -> Column:
 
 def phrased_answer(text: Column) -> Column:
     """Answer announced in a phrase, else labelled, else ending the text."""
+    # Cheap and necessary: what is left of trailing spaces and stops is a digit.
+    end = F.right(F.rtrim(text, F.lit("." + SPACES)), F.lit(1))
+    ends_in_digit = F.rlike(end, F.lit(r"\p{Nd}"))
     return _without_commas(
         F.coalesce(
             _last_match(text, ANNOUNCED, 1),
             _last_match(text, LABELLED, 1),
-            _last_match(text, TRAILING, 1),
+            F.when(ends_in_digit, _last_match(text, TRAILING, 1)),
         )
     )
 

@@ -66,13 +66,13 @@ def _numeric(reference: Column) -> Column:
 
 
 def _named(reference: Column) -> Column:
-    names = _lookup(html5)
-    whole = F.element_at(names, F.substr(reference, F.lit(2)))
+    whole = F.element_at(_lookup(html5), F.substr(reference, F.lit(2)))
     prefix = F.regexp_extract(reference, _BARE_PREFIX, 1)
     shortened = F.when(
         prefix != "",
         F.concat(
-            F.element_at(names, prefix), F.substr(reference, F.length(prefix) + F.lit(2))
+            F.element_at(_lookup({name: html5[name] for name in _BARE}), prefix),
+            F.substr(reference, F.length(prefix) + F.lit(2)),
         ),
     )
     return F.coalesce(whole, shortened, reference)

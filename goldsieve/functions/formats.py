@@ -32,17 +32,15 @@ _WIDE_SPACES = r"\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{300
 _SPACE_SET = r"\x09-\x0D\x1C-\x20\x85\xA0" + _WIDE_SPACES
 SPACE = f"[{_SPACE_SET}]"
 NOT_SPACE = f"[^{_SPACE_SET}]"
-# White space other than LF.
-LINE_SPACE = r"[\x09\x0B-\x0D\x1C-\x20\x85\xA0" + _WIDE_SPACES + "]"
 
 # A number token and the phrases that announce an answer.
 NUMBER = r"[-+]?\p{Nd}+(?:,\p{Nd}{3})*(?:\.\p{Nd}+)?"
 ANNOUNCED = rf"[Tt]he answer is[:{_SPACE_SET}]*({NUMBER})"
 LABELLED = rf"[Aa]nswer[:{_SPACE_SET}]*({NUMBER})"
 # A number that ends the text, with an optional full stop.  Starting inside a
-# run of digits can never be the leftmost match, so the look-behind only saves
-# the retries that would make long digit runs quadratic.
+# run of digits can never be the leftmost match: the look-behind only saves the
+# retries that would make long digit runs quadratic.
 TRAILING = (
-    r"((?:[-+]|(?<!\p{Nd}))\p{Nd}++(?:,\p{Nd}{3})*+(?:\.\p{Nd}++)?+)"
+    r"(?=[-+\p{Nd}])((?:[-+]|(?<!\p{Nd}))\p{Nd}++(?:,\p{Nd}{3})*+(?:\.\p{Nd}++)?+)"
     rf"{SPACE}*+\.?(?=\n?\z)"
 )

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from goldsieve.functions.entities import unescape
-from goldsieve.functions.formats import FENCE, LINE_SPACE, SPACE, SPACES
+from goldsieve.functions.formats import FENCE, SPACE, SPACES
 
 
 def _col(value: Column | str) -> Column:
@@ -32,12 +32,10 @@ def normalize_text(value: Column | str) -> Column:
     return strip(F.translate(lines, "\r\N{NO-BREAK SPACE}\N{THIN SPACE}", "\n  "))
 
 
-# White space before a fence goes with it, back to the first line start in that
-# run.  Each run is tried once, from its beginning (or from where the previous
-# fence line ended), which keeps long runs of blank lines linear.
-_FENCE_LINE = (
-    rf"(?:\A|(?:(?<!{SPACE})|\G)({LINE_SPACE}*+\n)){SPACE}*+{FENCE}[^\n]*"
-)
+# A fence line goes with the white space above it.  White space at a line start
+# that leads to no fence is matched too and put back ($1), so that a long run of
+# blank lines is gone through once, not once per line.
+_FENCE_LINE = rf"(?md)^(?:{SPACE}*+{FENCE}[^\n]*|({SPACE}++))"
 
 
 def drop_fences(value: Column | str) -> Column:

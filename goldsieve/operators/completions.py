@@ -39,14 +39,21 @@ def attach_completions(
     prompts, which would multiply rows.  Each is computed only if it is used.
     ``how="left"`` keeps prompts without a completion in ``rows``.
     """
+    if how not in ("inner", "left"):
+        raise ValueError("how must be 'inner' or 'left'")
     keys = list(on)
     answered = completions.select(*keys).distinct()
     asked = prompts.select(*keys).distinct()
+    outstanding = prompts.join(answered, keys, "left_anti")
+    rows = completions.join(prompts, keys)
+    if how == "left":
+        # One problem may own many completions.  The adaptive join can split
+        # such a partition in an inner join, but not on the side that an outer
+        # join fills with nulls.
+        rows = rows.unionByName(outstanding, allowMissingColumns=True)
     return Attached(
-        # Completions on the left: one problem may own many of them, and the
-        # adaptive join can split a heavy partition on that side.
-        rows=completions.join(prompts, keys, {"left": "right"}.get(how, how)),
-        outstanding=prompts.join(answered, keys, "left_anti"),
+        rows=rows,
+        outstanding=outstanding,
         orphans=completions.join(asked, keys, "left_anti"),
         repeated=prompts.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"),
     )

@@ -28,6 +28,8 @@ def with_row_no(
 
     The rows are range partitioned and sorted once and written down with their
     place in the partition; the only further work is one count per partition.
+    ``df`` runs twice, as its range boundaries come from a sample: hand over a
+    ``written`` table if it is costly.
     ``order_by`` should be unique: rows that tie are numbered in any order, and
     land in one task.  ``spread_ties`` splits them over tasks by input
     position; use it only on rows that come straight from files, whose position

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldsieve import schemas
-from goldsieve.durable import new_folder
+from goldsieve.durable import new_folder, written
 from goldsieve.functions.text import clean_completion, normalize_text
 from goldsieve.operators.completions import attach_completions, fan_out
 from goldsieve.operators.extraction import extract_phrased, extract_tagged
@@ -176,7 +176,8 @@ def evaluation_batches(spark: SparkSession, folder: str) -> DataFrame:
 def curation_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Success per batch of consecutive completions, with running totals."""
     judged = _judged(spark, folder).select("problem_id", "sample_no", "kept")
-    return batch_report(with_row_no(judged, ["problem_id", "sample_no"]), BATCH)
+    numbered = with_row_no(written(judged, "judged"), ["problem_id", "sample_no"])
+    return batch_report(numbered, BATCH)
 
 
 def curation_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -266,7 +267,8 @@ def repeated_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def training_messages(spark: SparkSession, folder: str) -> DataFrame:
-    rows = training_set(curate_kept_records(spark, folder), packs_table(spark), "surreal")
+    kept = written(curate_kept_records(spark, folder), "kept")
+    rows = training_set(kept, packs_table(spark), "surreal")
     return rows.select("id", "is_validation", "prompt")
 
 

@@ -27,7 +27,9 @@ def curate_stream(
 
     Each micro-batch fills its own ``batch_id=`` folder under ``sink``, which a
     replay overwrites, so nothing is written twice.  Rows lie apart by verdict:
-    kept rows and each kind of reject come out of a single pass.
+    kept rows and each kind of reject come out of a single pass.  The problem
+    table is read for every micro-batch; the larger it is, the larger those
+    should be.
     """
     graded = judge(completions, prompts).withColumn(
         _VERDICT, F.coalesce("reject_reason", F.lit(_KEPT))
@@ -50,7 +52,7 @@ def curate_stream(
 
 
 def _verdicts(spark: SparkSession, sink: str) -> DataFrame:
-    return spark.read.option("basePath", sink).parquet(f"{sink}/batch_id=*")
+    return spark.read.parquet(sink)
 
 
 def streamed_kept(spark: SparkSession, sink: str, split: str = "train") -> DataFrame:
