@@ -76,5 +76,12 @@ def write_results(
 
 
 def write_training_set(rows: DataFrame, path: str) -> None:
-    """Parquet, apart by ``is_validation``."""
-    rows.write.mode("overwrite").partitionBy("is_validation").parquet(path)
+    """Parquet under ``subset=train`` and ``subset=validation``."""
+    side = F.when(F.col("is_validation"), "validation").otherwise("train")
+    (
+        rows.withColumn("subset", side)
+        .drop("is_validation")
+        .write.mode("overwrite")
+        .partitionBy("subset")
+        .parquet(path)
+    )
