@@ -78,15 +78,13 @@ def tagged_answer(text: Column) -> Column:
     """Answer of a completion read up to its first closing answer tag.
 
     The tag body if there is one (it may be empty), else the last number, else
-    null.  The cut leaves at most one closing tag, so the body lies between the
-    first opening tag and that one.
+    null.  Before the first closing tag there is no other one, so the body is
+    all that follows the first opening tag there.
     """
-    opened, closed = F.locate(ANSWER_OPEN, text), F.locate(ANSWER_CLOSE, text)
-    start = opened + F.lit(len(ANSWER_OPEN))
-    body = F.substr(text, start, closed - start)
-    return F.when((opened > 0) & (opened < closed), normalize_vote(body)).otherwise(
-        normalize_vote(_last_match(cut_at_answer(text), NUMBER, 0))
-    )
+    head = F.substring_index(text, ANSWER_CLOSE, 1)
+    body = F.substr(head, F.locate(ANSWER_OPEN, head) + F.lit(len(ANSWER_OPEN)))
+    tagged = F.contains(text, F.lit(ANSWER_CLOSE)) & F.contains(head, F.lit(ANSWER_OPEN))
+    return normalize_vote(F.when(tagged, body).otherwise(_last_match(head, NUMBER, 0)))
 
 
 def phrased_answer(text: Column) -> Column:

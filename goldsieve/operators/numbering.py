@@ -85,7 +85,8 @@ def running_total(df: DataFrame, order: str, totals: dict[str, Column | str]) ->
     inside = Window.partitionBy("_chunk").orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    return chunked.join(F.broadcast(before), "_chunk").select(
+    # No broadcast hint: this side grows, if slowly, so its size decides.
+    return chunked.join(before, "_chunk").select(
         *df.columns,
         *(
             (F.col(f"_before_{name}") + total.over(inside)).alias(name)

@@ -46,7 +46,8 @@ def vote_tagged(df: DataFrame) -> DataFrame:
     """Winning tagged answer and the first whole text that gave it.
 
     Only answers travel through the vote.  The text is fetched afterwards by
-    problem and sample number, a key no problem can make heavy.
+    problem and sample number, a key no problem can make heavy.  That key must
+    be unique, and ``df`` runs twice, so it should be a table.
     """
     answers = extract_tagged(df).select("problem_id", "sample_no", "answer")
     texts = df.select("problem_id", "sample_no", "text")

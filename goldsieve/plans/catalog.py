@@ -267,11 +267,19 @@ def repeated_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def training_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Kept completions as targets."""
     kept = written(curate_kept_records(spark, folder), "kept")
-    rows = training_set(kept, packs_table(spark), "surreal")
+    rows = training_set(template_kept(kept, carry=["id"]), packs_table(spark), "surreal")
     return rows.select("id", "is_validation", "prompt")
 
 
+def plain_training_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """The problems' own solutions as targets."""
+    templates = template_problems(derived_problems(spark, folder), carry=["problem_id"]).rows
+    rows = training_set(templates, packs_table(spark), "default", key="problem_id")
+    return rows.select("problem_id", "is_validation", "prompt")
+
+
 def document_numbers(spark: SparkSession, folder: str) -> DataFrame:
     """Both answer extractors on whole documents."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
@@ -382,6 +390,7 @@ QUERIES: dict[str, Query] = {
         orphan_completions,
         repeated_keys,
         training_messages,
+        plain_training_messages,
         document_numbers,
         document_lengths,
         normalized_documents,

@@ -386,6 +386,11 @@ FROM lineitem GROUP BY ALL HAVING count(*) > 1""",
 SELECT id, h <= (SELECT h FROM cut) AS is_validation,
        {_prompt("solve", "surreal", _user("solve", "surreal", question="question"),
                 _turn("assistant", "assistant_answer"))} AS prompt
+FROM hashed""",
+    "plain_training_messages": f"""WITH {_TEMPLATES}{_holdout("templates", "problem_id")}
+SELECT problem_id, h <= (SELECT h FROM cut) AS is_validation,
+       {_prompt("solve", "default", _user("solve", "default", question="question"),
+                _turn("assistant", "assistant_target"))} AS prompt
 FROM hashed""",
     "document_numbers": f"""
 SELECT doc_id, {_tagged("text")} AS tagged, {_phrased("text")} AS phrased FROM documents""",

@@ -50,7 +50,8 @@ RESULT_RUN = _record(
     ("with_adapter", _TEXT),
 )
 
-# The boundary with the model: one row per sampled completion.
+# The boundary with the model: one row per sampled completion, unique by
+# problem_id and sample_no.
 COMPLETION = _record(
     ("problem_id", T.LongType()), ("sample_no", T.IntegerType()), ("text", _TEXT)
 )

@@ -61,14 +61,17 @@ def read_results(spark: SparkSession, path: str, **run: str) -> DataFrame:
     return _json_lines(spark, path, schemas.RESULT, schemas.RESULT_RUN, run)
 
 
-def read_completions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.COMPLETION).json(path)
+def read_completions(spark: SparkSession, path: str, file_format: str = "json") -> DataFrame:
+    return spark.read.schema(schemas.COMPLETION).format(file_format).load(path)
 
 
 def completion_stream(
-    spark: SparkSession, path: str, files_per_batch: int | None = None
+    spark: SparkSession,
+    path: str,
+    files_per_batch: int | None = None,
+    file_format: str = "json",
 ) -> DataFrame:
-    stream = spark.readStream.schema(schemas.COMPLETION)
+    stream = spark.readStream.schema(schemas.COMPLETION).format(file_format)
     if files_per_batch:
         stream = stream.option("maxFilesPerTrigger", files_per_batch)
-    return stream.json(path)
+    return stream.load(path)

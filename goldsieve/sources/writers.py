@@ -14,8 +14,9 @@ from goldsieve import schemas
 
 
 def short_name(model: str) -> str:
-    """The last part of ``organisation/model``."""
-    return model.rsplit("/", 1)[-1]
+    """``model`` of ``organisation/model``."""
+    organisation, slash, rest = model.partition("/")
+    return rest.split("/")[0] if slash else organisation
 
 
 def _write_lines(

@@ -87,6 +87,11 @@ def test_tagged_answer(texts):
     assert texts(cases, answers.tagged_answer) == list(cases.values())
 
 
+def test_cut_at_answer(texts):
+    cases = {"a</answer>b</answer>": "a</answer>", "no tag": "no tag", "": ""}
+    assert texts(cases, answers.cut_at_answer) == list(cases.values())
+
+
 def test_phrased_answer(texts):
     cases = {
         "The answer is 5. The answer is 1,006. 9": "1006",

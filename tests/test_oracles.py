@@ -1,4 +1,6 @@
-"""Every registered query against its SQL twin."""
+"""Every registered query: its plan, and its rows against its SQL twin."""
+
+import re
 
 import pytest
 
@@ -17,6 +19,9 @@ def test_every_query_has_an_oracle():
 @pytest.mark.parametrize("name", sorted(driver.queries()))
 def test_matches_sql(spark, folder, duck, name):
     got = driver.queries()[name](spark, folder)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"PythonUDF|EvalPython|InPandas|InArrow", plan)
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     wanted = duck.execute(driver.oracle_sql()[name])
     names = [column[0] for column in wanted.description]
     assert sorted(got.columns) == sorted(names)

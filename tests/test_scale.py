@@ -11,7 +11,6 @@ from goldsieve.operators.numbering import with_row_no
 from goldsieve.operators.reports import batch_report
 from goldsieve.operators.selection import best_of_n
 from goldsieve.operators.voting import vote_phrased, vote_tagged
-from goldsieve.plans.catalog import QUERIES
 from goldsieve.plans.curation import judge, kept_records
 from goldsieve.plans.evaluation import evaluate
 from goldsieve.sources.derived import derived_completions, derived_problems
@@ -52,13 +51,6 @@ def _nodes(plan, name):
     return [line for line in plan.splitlines() if re.search(rf"(^|[-: +*()0-9]){name}\b", line)]
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_python_no_cross_join(spark, folder, name):
-    plan = _plan(QUERIES[name](spark, folder))
-    assert not re.search(r"PythonUDF|EvalPython|InPandas|InArrow", plan)
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-
-
 def test_single_partition_windows_see_summaries_only(inputs, spark):
     """Such a window may only sit on an aggregate, never on data rows."""
     problems, completions = inputs

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from goldsieve import schemas
+from goldsieve.operators.problems import template_kept
 from goldsieve.plans.curation import curate, judge
 from goldsieve.plans.training_set import training_set
 from goldsieve.sources.derived import derived_completions, derived_problems
@@ -26,6 +27,7 @@ def _kept(spark, *rows):
 
 def test_short_name():
     assert short_name("org/model-7b") == "model-7b" and short_name("plain") == "plain"
+    assert short_name("org/model/revision") == "model"
 
 
 def test_kept_lines_hold_the_record_unescaped(spark, tmp_path):
@@ -92,7 +94,8 @@ def test_training_set_round_trip(spark, folder, tmp_path):
     kept = curate(prompts, derived_completions(spark, folder)).kept
     write_kept(kept, str(tmp_path / "kept"), "o/t", "orders", "surreal", "train")
     again = read_kept(spark, str(tmp_path / "kept"), mode="surreal")
-    rows = training_set(again, packs_table(spark), "surreal")
+    templates = template_kept(again, carry=["id"])
+    rows = training_set(templates, packs_table(spark), "surreal")
     write_training_set(rows, str(tmp_path / "set"))
     back = spark.read.parquet(str(tmp_path / "set"))
     assert back.count() == kept.count()
