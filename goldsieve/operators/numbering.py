@@ -66,9 +66,9 @@ def running_total(df: DataFrame, order: str, totals: dict[str, Column | str]) ->
     """Add running sums over rows keyed by a dense integer ``order``.
 
     Sums run inside chunks of consecutive keys; one row per chunk carries what
-    came before it.
+    came before it.  Both passes read ``df`` from a written copy.
     """
-    chunked = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(_CHUNK)))
+    chunked = written(df, "totals").withColumn("_chunk", F.floor(F.col(order) / F.lit(_CHUNK)))
     sums = {name: F.sum(value) for name, value in totals.items()}
     by_chunk = Window.orderBy("_chunk")
     before = (
