@@ -47,7 +47,7 @@ def template_problems(df: DataFrame, carry: Sequence[str] = ()) -> Templates:
     """
     # Whether there is a marker shows in the raw text; filtering on that, not on
     # the extracted answer, keeps the extraction out of the filter.
-    marked = F.contains("answer", F.lit(GOLD_MARKER))
+    marked = F.coalesce(F.contains("answer", F.lit(GOLD_MARKER)), F.lit(False))
 
     def normalized(rows: DataFrame) -> DataFrame:
         return rows.select(

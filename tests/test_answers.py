@@ -54,11 +54,12 @@ def test_template_target(spark, solution, target):
 
 def test_template_splits_rows_and_rejects(spark):
     raw = spark.createDataFrame(
-        [(" q1\r\n", "a #### 1"), ("q2", "none")], "question string, answer string"
+        [(" q1\r\n", "a #### 1"), ("q2", "none"), ("q3", None)],
+        "question string, answer string",
     )
     rows, rejects = template_problems(raw)
     assert [tuple(r) for r in rows.collect()] == [("q1", "a\n<answer>1</answer>", "1")]
-    assert [r.reject_reason for r in rejects.collect()] == ["no_marker"]
+    assert [r.reject_reason for r in rejects.collect()] == ["no_marker", "no_marker"]
 
 
 def test_adapter_rows(spark):
