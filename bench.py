@@ -82,7 +82,7 @@ def main() -> None:
         "tagged_vote": lambda: vote_tagged(completions),
         "phrased_vote": lambda: vote_phrased(completions),
         "evaluate": lambda: evaluate(problems, completions).results,
-        "best_of_n": lambda: best_of_n(completions.join(gold, "problem_id")),
+        "best_of_n": lambda: best_of_n(completions, gold),
         "holdout": lambda: split_holdout(problems, "problem_id"),
         "batch_report": batches,
         "generation_prompts": prompts,

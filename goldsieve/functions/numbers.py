@@ -68,14 +68,27 @@ def normalize_answer(value: Column) -> Column:
     return F.replace(strip(value), F.lit(","), F.lit(""))
 
 
+def comparable(value: Column) -> Column:
+    """What a comparison needs of one answer: its text and its number, if any.
+
+    Worked out per side, so before a join, it leaves little to do after it.
+    """
+    normal = normalize_answer(value)
+    return F.struct(F.lower(normal).alias("text"), to_double(normal).alias("number"))
+
+
+def same_answer(left: Column, right: Column) -> Column:
+    """Compare two :func:`comparable` answers.
+
+    Numerically close, or, unless both are numbers, equal ignoring case.
+    """
+    return F.coalesce(is_close(left["number"], right["number"]), left["text"] == right["text"])
+
+
 def is_correct(gold: Column, predicted: Column) -> Column:
-    """Numerically close, or, unless both are numbers, equal ignoring case."""
+    """Whether an answer equals the gold, both being in the same row."""
     wanted, got = normalize_answer(gold), normalize_answer(predicted)
     # Same text is correct whatever it says, except NaN: most kept answers end
     # here, without being read as numbers.
     same = (wanted == got) & ~F.contains(F.lower(got), F.lit("nan"))
-    return F.when(same, True).otherwise(
-        F.coalesce(
-            is_close(to_double(wanted), to_double(got)), F.lower(wanted) == F.lower(got)
-        )
-    )
+    return F.when(same, True).otherwise(same_answer(comparable(gold), comparable(predicted)))

@@ -5,51 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldsieve.functions.numbers import is_correct
+from goldsieve.functions.numbers import comparable, same_answer
 from goldsieve.operators.grading import has_length
 from goldsieve.operators.parsing import parse_lenient
 
 
-def score_samples(df: DataFrame) -> DataFrame:
-    """Add ``parsed`` and ``score``; the score is null unless the sample counts.
+def best_of_n(completions: DataFrame, problems: DataFrame) -> DataFrame:
+    """One row ``problem_id, reason, answer, closing, text`` per solved problem.
+
+    ``completions``: ``problem_id, sample_no, text``; ``problems``:
+    ``problem_id, gold``.  A sample counts if it parses leniently, its reasoning
+    and its closing keep the length bounds, and it is correct.  The highest
+    ``len(reason) + 0.5 * len(closing)`` wins, the earliest sample on a tie.
 
-    Reads ``text`` and ``gold``.  A sample counts if it parses leniently, both
-    its reasoning and its closing keep the length bounds, and it is correct.
+    Whether a sample is correct depends on its answer alone, so only the best
+    sample of each distinct answer meets the gold.  That maximum is taken
+    map-side first, and a problem with very many samples sends few rows.  Maxima
+    pass over null ranks: a filter in their place would be pushed under the
+    parse and run it again.
     """
     reason, answer, closing = (
         F.col(f"parsed.{name}") for name in ("reason", "answer", "closing")
     )
-    eligible = (
-        (answer != "")
-        & has_length(reason)
-        & has_length(closing)
-        & (F.col("gold") != "")
-        & is_correct(F.col("gold"), answer)
-    )
+    well_formed = (answer != "") & has_length(reason) & has_length(closing)
     score = F.length(reason) + F.lit(0.5) * F.length(closing)
-    return parse_lenient(df).withColumn("score", F.when(eligible, score))
-
-
-def best_of_n(df: DataFrame) -> DataFrame:
-    """One row ``problem_id, reason, answer, closing, text`` per solved problem.
-
-    The highest ``len(reason) + 0.5 * len(closing)`` wins, the earliest sample
-    on a tie.  The maximum is taken map-side first, so a problem with very many
-    samples sends one row per task.  It passes over null ranks: a filter in its
-    place would be pushed under the parse and run it again.
-    """
-    ranked = score_samples(df).select(
-        "problem_id",
-        F.when(F.col("score").isNotNull(), F.struct("parsed", "text")).alias("_sample"),
-        F.when(
-            F.col("score").isNotNull(),
-            F.struct("score", (-F.col("sample_no")).alias("first")),
-        ).alias("_rank"),
+    samples = (
+        parse_lenient(completions)
+        .withColumn("_counts", well_formed)
+        .select(
+            "problem_id",
+            F.when(F.col("_counts"), answer).alias("_answer"),
+            F.when(F.col("_counts"), F.struct("parsed", "text")).alias("_sample"),
+            F.when(
+                F.col("_counts"),
+                F.struct(score.alias("score"), (-F.col("sample_no")).alias("first")),
+            ).alias("_rank"),
+        )
+    )
+    per_answer = (
+        samples.groupBy("problem_id", "_answer")
+        .agg(F.max_by("_sample", "_rank").alias("_sample"), F.max("_rank").alias("_rank"))
+        .where(F.col("_rank").isNotNull())
+        .withColumn("_got", comparable(F.col("_answer")))
+    )
+    gold = problems.where(F.col("gold") != "").select(
+        "problem_id", comparable(F.col("gold")).alias("_wanted")
     )
     return (
-        ranked.groupBy("problem_id")
+        per_answer.join(gold, "problem_id")
+        .where(same_answer(F.col("_wanted"), F.col("_got")))
+        .groupBy("problem_id")
         .agg(F.max_by("_sample", "_rank").alias("_best"))
-        .where(F.col("_best").isNotNull())
         .select(
             "problem_id",
             *(f"_best.parsed.{name}" for name in ("reason", "answer", "closing")),

@@ -155,7 +155,7 @@ def phrased_vote(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def best_samples(spark: SparkSession, folder: str) -> DataFrame:
-    return best_of_n(_samples_with_gold(spark, folder))
+    return best_of_n(derived_completions(spark, folder), derived_problems(spark, folder))
 
 
 def evaluation_results(spark: SparkSession, folder: str) -> DataFrame:

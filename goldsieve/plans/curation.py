@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldsieve.functions.numbers import is_correct
+from goldsieve.functions.numbers import comparable, same_answer
 from goldsieve.operators.parsing import parse_strict
 
 # Why a completion was not kept.
@@ -23,20 +23,23 @@ class Curated(NamedTuple):
 def judge(completions: DataFrame, prompts: DataFrame) -> DataFrame:
     """Join gold to completions and say for each why it is rejected, if it is.
 
-    Works the same on a stream of completions.  Parsing comes before the join,
-    in the stage of the scan.
+    Works the same on a stream of completions.  Parsing and reading numbers
+    come before the join: a problem with very many completions then costs the
+    task that joins them no more than a comparison each.
     """
-    parsed = parse_strict(completions)
     answer = F.col("parsed.answer")
+    parsed = parse_strict(completions).withColumn("_got", comparable(answer))
+    asked = prompts.withColumn("_wanted", comparable(F.col("gold")))
     reason = (
         F.when(F.col("parsed").isNull(), UNPARSED)
         .when(answer == "", EMPTY_ANSWER)
-        .when(~is_correct(F.col("gold"), answer), WRONG_ANSWER)
+        .when(~same_answer(F.col("_wanted"), F.col("_got")), WRONG_ANSWER)
     )
     return (
-        parsed.join(prompts, "problem_id")
+        parsed.join(asked, "problem_id")
         .withColumn("reject_reason", reason)
         .withColumn("kept", F.col("reject_reason").isNull())
+        .drop("_got", "_wanted")
     )
 
 

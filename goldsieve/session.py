@@ -7,6 +7,8 @@ RECOMMENDED = {
     # split its partition, even at the price of a later exchange.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Completions compress well, so a heavy partition is small on disk.
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64MB",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -95,10 +95,20 @@ def test_votes_are_combined_before_each_shuffle(inputs):
     assert plan.count("regexp_extract_all") == 3
 
 
-def test_best_of_n_is_combined_before_its_shuffle(inputs):
+def test_best_of_n_combines_before_it_meets_the_gold(inputs):
     problems, completions = inputs
-    plan = _plan(best_of_n(completions.withColumn("gold", F.lit("1"))))
-    assert len(_nodes(plan, "Exchange")) == 1 and "partial_max_by" in plan
+    lines = _plan(best_of_n(completions, problems)).splitlines()
+    combined = next(n for n, line in enumerate(lines) if "partial_max_by(_sample" in line and "_answer" in line)
+    joined = next(n for n, line in enumerate(lines) if re.search("(HashJoin|MergeJoin)", line))
+    assert joined < combined
+
+
+def test_numbers_are_read_before_the_join(inputs):
+    problems, completions = inputs
+    lines = _plan(judge(completions, problems)).splitlines()
+    joined = next(n for n, line in enumerate(lines) if re.search("(HashJoin|MergeJoin)", line))
+    assert not any("try_cast" in line for line in lines[: joined + 1])
+    assert any("try_cast" in line for line in lines[joined + 1 :])
 
 
 def test_heavy_problem_is_split_in_the_join(spark, skewed):

@@ -82,7 +82,7 @@ def test_best_of_n(spark):
         3: [_completion(40, 5, 40)],
     }
     gold = spark.createDataFrame([(1, "5"), (2, "5"), (3, "")], "problem_id long, gold string")
-    [best] = best_of_n(_samples(spark, texts).join(gold, "problem_id")).collect()
+    [best] = best_of_n(_samples(spark, texts), gold).collect()
     # The second and third samples both score 70; the earlier one wins.
     assert (best.problem_id, best.answer, best.text) == (1, "5.0", texts[1][1])
 
