@@ -7,6 +7,8 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What HTML counts as a character reference, and the last code
+# point there is.
 _REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 _HIGHEST = 0x10FFFF
 _PAIR, _KEY = "\x1e", "\x1f"
@@ -55,7 +57,10 @@ def _numeric(reference: Column) -> Column:
         | code.bitwiseAND(F.lit(0xFFFE)).eqNullSafe(F.lit(0xFFFE))
     )
     return (
-        F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > _HIGHEST), "\N{REPLACEMENT CHARACTER}")
+        F.when(
+            (code == 0) | code.between(0xD800, 0xDFFF) | (code > _HIGHEST),
+            "\N{REPLACEMENT CHARACTER}",
+        )
         .when(
             code.between(0x80, 0x9F) | (code == 13),
             F.element_at(remapped, code.cast("string")),

@@ -15,9 +15,10 @@ def split_holdout(
     """Flag the ``ceil(fraction * n)`` rows with the smallest seeded key hash.
 
     ``key`` must be unique (``with_row_no`` makes one); rows sharing a key stay
-    on one side.  ``df`` runs three times, so it should be a table.  Counts per hash prefix find the prefix the cut falls into,
+    on one side.  Counts per hash prefix find the prefix the cut falls into,
     counts inside that prefix find the cut itself.  Both passes read only
     ``key``, and the rows are then compared with one scalar: they never move.
+    ``df`` runs three times in all, so it should be a table.
     """
     digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
     hashes = df.select(digest.alias("_hash"))

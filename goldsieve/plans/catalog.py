@@ -85,7 +85,8 @@ def curate_kept_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def curate_rejects(spark: SparkSession, folder: str) -> DataFrame:
-    return rejected(_judged(spark, folder)).select("problem_id", "sample_no", "reject_reason", "text")
+    rejects = rejected(_judged(spark, folder))
+    return rejects.select("problem_id", "sample_no", "reject_reason", "text")
 
 
 def curate_from_raw(spark: SparkSession, folder: str) -> DataFrame:

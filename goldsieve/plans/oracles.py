@@ -110,7 +110,8 @@ parts AS (
 whole AS (
   SELECT *,
     CASE WHEN variant = 4 THEN
-      '<TRIP_BEFORE>' || r || E'</TRIP_BEFORE>\\n<ANSWER>' || a || E'</ANSWER>\\n<END>' || e || '</END>'
+      '<TRIP_BEFORE>' || r || E'</TRIP_BEFORE>\\n<ANSWER>' || a
+      || E'</ANSWER>\\n<END>' || e || '</END>'
     ELSE
       '<trip_before>' || r || E'</trip_before>\\n'
       || CASE variant WHEN 10 THEN 'The answer is ' || gold || '.'
@@ -342,7 +343,8 @@ SELECT count_if(exact_match)::BIGINT AS kept, count(*) AS total,
 placed AS (SELECT id - 1 AS row_no, exact_match FROM results){_batches("placed", "exact_match")}""",
     "curation_batches": f"""WITH {_JUDGED},
 placed AS (
-  SELECT row_number() OVER (ORDER BY problem_id, sample_no) - 1 AS row_no, kept FROM judged){_batches("placed", "kept")}""",
+  SELECT row_number() OVER (ORDER BY problem_id, sample_no) - 1 AS row_no, kept
+  FROM judged){_batches("placed", "kept")}""",
     "curation_report": f"""WITH {_JUDGED}
 SELECT teacher, mode, (grouping(teacher) + grouping(mode))::INTEGER AS level,
        count_if(kept)::BIGINT AS kept, count(*) AS total,

@@ -42,7 +42,8 @@ def test_mode_column_chooses_the_pack(spark, rows):
 
 def test_training_has_the_target_and_no_invitation(spark, rows):
     out = render_messages(rows, packs_table(spark, PACKS), "train", mode="a", markers=PLAIN)
-    assert out.orderBy("id").first().prompt == "[system]solver\n[user]one {answer}?\n[assistant]t1\n"
+    wanted = "[system]solver\n[user]one {answer}?\n[assistant]t1\n"
+    assert out.orderBy("id").first().prompt == wanted
 
 
 def test_unknown_modes_are_errors(spark, rows):
@@ -86,7 +87,9 @@ def test_fan_out(spark, rows):
 
 def test_attach(spark):
     prompts = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "problem_id long, q string")
-    completions = spark.createDataFrame([(1, "x"), (1, "y"), (9, "z")], "problem_id long, text string")
+    completions = spark.createDataFrame(
+        [(1, "x"), (1, "y"), (9, "z")], "problem_id long, text string"
+    )
     inner = attach_completions(prompts, completions)
     left = attach_completions(prompts, completions, how="left")
     assert sorted((r.problem_id, r.q, r.text) for r in inner.rows.collect()) == [

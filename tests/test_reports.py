@@ -96,7 +96,8 @@ def test_subtotals(spark):
         [("t1", "a", True), ("t1", "b", False), ("t2", "a", None)],
         "teacher string, mode string, kept boolean",
     )
-    rows = {(r.teacher, r.mode, r.level): (r.kept, r.total) for r in run_report(df, ["teacher", "mode"]).collect()}
+    report = run_report(df, ["teacher", "mode"]).collect()
+    rows = {(r.teacher, r.mode, r.level): (r.kept, r.total) for r in report}
     assert rows[(None, None, 2)] == (1, 3)
     assert rows[("t1", None, 1)] == (1, 2)
     assert rows[("t2", "a", 0)] == (0, 1)

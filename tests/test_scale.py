@@ -98,7 +98,11 @@ def test_votes_are_combined_before_each_shuffle(inputs):
 def test_best_of_n_combines_before_it_meets_the_gold(inputs):
     problems, completions = inputs
     lines = _plan(best_of_n(completions, problems)).splitlines()
-    combined = next(n for n, line in enumerate(lines) if "partial_max_by(_sample" in line and "_answer" in line)
+    combined = next(
+        n
+        for n, line in enumerate(lines)
+        if "partial_max_by(_sample" in line and "_answer" in line
+    )
     joined = next(n for n, line in enumerate(lines) if re.search("(HashJoin|MergeJoin)", line))
     assert joined < combined
 
@@ -142,7 +146,8 @@ def test_heavy_order_is_numbered_right(spark, folder, tmp_path):
     """One order with half of all line items, many of them exact copies."""
     source = spark.read.parquet(f"{folder}/lineitem.parquet")
     heavy = source.withColumn("l_orderkey", F.lit(1).cast("long"))
-    copies = source.orderBy("l_orderkey", "l_partkey").limit(1).crossJoin(spark.range(500)).drop("id")
+    one = source.orderBy("l_orderkey", "l_partkey").limit(1)
+    copies = one.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("n")
     source.unionByName(heavy).unionByName(copies).write.parquet(str(tmp_path / "lineitem.parquet"))
     spark.read.parquet(f"{folder}/orders.parquet").write.parquet(str(tmp_path / "orders.parquet"))
     samples = derived_completions(spark, str(tmp_path))

@@ -22,7 +22,8 @@ from goldsieve.streaming.curation import (
 
 
 def _kept(spark, *rows):
-    return spark.createDataFrame([(*row, "s", "q", "1", "r", "1", "e", "t") for row in rows], schemas.KEPT)
+    filled = [(*row, "s", "q", "1", "r", "1", "e", "t") for row in rows]
+    return spark.createDataFrame(filled, schemas.KEPT)
 
 
 def test_short_name():
@@ -35,7 +36,8 @@ def test_kept_lines_hold_the_record_unescaped(spark, tmp_path):
     row = (7, "train", "é 日", "1", "r", "1", "e", "t")
     write_kept(spark.createDataFrame([row], schemas.KEPT), path, "o/t", "sums", "boring", "train")
     [file] = tmp_path.rglob("part-*.json")
-    assert file.parent.relative_to(path).as_posix() == "teacher=t/dataset=sums/mode=boring/subset=train"
+    folders = file.parent.relative_to(path).as_posix()
+    assert folders == "teacher=t/dataset=sums/mode=boring/subset=train"
     line = file.read_text(encoding="utf-8").strip()
     assert "é 日" in line
     assert list(json.loads(line)) == schemas.KEPT.fieldNames()
