@@ -25,21 +25,25 @@ def judge(completions: DataFrame, prompts: DataFrame) -> DataFrame:
 
     Works the same on a stream of completions.  Parsing and reading numbers
     come before the join: a problem with very many completions then costs the
-    task that joins them no more than a comparison each.
+    task that joins them no more than a comparison each, and a report on the
+    outcome does not shuffle the parsed text.
     """
     answer = F.col("parsed.answer")
-    parsed = parse_strict(completions).withColumn("_got", comparable(answer))
+    parsed = parse_strict(completions).withColumns(
+        {
+            "_flaw": F.when(F.col("parsed").isNull(), UNPARSED).when(answer == "", EMPTY_ANSWER),
+            "_got": comparable(answer),
+        }
+    )
     asked = prompts.withColumn("_wanted", comparable(F.col("gold")))
-    reason = (
-        F.when(F.col("parsed").isNull(), UNPARSED)
-        .when(answer == "", EMPTY_ANSWER)
-        .when(~same_answer(F.col("_wanted"), F.col("_got")), WRONG_ANSWER)
+    reason = F.when(F.col("_flaw").isNotNull(), F.col("_flaw")).when(
+        ~same_answer(F.col("_wanted"), F.col("_got")), WRONG_ANSWER
     )
     return (
         parsed.join(asked, "problem_id")
         .withColumn("reject_reason", reason)
         .withColumn("kept", F.col("reject_reason").isNull())
-        .drop("_got", "_wanted")
+        .drop("_flaw", "_got", "_wanted")
     )
 
 

@@ -70,6 +70,15 @@ def test_scans_read_only_what_they_need(inputs):
     assert sorted(schemas) == ["problem_id:bigint,gold:string", "problem_id:bigint,text:string"]
 
 
+def test_reports_do_not_shuffle_texts(inputs):
+    problems, completions = inputs
+    counts = judge(completions, problems).groupBy("kept").count()
+    lines = _plan(counts).splitlines()
+    joined = next(n for n, line in enumerate(lines) if re.search("(HashJoin|MergeJoin)", line))
+    below = next(line for line in lines[joined + 1 :] if "Project [" in line)
+    assert "AS _flaw" in below and "AS parsed" not in below
+
+
 def test_curation_shuffles_once_per_side(inputs, spark):
     problems, completions = inputs
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
