@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from goldsieve.llm.line_rules import line_rules
 from goldsieve.llm.mixing import source_mix
 from goldsieve.llm.token_packs import packed_tokens
 from goldsieve.sources.derived import table
@@ -16,10 +17,14 @@ def op7_token_packs(spark: SparkSession, folder: str) -> DataFrame:
     return packed_tokens(table(spark, folder, "documents"), TOKENIZER)
 
 
+def op9_line_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return line_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix(table(spark, folder, "documents"))
 
 
-QUERIES = {query.__name__: query for query in (op7_token_packs, op10_source_mix)}
+QUERIES = {query.__name__: query for query in (op7_token_packs, op9_line_rules, op10_source_mix)}
 
 ORACLES: dict[str, str] = {}
