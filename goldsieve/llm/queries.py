@@ -7,12 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from goldsieve.llm.line_rules import line_rules
 from goldsieve.llm.mixing import source_mix
+from goldsieve.llm.quality_trees import quality_scores
 from goldsieve.llm.token_packs import packed_tokens
 from goldsieve.sources.derived import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_trees(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op7_token_packs(spark: SparkSession, folder: str) -> DataFrame:
     return packed_tokens(table(spark, folder, "documents"), TOKENIZER)
 
@@ -25,6 +30,6 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix(table(spark, folder, "documents"))
 
 
-QUERIES = {query.__name__: query for query in (op7_token_packs, op9_line_rules, op10_source_mix)}
+QUERIES = {query.__name__: query for query in (op1_quality_trees, op7_token_packs, op9_line_rules, op10_source_mix)}
 
 ORACLES: dict[str, str] = {}
