@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from goldsieve.llm.disclosure import personal_data
 from goldsieve.llm.line_rules import line_rules
 from goldsieve.llm.mixing import source_mix
 from goldsieve.llm.quality_trees import quality_scores
@@ -18,6 +19,11 @@ def op1_quality_trees(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op4_disclosure(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans and counts; the sanitised texts stay with the operator."""
+    return personal_data(table(spark, folder, "documents")).drop("sanitised")
+
+
 def op7_token_packs(spark: SparkSession, folder: str) -> DataFrame:
     return packed_tokens(table(spark, folder, "documents"), TOKENIZER)
 
@@ -30,6 +36,6 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix(table(spark, folder, "documents"))
 
 
-QUERIES = {query.__name__: query for query in (op1_quality_trees, op7_token_packs, op9_line_rules, op10_source_mix)}
+QUERIES = {query.__name__: query for query in (op1_quality_trees, op4_disclosure, op7_token_packs, op9_line_rules, op10_source_mix)}
 
 ORACLES: dict[str, str] = {}
