@@ -5,11 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from goldsieve.llm.decontamination import decontamination
 from goldsieve.llm.disclosure import personal_data
 from goldsieve.llm.line_rules import line_rules
 from goldsieve.llm.mixing import source_mix
 from goldsieve.llm.quality_trees import quality_scores
 from goldsieve.llm.token_packs import packed_tokens
+from goldsieve.llm.warc import capture_index
 from goldsieve.sources.derived import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -19,11 +21,21 @@ def op1_quality_trees(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op2_warc_index(spark: SparkSession, folder: str) -> DataFrame:
+    return capture_index(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op4_disclosure(spark: SparkSession, folder: str) -> DataFrame:
     """Spans and counts; the sanitised texts stay with the operator."""
     return personal_data(table(spark, folder, "documents")).drop("sanitised")
 
 
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op7_token_packs(spark: SparkSession, folder: str) -> DataFrame:
     return packed_tokens(table(spark, folder, "documents"), TOKENIZER)
 
@@ -36,6 +48,24 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix(table(spark, folder, "documents"))
 
 
-QUERIES = {query.__name__: query for query in (op1_quality_trees, op4_disclosure, op7_token_packs, op9_line_rules, op10_source_mix)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {query.__name__: query for query in (op1_quality_trees, op2_warc_index, op4_disclosure, op6_decontamination, op7_token_packs, op9_line_rules, op10_source_mix)}
+
+ORACLES: dict[str, str] = {
+    "op2_warc_index": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS payload FROM pages
+        ), d AS (
+            SELECT page_id, octet_length(encode(payload)) AS payload_bytes,
+                   sha256(payload) AS payload_digest
+            FROM p
+        ), f AS (
+            SELECT payload_digest, min(page_id) AS first_page FROM d GROUP BY payload_digest
+        )
+        SELECT d.page_id, d.payload_bytes, d.payload_digest,
+               CASE WHEN payload_bytes >= 100 AND first_page <> page_id
+                    THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND first_page <> page_id
+                    THEN first_page END AS refers_to
+        FROM d JOIN f USING (payload_digest)
+    """,
+}
