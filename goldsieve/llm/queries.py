@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from goldsieve.llm.decontamination import decontamination
 from goldsieve.llm.disclosure import personal_data
 from goldsieve.llm.line_rules import line_rules
+from goldsieve.llm.minhash import near_duplicates
 from goldsieve.llm.mixing import source_mix
 from goldsieve.llm.quality_trees import quality_scores
 from goldsieve.llm.token_packs import packed_tokens
@@ -40,6 +41,10 @@ def op7_token_packs(spark: SparkSession, folder: str) -> DataFrame:
     return packed_tokens(table(spark, folder, "documents"), TOKENIZER)
 
 
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def op9_line_rules(spark: SparkSession, folder: str) -> DataFrame:
     return line_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -48,7 +53,7 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix(table(spark, folder, "documents"))
 
 
-QUERIES = {query.__name__: query for query in (op1_quality_trees, op2_warc_index, op4_disclosure, op6_decontamination, op7_token_packs, op9_line_rules, op10_source_mix)}
+QUERIES = {query.__name__: query for query in (op1_quality_trees, op2_warc_index, op4_disclosure, op6_decontamination, op7_token_packs, op8_near_duplicates, op9_line_rules, op10_source_mix)}
 
 ORACLES: dict[str, str] = {
     "op2_warc_index": """
