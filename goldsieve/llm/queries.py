@@ -11,6 +11,7 @@ from goldsieve.llm.line_rules import line_rules
 from goldsieve.llm.minhash import near_duplicates
 from goldsieve.llm.mixing import source_mix
 from goldsieve.llm.quality_trees import quality_scores
+from goldsieve.llm.suffixes import without_repeats
 from goldsieve.llm.token_packs import packed_tokens
 from goldsieve.llm.warc import capture_index
 from goldsieve.sources.derived import table
@@ -28,6 +29,10 @@ def op2_warc_index(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return without_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 def op4_disclosure(spark: SparkSession, folder: str) -> DataFrame:
     """Spans and counts; the sanitised texts stay with the operator."""
     return personal_data(table(spark, folder, "documents")).drop("sanitised")
@@ -53,7 +58,7 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix(table(spark, folder, "documents"))
 
 
-QUERIES = {query.__name__: query for query in (op1_quality_trees, op2_warc_index, op4_disclosure, op6_decontamination, op7_token_packs, op8_near_duplicates, op9_line_rules, op10_source_mix)}
+QUERIES = {query.__name__: query for query in (op1_quality_trees, op2_warc_index, op3_suffix_dedup, op4_disclosure, op6_decontamination, op7_token_packs, op8_near_duplicates, op9_line_rules, op10_source_mix)}
 
 ORACLES: dict[str, str] = {
     "op2_warc_index": """
