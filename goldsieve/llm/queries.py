@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from goldsieve.llm.decontamination import decontamination
 from goldsieve.llm.disclosure import personal_data
+from goldsieve.llm.licenses import license_scan
 from goldsieve.llm.line_rules import line_rules
 from goldsieve.llm.minhash import near_duplicates
 from goldsieve.llm.mixing import source_mix
@@ -38,6 +39,10 @@ def op4_disclosure(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data(table(spark, folder, "documents")).drop("sanitised")
 
 
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan(table(spark, folder, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -58,7 +63,7 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix(table(spark, folder, "documents"))
 
 
-QUERIES = {query.__name__: query for query in (op1_quality_trees, op2_warc_index, op3_suffix_dedup, op4_disclosure, op6_decontamination, op7_token_packs, op8_near_duplicates, op9_line_rules, op10_source_mix)}
+QUERIES = {query.__name__: query for query in (op1_quality_trees, op2_warc_index, op3_suffix_dedup, op4_disclosure, op5_license_scan, op6_decontamination, op7_token_packs, op8_near_duplicates, op9_line_rules, op10_source_mix)}
 
 ORACLES: dict[str, str] = {
     "op2_warc_index": """
