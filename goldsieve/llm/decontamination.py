@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from goldsieve.durable import written
 
-MASKS = ((0, 4, 5, 6, 7), (0, 2, 3, 6, 8))
+MASKS = ((0, 4, 5, 6, 7), (0, 1, 3, 4, 8))
 MIN_WORDS = 9
 WINDOW = 20
 MIN_PERCENT = 80
