@@ -7,14 +7,22 @@ one class, so copies meet nobody.  A class's signature has ``BANDS`` bands of
 signatures are compared a batch at a time: with m of n minima equal, the
 similarity has the posterior Beta(m + 1, n - m + 1), and a pair is dropped as soon
 as it reaches ``PERCENT`` with a chance below ``MISS``.  Survivors are confirmed on
-their full sets.
+their full sets.  Minima are kept to 8 bits: a chance agreement only makes the
+test more careful.
 
-Within a band's bucket nobody needs all pairs.  Members meet the bucket's least
-member first; then links are joined into components; only buckets that still span
-components go on, where members meet sixteen leaders, then 256, and so on, until
-every pair of members is in one component or was compared.  A large group of near
-copies is done after the first round.  Components spread by least label and
-pointer jumps over written tables; neither links nor sets reach the driver.
+Nobody writes out the pairs of a band's bucket:
+
+1. Buckets are read for members with a *plausible* partner, by signature alone;
+   only those take part from here on.
+2. Members meet their bucket's least member, exactly, and links are joined into
+   components.  A group of near copies is mostly one component after that.
+3. Buckets that still span components are compared inside tasks, exactly, pairs
+   of one component left out, each pair in the first band that it shares.
+
+Buckets beyond ``BLOCK_BYTES`` are cut into blocks, and each two blocks are a group
+of their own, so no task holds more, and no pair is left out.  Components spread
+by least label and pointer jumps over written tables; neither links nor sets
+reach the driver.
 
 Cases: a null or empty text, or one without words, has an empty set and is linked
 with nothing; one word makes a set of one; equal rows are one class; rows that
@@ -41,7 +49,7 @@ BATCH = 48
 PERCENT = 80
 MISS = 1e-6
 SHINGLE_WORDS = 2
-_FAN = 16
+BLOCK_BYTES = 16 << 20
 
 _rng = np.random.default_rng(20_240)
 _FLIP = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -86,6 +94,11 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return _mixed(keys.sum(1)).view(np.int64)
 
 
+def short_minima(minima: np.ndarray) -> np.ndarray:
+    """8 bits of each minimum, mixed: the high bits of a minimum are mostly zero."""
+    return (_mixed(minima.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
+
+
 def least_matches(n: int, miss: float = MISS, percent: int = PERCENT) -> int:
     """Fewest equal minima of n with P(similarity >= percent) at least ``miss``.
 
@@ -103,14 +116,19 @@ def least_matches(n: int, miss: float = MISS, percent: int = PERCENT) -> int:
 _NEEDED = [(n, least_matches(n)) for n in range(BATCH, BANDS * ROWS + 1, BATCH)]
 
 
-def could_be_similar(one: np.ndarray, two: np.ndarray) -> bool:
-    """Sequential test: compare batch after batch, stop once the posterior is too low."""
-    equal = 0
+def could_be_similar(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Which rows of ``many`` survive the sequential test against ``one``.
+
+    Batch after batch of minima is compared; a row leaves once its posterior
+    gets too low.
+    """
+    left = np.arange(len(many))
+    equal = np.zeros(len(many), np.int64)
     for n, needed in _NEEDED:
-        equal += int((one[n - BATCH : n] == two[n - BATCH : n]).sum())
-        if equal < needed:
-            return False
-    return True
+        equal += (many[left, n - BATCH : n] == one[n - BATCH : n]).sum(1)
+        stay = equal >= needed
+        left, equal = left[stay], equal[stay]
+    return left
 
 
 def similar(one: np.ndarray, two: np.ndarray, percent: int = PERCENT) -> bool:
@@ -124,27 +142,30 @@ def similar(one: np.ndarray, two: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def _classes_of(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, class, bands`` of each row; an empty set has no class."""
-    names = ["doc_id", "n_shingles", "class", "bands"]
+    """Key, set size, class, band keys and minima of each row; an empty set has no class."""
+    names = ["doc_id", "n_shingles", "class", "bands", "minima"]
     bands_type = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, classes, bands = [], [], []
+            counts, classes, bands, minima = [], [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py() or "", width)
                 counts.append(len(found))
                 some = len(found) > 0
                 classes.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if some else None)
-                bands.append(band_keys(signature(found)) if some else None)
+                least = signature(found) if some else None
+                bands.append(band_keys(least) if some else None)
+                minima.append(short_minima(least).tobytes() if some else None)
             columns = [
                 batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()),
                 pa.array(classes, pa.binary()), pa.array(bands, bands_type),
+                pa.array(minima, pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, class binary, bands array<bigint>"
+        run, "doc_id bigint, n_shingles bigint, class binary, bands array<bigint>, minima binary"
     )
 
 
@@ -159,7 +180,7 @@ def _records_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([node.as_py()], pa.int64()),
-                            pa.array([signature(found).tobytes()], pa.binary()),
+                            pa.array([short_minima(signature(found)).tobytes()], pa.binary()),
                             pa.array([found.tobytes()], pa.binary()),
                         ],
                         ["node", "minima", "found"],
@@ -176,10 +197,10 @@ def _linked(pairs: DataFrame, records: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for minima_a, found_a, minima_b, found_b in zip(*batch.columns[2:]):
-                one = np.frombuffer(minima_a.as_buffer(), np.uint32)
-                two = np.frombuffer(minima_b.as_buffer(), np.uint32)
+                one = np.frombuffer(minima_a.as_buffer(), np.uint8)
+                two = np.frombuffer(minima_b.as_buffer(), np.uint8)
                 keep.append(
-                    could_be_similar(one, two)
+                    len(could_be_similar(one, two[None])) > 0
                     and similar(
                         np.frombuffer(found_a.as_buffer(), np.uint64),
                         np.frombuffer(found_b.as_buffer(), np.uint64),
@@ -196,6 +217,112 @@ def _linked(pairs: DataFrame, records: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+class Group:
+    """Members of one group, as arrays in one order, and what to compare."""
+
+    def __init__(self, rows: list[tuple]):
+        key = rows[0][:3]
+        self.two_blocks = key[1] != key[2]
+        self.part = np.array([row[3] for row in rows])
+        self.low = key[1]
+        self.node = np.array([row[4] for row in rows])
+        self.label = np.array([row[5] for row in rows])
+        self.size = np.array([row[6] for row in rows])
+        self.band = rows[0][7]
+        self.bands = np.array([row[8] for row in rows], np.int64)
+        self.minima = np.stack([np.frombuffer(row[9], np.uint8) for row in rows])
+        self.found = [np.frombuffer(row[10], np.uint64) if row[10] is not None else None for row in rows]
+
+    def partners(self, at: int) -> np.ndarray:
+        """Later members that ``at`` is compared with, as far as sizes and bands tell."""
+        if self.two_blocks:
+            if self.part[at] != self.low:
+                return np.empty(0, np.int64)
+            others = np.flatnonzero(self.part != self.low)
+        else:
+            others = np.arange(at + 1, len(self.node))
+        one, sizes = self.size[at], self.size[others]
+        fits = (100 * np.minimum(one, sizes) >= PERCENT * np.maximum(one, sizes)) & (
+            self.node[others] != self.node[at]
+        )
+        others = others[fits]
+        if self.band and len(others):
+            # A pair that shares an earlier band is compared there.
+            met = (self.bands[others, : self.band] == self.bands[at, : self.band]).any(1)
+            others = others[~met]
+        return others
+
+
+def plausible(group: Group) -> set[int]:
+    """Nodes with a partner that the signatures do not rule out."""
+    known = np.zeros(len(group.node), bool)
+    for at in range(len(group.node)):
+        others = group.partners(at)
+        if known[at]:
+            others = others[~known[others]]
+        if len(others):
+            left = others[could_be_similar(group.minima[at], group.minima[others])]
+            known[left] = True
+            known[at] |= len(left) > 0
+    return set(group.node[known].tolist())
+
+
+def links_across(group: Group) -> list[tuple[int, int]]:
+    """Links that join the group's components; one component is not compared within."""
+    found = []
+    for at in range(len(group.node)):
+        others = group.partners(at)
+        others = others[group.label[others] != group.label[at]]
+        if not len(others):
+            continue
+        for other in others[could_be_similar(group.minima[at], group.minima[others])]:
+            if group.label[other] != group.label[at] and similar(group.found[at], group.found[other]):
+                found.append(tuple(sorted((int(group.node[at]), int(group.node[other])))))
+                group.label[group.label == group.label[other]] = group.label[at]
+    return found
+
+
+def _grouped(members: DataFrame, sizes: DataFrame, each, schema: str) -> DataFrame:
+    """``each(group)`` for the groups of every bucket of ``members``.
+
+    ``sizes(key, bytes)`` says how many blocks a bucket needs.  A member goes once
+    to each pair of its own block and another.
+    """
+    parts = F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = (
+        members.join(sizes.select("key", parts.alias("parts")), "key")
+        .withColumn("part", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select(
+            "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"),
+            "part", "node", "label", "n", "band", "bands", "minima", "found",
+        )
+        .repartition("key", "low", "high")
+        .sortWithinPartitions("key", "low", "high", "node")
+    )
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = each(Group(held)) if len(held) > 1 else []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
+
+        for batch in batches:
+            for row in zip(*(column.to_pylist() for column in batch.columns)):
+                if held and held[0][:3] != row[:3]:
+                    yield from flush()
+                    held = []
+                held.append(row)
+        if held:
+            yield from flush()
+
+    return dealt.mapInArrow(run, schema)
+
+
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``node, label``: the least node that is reachable, from labels so far.
 
@@ -233,62 +360,55 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``."""
     rows = written(_classes_of(docs, width), "classes")
     keyed = rows.where("class IS NOT NULL AND doc_id IS NOT NULL")
+    one = F.min_by(F.struct("bands", "minima", "n_shingles"), "doc_id")
     classes = written(
-        keyed.groupBy("class").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")),
+        keyed.groupBy("class").agg(F.min("doc_id").alias("node"), one.alias("one")).select("class", "node", "one.*"),
         "nodes",
     )
-    members = classes.select("node", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = written(shared.where("low <> high").select("key"), "shared")
-    members = written(members.join(shared, "key").distinct(), "members")
-    nodes = members.select("node").distinct()
+    listed = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    shared = (
+        listed.groupBy("key")
+        .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("members"))
+        .where("low <> high")
+        .select("key", (F.col("members") * (BANDS * (ROWS + 12))).alias("bytes"))
+    )
+    shared = written(shared, "shared")
+    signed = classes.select("node", F.col("n_shingles").alias("n"), "bands", "minima")
+    members = written(listed.join(shared.select("key"), "key"), "members")
+    nothing = F.lit(None).cast("binary").alias("found")
+    signatures = members.join(signed, "node").select("*", F.lit(0).alias("label"), nothing)
+    nodes = written(
+        _grouped(signatures, shared, lambda group: [(node,) for node in plausible(group)], "node bigint")
+        .distinct(),
+        "plausible",
+    )
+    members = written(members.join(nodes, "node").select("node", "band", "key"), "members")
     records = written(_records_of(docs, nodes, width), "records")
-    labels = written(nodes.select("node", F.col("node").alias("label")), "labels")
-    compared: DataFrame | None = None
-    fan = 1
-    while True:
-        # Members of buckets that span components, with their labels.
-        labelled = written(members.join(labels, "node"), "members")
-        spanning = written(
-            labelled.groupBy("key")
-            .agg(F.min("label").alias("low"), F.max("label").alias("high"))
-            .where("low <> high")
-            .select("key"),
-            "spanning",
-        )
-        if not spanning.limit(1).count():
-            break
-        members = written(labelled.join(spanning, "key"), "members")
-        groups = members.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(fan)).alias("part")).agg(
-            F.min("node").alias("leader"), F.max("node").alias("last")
-        )
-        leaders = written(groups, "leaders")
-        of_leader = written(
-            leaders.join(
-                members.select("key", F.col("node").alias("leader"), F.col("label").alias("leads")),
-                ["key", "leader"],
-            )
-            .select("key", "leader", "leads")
-            .distinct(),
-            "leaders",
+    leaders = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("high"))
+    leaders = written(leaders.where("a <> high").select("key", "a"), "leaders")
+    pairs = members.select("key", F.col("node").alias("b")).join(leaders, "key").where("a <> b")
+    pairs = written(pairs.select("a", "b").distinct(), "pairs")
+    links = written(_linked(pairs, records), "links")
+    labels = components(nodes.select("node", F.col("node").alias("label")), links)
+    labelled = written(members.join(labels, "node"), "members")
+    sizes = classes.groupBy("node").agg(F.max("n_shingles").alias("n"))
+    spanning = written(
+        labelled.join(sizes, "node")
+        .groupBy("key")
+        .agg(
+            F.min("label").alias("low"),
+            F.max("label").alias("high"),
+            F.sum(8 * F.col("n") + 1000).alias("bytes"),
         )
-        pairs = (
-            members.join(of_leader, "key")
-            .where("node <> leader AND label <> leads")
-            .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-            .distinct()
-        )
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        links = written(_linked(pairs, records), "links")
-        if links.limit(1).count():
-            labels = components(labels, links)
-        if not leaders.where("leader <> last").limit(1).count():
-            break
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        members = members.select("node", "key")
-        fan *= _FAN
+        .where("low <> high")
+        .select("key", "bytes"),
+        "spanning",
+    )
+    apart = labelled.join(spanning.select("key"), "key").join(signed, "node").join(
+        records.select("node", "found"), "node"
+    )
+    joined = written(_grouped(apart, spanning, links_across, "a bigint, b bigint").distinct(), "links")
+    labels = components(labels, joined)
     named = written(
         classes.select("class", "node").join(labels, "node", "left").select(
             "class", F.coalesce("label", "node").alias("label")
