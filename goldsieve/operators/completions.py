@@ -26,6 +26,17 @@ def fan_out(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("sample_no", F.explode(F.sequence(F.lit(1), F.lit(n))))
 
 
+def require_unique(df: DataFrame, *keys: str) -> None:
+    """Raise if a key occurs more than once, which would multiply joined rows.
+
+    Runs one aggregate over the keys alone.
+    """
+    repeated = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(3).collect()
+    if repeated:
+        found = ", ".join(str(tuple(row)[:-1]) for row in repeated)
+        raise ValueError(f"{', '.join(keys)} must be unique; repeated: {found}")
+
+
 def attach_completions(
     prompts: DataFrame,
     completions: DataFrame,

@@ -50,9 +50,10 @@ def parse_strict(df: DataFrame, text: str = "text", into: str = "parsed") -> Dat
 
     The three blocks must open the text, in order, in lower case, with only
     white space between them; anything may follow.  A missing last closing tag
-    is supplied if the text has none anywhere.
+    is supplied if the text has none anywhere, after white space at its end is
+    dropped: a closing block that was never written stays empty and fails.
     """
-    value = F.col(text)
+    value = strip(text)
     closed = F.when(F.contains(value, F.lit(CLOSING_CLOSE)), value).when(
         F.contains(value, F.lit(CLOSING_OPEN)), F.concat(value, F.lit(CLOSING_CLOSE))
     )

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldsieve.sources.packs import Pack, read_packs
+from goldsieve.operators.completions import require_unique
+from goldsieve.sources.packs import Pack, find_pack
 
 # Which stage's packs serve a purpose.
 _STAGES = {"generate": "generate", "train": "solve", "eval": "solve"}
@@ -49,37 +50,47 @@ def _one_pack(pack: Pack, slots: dict[str, Column]) -> tuple[Column, Column]:
 
 
 def _joined_packs(
-    df: DataFrame, packs: list[Pack], mode: str, slots: dict[str, Column]
+    df: DataFrame, packs: DataFrame, stage: str, mode: str, slots: dict[str, Column]
 ) -> tuple[DataFrame, Column, Column]:
     """Look the pack up by the ``mode`` column.
 
-    Templates are cut at their placeholders here, so filling one is a plain
-    concatenation and inserted text is never expanded again.
+    Templates are cut at their placeholders, so filling one is a plain
+    concatenation and inserted text is never expanded again.  The join has no
+    hint: the size of the pack table decides.
     """
-    split = [_pieces(pack.user_template) for pack in packs]
-    width = max(map(len, split))
-    names = [f"_{kind}{n}" for n in range(width) for kind in ("text", "slot")]
-    rows = []
-    for pack, pieces in zip(packs, split):
-        for _, name in pieces:
-            _slot(name, slots)
-        padded = pieces + [("", "")] * (width - len(pieces))
-        rows.append((pack.mode, pack.system, *(part for piece in padded for part in piece)))
-    schema = ", ".join(f"{name} string" for name in ("_mode", "_system", *names))
-    table = df.sparkSession.createDataFrame(rows, schema)
-    joined = df.join(F.broadcast(table), F.col(mode) == F.col("_mode"), "left")
-    known = F.when(F.col("_mode").isNotNull(), F.col("_system")).otherwise(
-        F.raise_error(F.concat(F.lit("no prompt pack for mode "), F.coalesce(mode, F.lit("null"))))
+    wanted = packs.where(F.col("stage") == stage)
+    require_unique(wanted, "mode")
+    # Doubled braces stand for one.  Literals and slot names alternate between marks.
+    opened = F.replace(F.col("user_template"), F.lit("{{"), F.lit("\x02"))
+    named = F.regexp_replace(opened, rf"\{{({'|'.join(slots)})\}}", "\x01$1\x01")
+    marked = F.replace(named, F.lit("}}"), F.lit("\x03"))
+    if wanted.where(F.rlike(marked, F.lit(r"\{[^{}]*\}"))).limit(1).count():
+        raise ValueError("unknown placeholder in a user template")
+    table = wanted.select(
+        F.col("mode").alias("_mode"),
+        F.col("system").alias("_system"),
+        F.split(marked, "\x01", -1).alias("_parts"),
     )
+    joined = df.join(table, F.col(mode) == F.col("_mode"))
 
-    def value(n: int) -> Column:
-        chosen = F.lit("")
+    def part(text: Column, at: Column) -> Column:
+        chosen = F.translate(text, "\x02\x03", "{}")
         for name, column in slots.items():
-            chosen = F.when(F.col(f"_slot{n}") == name, column).otherwise(chosen)
+            chosen = F.when((at % 2 == 1) & (text == name), column).otherwise(chosen)
         return chosen
 
-    user = _filled([(F.col(f"_text{n}"), value(n)) for n in range(width)])
-    return joined, known, user
+    filled = F.transform("_parts", part)
+    user = F.when(~F.exists(filled, lambda text: text.isNull()), F.array_join(filled, ""))
+    return joined, F.col("_system"), user
+
+
+def rows_without_pack(df: DataFrame, packs: DataFrame, purpose: str, mode_column: str) -> DataFrame:
+    """Rows that :func:`render_messages` leaves out, with their ``reject_reason``."""
+    stage = _STAGES[purpose]
+    known = packs.where(F.col("stage") == stage).select(F.col("mode").alias("_mode"))
+    return df.join(known, F.col(mode_column) == F.col("_mode"), "left_anti").withColumn(
+        "reject_reason", F.lit("no_pack")
+    )
 
 
 def render_messages(
@@ -97,28 +108,23 @@ def render_messages(
 
     ``generate`` shows question and gold, ``eval`` the question, ``train`` the
     question and the target.  The pack is chosen by ``mode``, or row by row by
-    ``mode_column``; a mode without a pack is an error.  The text form invites
-    an assistant turn except for ``train``, which already has one.
+    ``mode_column``.  A ``mode`` without a pack is an error; rows whose column
+    names none are left out, and :func:`rows_without_pack` has them.  The text
+    form invites an assistant turn except for ``train``, which already has one.
     """
     if purpose not in _STAGES:
         raise ValueError(f"purpose must be one of {sorted(_STAGES)}, not {purpose!r}")
     if (mode is None) == (mode_column is None):
         raise ValueError("give either mode or mode_column")
     stage = _STAGES[purpose]
-    available = [pack for pack in read_packs(packs) if pack.stage == stage]
     slots = {"question": F.col(question)}
     if purpose == "generate":
         slots["answer"] = F.col(gold)
 
     if mode is not None:
-        chosen = [pack for pack in available if pack.mode == mode]
-        if not chosen:
-            raise ValueError(f"no prompt pack for stage {stage!r} and mode {mode!r}")
-        joined, (system, user) = df, _one_pack(chosen[0], slots)
+        joined, (system, user) = df, _one_pack(find_pack(packs, stage, mode), slots)
     else:
-        if not available:
-            raise ValueError(f"no prompt pack for stage {stage!r}")
-        joined, system, user = _joined_packs(df, available, mode_column, slots)
+        joined, system, user = _joined_packs(df, packs, stage, mode_column, slots)
 
     turns = [("system", system), ("user", user)]
     if purpose == "train":

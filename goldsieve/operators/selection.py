@@ -10,6 +10,11 @@ from goldsieve.operators.grading import has_length
 from goldsieve.operators.parsing import parse_lenient
 
 
+# A rank is twice the score, then the sample number from the last possible one down.
+_SAMPLES = 1 << 32
+_LAST = (1 << 31) - 1
+
+
 def best_of_n(completions: DataFrame, problems: DataFrame) -> DataFrame:
     """One row ``problem_id, reason, answer, closing, text`` per solved problem.
 
@@ -19,46 +24,51 @@ def best_of_n(completions: DataFrame, problems: DataFrame) -> DataFrame:
     ``len(reason) + 0.5 * len(closing)`` wins, the earliest sample on a tie.
 
     Whether a sample is correct depends on its answer alone, so only the best
-    sample of each distinct answer meets the gold.  That maximum is taken
-    map-side first, and a problem with very many samples sends few rows.  Maxima
-    pass over null ranks: a filter in their place would be pushed under the
-    parse and run it again.
+    rank of each distinct answer meets the gold: score and sample number in one
+    number.  That maximum is taken map-side first, and a problem with very many
+    samples sends few rows, none of them a text.  The winners' texts are fetched
+    and parsed afterwards.  ``completions`` runs twice, so it should be a table.
+    If a sample number repeats, the least text that has the rank counts.
     """
-    reason, answer, closing = (
-        F.col(f"parsed.{name}") for name in ("reason", "answer", "closing")
-    )
-    well_formed = (answer != "") & has_length(reason) & has_length(closing)
-    score = F.length(reason) + F.lit(0.5) * F.length(closing)
-    samples = (
-        parse_lenient(completions)
-        .withColumn("_counts", well_formed)
-        .select(
-            "problem_id",
-            F.when(F.col("_counts"), answer).alias("_answer"),
-            F.when(F.col("_counts"), F.struct("parsed", "text")).alias("_sample"),
-            F.when(
-                F.col("_counts"),
-                F.struct(score.alias("score"), (-F.col("sample_no")).alias("first")),
-            ).alias("_rank"),
-        )
-    )
-    per_answer = (
-        samples.groupBy("problem_id", "_answer")
-        .agg(F.max_by("_sample", "_rank").alias("_sample"), F.max("_rank").alias("_rank"))
-        .where(F.col("_rank").isNotNull())
-        .withColumn("_got", comparable(F.col("_answer")))
-    )
+    ranked = _ranked(completions)
+    per_answer = ranked.groupBy("problem_id", "_answer").agg(F.max("_rank").alias("_rank"))
     gold = problems.where(F.col("gold") != "").select(
         "problem_id", comparable(F.col("gold")).alias("_wanted")
     )
-    return (
-        per_answer.join(gold, "problem_id")
+    best = (
+        per_answer.where(F.col("_rank").isNotNull())
+        .withColumn("_got", comparable(F.col("_answer")))
+        .join(gold, "problem_id")
         .where(same_answer(F.col("_wanted"), F.col("_got")))
         .groupBy("problem_id")
-        .agg(F.max_by("_sample", "_rank").alias("_best"))
-        .select(
-            "problem_id",
-            *(f"_best.parsed.{name}" for name in ("reason", "answer", "closing")),
-            "_best.text",
-        )
+        .agg(F.max("_rank").alias("_rank"))
+    )
+    winners = best.select(
+        "problem_id", (_LAST - F.col("_rank") % _SAMPLES).cast("int").alias("sample_no"), "_rank"
+    )
+    texts = winners.join(completions.select("problem_id", "sample_no", "text"), ["problem_id", "sample_no"])
+    own = _ranked(texts, "_own").where(F.col("_own") == F.col("_rank"))
+    chosen = own.groupBy("problem_id").agg(F.min("text").alias("text"))
+    return parse_lenient(chosen).select(
+        "problem_id", *(f"parsed.{name}" for name in ("reason", "answer", "closing")), "text"
+    )
+
+
+def _ranked(samples: DataFrame, into: str = "_rank") -> DataFrame:
+    """Add ``_answer`` and the rank of a sample that counts; both null otherwise.
+
+    Ranks of samples that do not count stay null instead of being filtered: a
+    filter would be pushed under the parse and run it again.
+    """
+    reason, answer, closing = (
+        F.col(f"parsed.{name}") for name in ("reason", "answer", "closing")
+    )
+    counts = (answer != "") & has_length(reason) & has_length(closing)
+    halves = (2 * F.length(reason) + F.length(closing)).cast("bigint")
+    rank = halves * _SAMPLES + (_LAST - F.col("sample_no"))
+    return (
+        parse_lenient(samples)
+        .withColumn("_answer", F.when(counts, answer))
+        .withColumn(into, F.when(counts, rank))
+        .drop("parsed")
     )

@@ -45,14 +45,11 @@ def vote_phrased(df: DataFrame) -> DataFrame:
 def vote_tagged(df: DataFrame) -> DataFrame:
     """Winning tagged answer and the first whole text that gave it.
 
-    Only answers travel through the vote.  The text is fetched afterwards by
-    problem and sample number, a key no problem can make heavy.  That key must
-    be unique, and ``df`` runs twice, so it should be a table.
+    Only answers travel through the vote.  The text is fetched afterwards, one
+    per problem.  ``df`` runs twice, so it should be a table.
     """
     answers = extract_tagged(df).select("problem_id", "sample_no", "answer")
-    texts = df.select("problem_id", "sample_no", "text")
-    return (
-        _tally(answers)
-        .join(texts, ["problem_id", "sample_no"])
-        .select("problem_id", "answer", "text")
-    )
+    winners = _tally(answers)
+    keyed = extract_tagged(df).select("problem_id", "sample_no", "text", F.col("answer").alias("_own"))
+    found = winners.join(keyed, ["problem_id", "sample_no"]).where(F.col("_own") == F.col("answer"))
+    return found.groupBy("problem_id", "answer").agg(F.min("text").alias("text"))

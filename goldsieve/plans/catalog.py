@@ -18,7 +18,8 @@ from goldsieve.operators.numbering import with_row_no
 from goldsieve.operators.parsing import clean_completions, parse_lenient, parse_strict
 from goldsieve.operators.problems import ingest_problems, template_kept, template_problems
 from goldsieve.operators.prompts import render_messages
-from goldsieve.operators.reports import batch_report, run_report
+from goldsieve.operators.reports import batch_report, percent
+from goldsieve.operators.reports import curation_report as curation_report_of
 from goldsieve.operators.selection import best_of_n
 from goldsieve.operators.voting import vote_phrased, vote_tagged
 from goldsieve.plans.curation import curate, judge, rejected
@@ -26,8 +27,8 @@ from goldsieve.plans.evaluation import evaluate
 from goldsieve.plans.training_set import training_set
 from goldsieve.sources.derived import derived_completions, derived_problems, table
 from goldsieve.sources.packs import packs_table
-from goldsieve.sources.readers import completion_stream, read_kept, read_results
-from goldsieve.sources.writers import write_kept, write_results
+from goldsieve.sources.readers import completion_stream, read_kept, read_problems, read_results
+from goldsieve.sources.writers import write_kept, write_results, write_training_set
 from goldsieve.streaming.curation import batch_metrics, curate_stream, streamed_kept
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,7 +72,7 @@ def curate_kept_rate(spark: SparkSession, folder: str) -> DataFrame:
             F.count("parsed").alias("parsed"),
             F.count_if("kept").alias("kept"),
         )
-        .withColumn("kept_pct", F.bround(100.0 * F.col("kept") / F.col("samples"), 1))
+        .withColumn("kept_pct", percent(F.col("kept"), F.col("samples")))
     )
 
 
@@ -95,7 +96,7 @@ def curate_from_raw(spark: SparkSession, folder: str) -> DataFrame:
     rows = template_problems(problems, carry=["problem_id", "teacher", "mode"]).rows
     prompts = rows.withColumnRenamed("golden_answer", "gold")
     judged = judge(derived_completions(spark, folder), prompts)
-    return judged.groupBy("teacher", "mode").agg(
+    return judged.where("teacher IS NOT NULL").groupBy("teacher", "mode").agg(
         F.count_if("kept").alias("kept"), F.count("*").alias("total")
     )
 
@@ -182,7 +183,9 @@ def curation_batches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def curation_report(spark: SparkSession, folder: str) -> DataFrame:
-    return run_report(_judged(spark, folder), by=["teacher", "mode"])
+    problems = derived_problems(spark, folder)
+    judged = judge(derived_completions(spark, folder), problems)
+    return curation_report_of(judged, problems, by=["teacher", "mode"])
 
 
 def numbered_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -267,11 +270,35 @@ def repeated_keys(spark: SparkSession, folder: str) -> DataFrame:
     return attach_completions(lines, samples, on=["problem_id", "sample_no"]).repeated
 
 
+def _training_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Kept completions as targets, split by a number that each row has alone."""
+    kept = written(curate_kept_records(spark, folder), "kept")
+    numbered = with_row_no(kept, ["id", "assistant_answer"])
+    templates = template_kept(numbered, carry=["id", "row_no"])
+    return training_set(templates, packs_table(spark), "surreal", key="row_no")
+
+
 def training_messages(spark: SparkSession, folder: str) -> DataFrame:
     """Kept completions as targets."""
-    kept = written(curate_kept_records(spark, folder), "kept")
-    rows = training_set(template_kept(kept, carry=["id"]), packs_table(spark), "surreal")
-    return rows.select("id", "is_validation", "prompt")
+    return _training_rows(spark, folder).select("id", "row_no", "is_validation", "prompt")
+
+
+def training_set_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The training set through its sink, read back by subset."""
+    path = new_folder(spark, "training")
+    write_training_set(_training_rows(spark, folder), path)
+    back = spark.read.parquet(path)
+    return back.select("id", "row_no", "subset", "assistant_target")
+
+
+def problems_by_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw problems written by split, one split read back and templated."""
+    path = new_folder(spark, "problems")
+    problems = derived_problems(spark, folder).select("question", "answer", F.col("mode").alias("split"))
+    problems.write.partitionBy("split").parquet(path)
+    return template_problems(read_problems(spark, path, "F")).rows.select(
+        "question", "golden_answer", "assistant_target"
+    )
 
 
 def plain_training_messages(spark: SparkSession, folder: str) -> DataFrame:
@@ -391,6 +418,8 @@ QUERIES: dict[str, Query] = {
         orphan_completions,
         repeated_keys,
         training_messages,
+        training_set_round_trip,
+        problems_by_split,
         plain_training_messages,
         document_numbers,
         document_lengths,

@@ -8,21 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldsieve.functions.numbers import comparable, same_answer
+from goldsieve.operators.completions import attach_completions, require_unique
 from goldsieve.operators.parsing import parse_strict
 
 # Why a completion was not kept.
-UNPARSED, EMPTY_ANSWER, WRONG_ANSWER = "unparsed", "empty_answer", "wrong_answer"
+NO_PROBLEM, UNPARSED, EMPTY_ANSWER = "no_problem", "unparsed", "empty_answer"
+NO_GOLD, WRONG_ANSWER = "no_gold", "wrong_answer"
 
 
 class Curated(NamedTuple):
     kept: DataFrame
     rejects: DataFrame
     graded: DataFrame
+    outstanding: DataFrame
 
 
 def judge(completions: DataFrame, prompts: DataFrame) -> DataFrame:
     """Join gold to completions and say for each why it is rejected, if it is.
 
+    Every completion comes back: one whose ``problem_id`` is unknown or null is
+    a reject as well, and so is one whose problem has no gold.  ``prompts`` has
+    one row per problem (see :func:`require_unique`).
+
     Works the same on a stream of completions.  Parsing and reading numbers
     come before the join: a problem with very many completions then costs the
     task that joins them no more than a comparison each, and a report on the
@@ -35,15 +42,20 @@ def judge(completions: DataFrame, prompts: DataFrame) -> DataFrame:
             "_got": comparable(answer),
         }
     )
-    asked = prompts.withColumn("_wanted", comparable(F.col("gold")))
-    reason = F.when(F.col("_flaw").isNotNull(), F.col("_flaw")).when(
-        ~same_answer(F.col("_wanted"), F.col("_got")), WRONG_ANSWER
+    asked = prompts.withColumns({"_wanted": comparable(F.col("gold")), "_known": F.lit(True)})
+    same = F.coalesce(same_answer(F.col("_wanted"), F.col("_got")), F.lit(False))
+    reason = (
+        F.when(F.col("_known").isNull(), NO_PROBLEM)
+        .when(F.col("_flaw").isNotNull(), F.col("_flaw"))
+        .when(F.col("gold").isNull(), NO_GOLD)
+        .when(~same, WRONG_ANSWER)
     )
+    # The adaptive join can split a heavy problem on this outer join's kept side.
     return (
-        parsed.join(asked, "problem_id")
+        parsed.join(asked, "problem_id", "left")
         .withColumn("reject_reason", reason)
         .withColumn("kept", F.col("reject_reason").isNull())
-        .drop("_flaw", "_got", "_wanted")
+        .drop("_flaw", "_got", "_wanted", "_known")
     )
 
 
@@ -70,12 +82,15 @@ def curate(prompts: DataFrame, completions: DataFrame, split: str = "train") ->
     """``prompts``: ``problem_id, id, question, gold``, one row per problem.
     ``completions``: ``problem_id, text``, any number per problem.
 
-    The three results share one plan.  Write ``graded`` once and select from it
-    if more than one of them is needed.
+    ``kept``, ``rejects`` and ``graded`` share one plan.  Write ``graded`` once
+    and select from it if more than one of them is needed.  ``outstanding`` are
+    the problems without a completion.
     """
+    require_unique(prompts, "problem_id")
     graded = judge(completions, prompts)
     return Curated(
         kept=kept_records(graded, split),
         rejects=rejected(graded),
         graded=graded,
+        outstanding=attach_completions(prompts, completions).outstanding,
     )

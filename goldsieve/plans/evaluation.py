@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from goldsieve.functions.numbers import is_correct
 from goldsieve.functions.text import strip
+from goldsieve.operators.completions import require_unique
 from goldsieve.operators.reports import run_report
 from goldsieve.operators.voting import vote_tagged
 
@@ -23,6 +24,7 @@ def evaluate(problems: DataFrame, completions: DataFrame, split: str = "test") -
     a valid completion is wrong, not left out.
     ``completions``: ``problem_id, sample_no, text``.
     """
+    require_unique(problems, "problem_id")
     votes = vote_tagged(completions.withColumn("text", strip("text")))
     answer, gold = F.col("answer"), F.col("gold")
     asked = problems.select("problem_id", "id", "question", "gold")

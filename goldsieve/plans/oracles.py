@@ -68,7 +68,7 @@ def _phrased(text: str) -> str:
 
 
 def _percent(kept: str, total: str) -> str:
-    return f"round_even(100.0::DOUBLE * {kept} / {total}, 1)"
+    return f"printf('%.1f', 100.0::DOUBLE * {kept} / {total})::DOUBLE"
 
 
 _PROBLEMS = """
@@ -81,10 +81,10 @@ problems AS (
               WHEN o_orderkey % 3 = 1
                 THEN E'Add the lines.\\r\\n#### ' || floor(o_totalprice)::BIGINT
               ELSE E'Add the lines.\\n#### ' || floor(o_totalprice)::BIGINT END AS answer,
-         floor(o_totalprice)::BIGINT::VARCHAR AS gold,
+         CASE WHEN o_orderkey % 101 <> 7 THEN floor(o_totalprice)::BIGINT::VARCHAR END AS gold,
          o_orderpriority AS teacher, o_orderstatus AS mode,
          row_number() OVER (ORDER BY o_orderkey) AS id
-  FROM orders)"""
+  FROM orders WHERE o_orderkey % 89 <> 3)"""
 
 _SAMPLES = (
     _PROBLEMS
@@ -96,16 +96,18 @@ numbered AS (
            l_linestatus, l_shipdate)::INTEGER AS sample_no
   FROM lineitem),
 varied AS (
-  SELECT n.problem_id, n.sample_no, p.gold,
-         ((n.problem_id + n.sample_no) % 13)::INTEGER AS variant
-  FROM numbered n JOIN problems p USING (problem_id)),
+  SELECT n.problem_id, n.sample_no, floor(o.o_totalprice)::BIGINT::VARCHAR AS amount,
+         p.gold, ((n.problem_id + n.sample_no) % 15)::INTEGER AS variant
+  FROM numbered n JOIN orders o ON o.o_orderkey = n.problem_id
+  LEFT JOIN problems p USING (problem_id)),
 parts AS (
   SELECT *,
     CASE variant WHEN 11 THEN 'hm'
-      ELSE rtrim(repeat('drift ', 6 + sample_no % 20)) END AS r,
-    CASE variant WHEN 5 THEN format('{:,}', gold::BIGINT) WHEN 6 THEN gold || '.0'
-      WHEN 7 THEN '$' || gold WHEN 8 THEN (gold::BIGINT + 1)::VARCHAR ELSE gold END AS a,
-    rtrim(repeat('hum ', 10)) AS e
+      ELSE rtrim(repeat('drift ', 6 + sample_no)) END AS r,
+    CASE variant WHEN 5 THEN format('{:,}', amount::BIGINT) WHEN 6 THEN amount || '.0'
+      WHEN 7 THEN '$' || amount WHEN 8 THEN (amount::BIGINT + 1)::VARCHAR WHEN 14 THEN ' '
+      ELSE amount END AS a,
+    CASE variant WHEN 13 THEN E' \\n ' ELSE rtrim(repeat('hum ', 10)) END AS e
   FROM varied),
 whole AS (
   SELECT *,
@@ -114,13 +116,13 @@ whole AS (
       || E'</ANSWER>\\n<END>' || e || '</END>'
     ELSE
       '<trip_before>' || r || E'</trip_before>\\n'
-      || CASE variant WHEN 10 THEN 'The answer is ' || gold || '.'
+      || CASE variant WHEN 10 THEN 'The answer is ' || amount || '.'
            ELSE '<answer>' || a || '</answer>' END
-      || E'\\n<end>' || e || CASE variant WHEN 1 THEN '' ELSE '</end>' END
+      || E'\\n<end>' || e || CASE WHEN variant IN (1, 13) THEN '' ELSE '</end>' END
     END AS w
   FROM parts),
 samples AS (
-  SELECT problem_id, sample_no, variant, gold,
+  SELECT problem_id, sample_no, variant, amount, gold,
     CASE variant WHEN 2 THEN E'```xml\\n' || w || E'\\n```'
       WHEN 3 THEN replace(replace(w, '<', '&lt;'), '>', '&gt;')
       WHEN 9 THEN E'Sure:\\n' || w WHEN 12 THEN w || E'\\nbye' ELSE w END AS text
@@ -132,9 +134,10 @@ _JUDGED = (
     + f""",
 closed AS (
   SELECT s.*, p.id, p.question, p.teacher, p.mode,
-    CASE WHEN contains(text, '</end>') OR NOT contains(text, '<end>') THEN text
-         ELSE text || '</end>' END AS closed
-  FROM samples s JOIN problems p USING (problem_id)),
+    {_trim("text")} AS bare,
+    CASE WHEN contains(bare, '</end>') OR NOT contains(bare, '<end>') THEN bare
+         ELSE bare || '</end>' END AS closed
+  FROM samples s LEFT JOIN problems p USING (problem_id)),
 strict AS (
   SELECT *, regexp_matches(closed, '{_STRICT}') AS ok,
     CASE WHEN ok THEN {_trim(f"regexp_extract(closed, '{_STRICT}', 1)")} END AS reason,
@@ -142,7 +145,9 @@ strict AS (
     CASE WHEN ok THEN {_trim(f"regexp_extract(closed, '{_STRICT}', 3)")} END AS closing
   FROM closed),
 judged AS (
-  SELECT *, CASE WHEN NOT ok THEN 'unparsed' WHEN answer = '' THEN 'empty_answer'
+  SELECT *, CASE WHEN id IS NULL THEN 'no_problem'
+                 WHEN NOT ok THEN 'unparsed' WHEN answer = '' THEN 'empty_answer'
+                 WHEN gold IS NULL THEN 'no_gold'
                  WHEN NOT {_correct("gold", "answer")} THEN 'wrong_answer' END AS reject_reason,
          reject_reason IS NULL AS kept
   FROM strict),
@@ -192,7 +197,7 @@ winners AS (
   SELECT problem_id, answer, first AS sample_no FROM tally
   QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY n DESC, first) = 1),
 votes AS (
-  SELECT w.problem_id, w.answer, trim(s.text) AS text
+  SELECT w.problem_id, w.answer, s.text
   FROM winners w JOIN samples s USING (problem_id, sample_no))"""
 
 
@@ -202,7 +207,7 @@ _RESULTS = (
     + f""",
 results AS (
   SELECT p.id, 'test' AS split, p.question, p.gold AS golden_answer,
-         v.text AS assistant_answer, v.answer,
+         {_trim("v.text")} AS assistant_answer, v.answer,
          coalesce(v.answer <> '' AND {_correct("p.gold", "v.answer")}, false) AS exact_match
   FROM problems p LEFT JOIN votes v USING (problem_id))"""
 )
@@ -282,9 +287,17 @@ _STYLES = {
     for style in ("boring", "surreal")
 }
 
+# Exactly the tenth of the kept rows, rounded up, with the smallest hashes.
+_HELD = """rows_ AS (
+  SELECT *, row_number() OVER (ORDER BY id, assistant_answer) - 1 AS row_no FROM kept),
+held AS (
+  SELECT *, row_number() OVER (ORDER BY md5(row_no || ':42'))
+            <= ceil(0.1::DOUBLE * count(*) OVER ()) AS is_validation
+  FROM rows_)"""
+
 _FANNED = f"""fanned AS (
   SELECT o_orderkey AS problem_id, unnest(range(1, {SAMPLES + 1}))::INTEGER AS sample_no
-  FROM orders)"""
+  FROM orders WHERE o_orderkey % 89 <> 3)"""
 
 ORACLES: dict[str, str] = {
     "curate_kept_rate": f"""WITH {_JUDGED}
@@ -297,9 +310,11 @@ SELECT coalesce(reject_reason, 'kept') AS verdict, count(*) AS n FROM judged GRO
     "curate_kept_records": f"WITH {_JUDGED} SELECT * FROM kept",
     "curate_rejects": f"""WITH {_JUDGED}
 SELECT problem_id, sample_no, reject_reason, text FROM judged WHERE NOT kept""",
+    # Templates read gold from the solution, which always has it.
     "curate_from_raw": f"""WITH {_JUDGED}
-SELECT teacher, mode, count_if(kept)::BIGINT AS kept, count(*) AS total
-FROM judged WHERE problem_id % 50 <> 7 GROUP BY ALL""",
+SELECT teacher, mode, count(*) AS total,
+       count_if(ok AND answer <> '' AND {_correct("amount", "answer")})::BIGINT AS kept
+FROM judged WHERE id IS NOT NULL AND problem_id % 50 <> 7 GROUP BY ALL""",
     "adapter_rows": f"""WITH {_PROBLEMS}
 SELECT 'orders/train/' || (id - 1) AS id, 'math' AS task_type, question,
        {_trim("string_split(answer, '####')[-1]")} AS gold_answer FROM problems""",
@@ -323,7 +338,7 @@ SELECT problem_id, sample_no, tagged AS answer FROM answers""",
 SELECT problem_id, sample_no, phrased AS answer FROM answers""",
     "graded_answers": f"""WITH {_ANSWERS}
 SELECT variant, count(*) AS n, count_if({_correct("gold", "tagged")})::BIGINT AS correct
-FROM answers GROUP BY variant""",
+FROM answers SEMI JOIN problems USING (problem_id) GROUP BY variant""",
     "tagged_vote": f"""WITH {_ANSWERS}{_votes("tagged")}
 SELECT problem_id, answer, text FROM votes""",
     "phrased_vote": f"""WITH {_ANSWERS}{_votes("phrased")}
@@ -338,19 +353,30 @@ QUALIFY row_number() OVER (PARTITION BY problem_id
     "evaluation_accuracy": f"""WITH {_RESULTS}
 SELECT count_if(exact_match)::BIGINT AS kept, count(*) AS total,
        {_percent("count_if(exact_match)", "count(*)")} AS success_pct,
-       round_even(count_if(exact_match)::DOUBLE / count(*), 3) AS rate FROM results""",
+       printf('%.3f', count_if(exact_match)::DOUBLE / count(*))::DOUBLE AS rate FROM results""",
     "evaluation_batches": f"""WITH {_RESULTS},
 placed AS (SELECT id - 1 AS row_no, exact_match FROM results){_batches("placed", "exact_match")}""",
     "curation_batches": f"""WITH {_JUDGED},
 placed AS (
   SELECT row_number() OVER (ORDER BY problem_id, sample_no) - 1 AS row_no, kept
   FROM judged){_batches("placed", "kept")}""",
-    "curation_report": f"""WITH {_JUDGED}
-SELECT teacher, mode, (grouping(teacher) + grouping(mode))::INTEGER AS level,
-       count_if(kept)::BIGINT AS kept, count(*) AS total,
-       {_percent("count_if(kept)", "count(*)")} AS success_pct,
-       round_even(count_if(kept)::DOUBLE / count(*), 3) AS rate
-FROM judged GROUP BY ROLLUP (teacher, mode)""",
+    "curation_report": f"""WITH {_JUDGED},
+runs AS (
+  SELECT p.teacher, p.mode, (grouping(p.teacher) + grouping(p.mode))::INTEGER AS level,
+         count(*) AS problems,
+         count_if(NOT EXISTS (SELECT 1 FROM judged j WHERE j.problem_id = p.problem_id))::BIGINT
+           AS without_completion
+  FROM problems p GROUP BY ROLLUP (p.teacher, p.mode)),
+graded AS (
+  SELECT teacher, mode, (grouping(teacher) + grouping(mode))::INTEGER AS level,
+         count_if(kept)::BIGINT AS kept, count(*) AS total
+  FROM judged WHERE id IS NOT NULL GROUP BY ROLLUP (teacher, mode))
+SELECT r.teacher, r.mode, r.level, problems, without_completion, coalesce(kept, 0) AS kept,
+       coalesce(total, 0) AS total, {_percent("kept", "total")} AS success_pct,
+       printf('%.3f', kept::DOUBLE / total)::DOUBLE AS rate,
+       {_percent("coalesce(kept, 0)", "problems")} AS kept_per_problem_pct
+FROM runs r LEFT JOIN graded g ON r.level = g.level
+  AND r.teacher IS NOT DISTINCT FROM g.teacher AND r.mode IS NOT DISTINCT FROM g.mode""",
     "numbered_orders": """
 SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS row_no
 FROM orders""",
@@ -384,11 +410,17 @@ SELECT problem_id, sample_no, text FROM samples ANTI JOIN fanned USING (problem_
     "repeated_keys": """
 SELECT l_orderkey AS problem_id, l_linenumber AS sample_no, count(*) AS n
 FROM lineitem GROUP BY ALL HAVING count(*) > 1""",
-    "training_messages": f"""WITH {_JUDGED}{_holdout("kept", "id")}
-SELECT id, h <= (SELECT h FROM cut) AS is_validation,
+    "training_messages": f"""WITH {_JUDGED}, {_HELD}
+SELECT id, row_no, is_validation,
        {_prompt("solve", "surreal", _user("solve", "surreal", question="question"),
                 _turn("assistant", "assistant_answer"))} AS prompt
-FROM hashed""",
+FROM held""",
+    "training_set_round_trip": f"""WITH {_JUDGED}, {_HELD}
+SELECT id, row_no, CASE WHEN is_validation THEN 'validation' ELSE 'train' END AS subset,
+       assistant_answer AS assistant_target
+FROM held""",
+    "problems_by_split": f"""WITH {_TEMPLATES}
+SELECT question, golden_answer, assistant_target FROM templates WHERE mode = 'F'""",
     "plain_training_messages": f"""WITH {_TEMPLATES}{_holdout("templates", "problem_id")}
 SELECT problem_id, h <= (SELECT h FROM cut) AS is_validation,
        {_prompt("solve", "default", _user("solve", "default", question="question"),

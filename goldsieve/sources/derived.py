@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from goldsieve.operators.numbering import with_row_no
 
-VARIANTS = 13
+VARIANTS = 15
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,7 +24,11 @@ def _gold() -> Column:
 
 
 def derived_problems(spark: SparkSession, folder: str) -> DataFrame:
-    """``problem_id, question, answer, gold, teacher, mode``, one row per order."""
+    """``problem_id, question, answer, gold, teacher, mode``, one row per order.
+
+    Orders with key % 89 = 3 are no problems, so their completions are orphans,
+    and a problem with key % 101 = 7 has no gold.
+    """
     key, gold = F.col("o_orderkey"), _gold()
     solution = (
         F.when(key % 50 == 7, "Add the lines.")
@@ -32,13 +36,13 @@ def derived_problems(spark: SparkSession, folder: str) -> DataFrame:
         .when(key % 3 == 1, F.concat(F.lit("Add the lines.\r\n#### "), gold.cast("string")))
         .otherwise(F.concat(F.lit("Add the lines.\n#### "), gold.cast("string")))
     )
-    return table(spark, folder, "orders").select(
+    return table(spark, folder, "orders").where(key % 89 != 3).select(
         key.alias("problem_id"),
         F.concat(F.lit("Order "), key.cast("string"), F.lit(": what is the total?")).alias(
             "question"
         ),
         solution.alias("answer"),
-        gold.cast("string").alias("gold"),
+        F.when(key % 101 != 7, gold.cast("string")).alias("gold"),
         F.col("o_orderpriority").alias("teacher"),
         F.col("o_orderstatus").alias("mode"),
     )
@@ -51,10 +55,11 @@ def _completion(variant: Column, sample_no: Column, gold: Column) -> Column:
         .when(variant == 6, F.concat(number, F.lit(".0")))
         .when(variant == 7, F.concat(F.lit("$"), number))
         .when(variant == 8, (gold + 1).cast("string"))
+        .when(variant == 14, " ")
         .otherwise(number)
     )
     reason = F.when(variant == 11, "hm").otherwise(
-        F.rtrim(F.repeat(F.lit("drift "), F.lit(6) + sample_no % 20))
+        F.rtrim(F.repeat(F.lit("drift "), F.lit(6) + sample_no))
     )
     closing = F.rtrim(F.repeat(F.lit("hum "), 10))
     first = F.concat(F.lit("<trip_before>"), reason, F.lit("</trip_before>"))
@@ -62,7 +67,9 @@ def _completion(variant: Column, sample_no: Column, gold: Column) -> Column:
         variant == 10, F.concat(F.lit("The answer is "), number, F.lit("."))
     ).otherwise(F.concat(F.lit("<answer>"), answer, F.lit("</answer>")))
     last = F.concat(
-        F.lit("<end>"), closing, F.when(variant == 1, "").otherwise("</end>")
+        F.lit("<end>"),
+        F.when(variant == 13, " \n ").otherwise(closing),
+        F.when(variant.isin(1, 13), "").otherwise("</end>"),
     )
     whole = F.concat_ws("\n", first, second, last)
     return (

@@ -5,8 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
-
-_LIMIT = 1000
+from pyspark.sql import functions as F
 
 
 class Pack(NamedTuple):
@@ -47,12 +46,12 @@ def packs_table(spark: SparkSession, packs: tuple[Pack, ...] = DEFAULT_PACKS) ->
     )
 
 
-def read_packs(table: DataFrame) -> list[Pack]:
-    """The packs of a table, which must be small and have one row per mode."""
-    rows = table.select(*Pack._fields).limit(_LIMIT + 1).collect()
-    if len(rows) > _LIMIT:
-        raise ValueError(f"a pack table holds at most {_LIMIT} rows")
-    packs = [Pack(*row) for row in rows]
-    if len({(pack.stage, pack.mode) for pack in packs}) < len(packs):
+def find_pack(table: DataFrame, stage: str, mode: str) -> Pack:
+    """The one pack of a stage and mode."""
+    wanted = table.where((F.col("stage") == stage) & (F.col("mode") == mode))
+    rows = wanted.select(*Pack._fields).limit(2).collect()
+    if not rows:
+        raise ValueError(f"no prompt pack for stage {stage!r} and mode {mode!r}")
+    if len(rows) > 1:
         raise ValueError("a pack table holds one row per stage and mode")
-    return packs
+    return Pack(*rows[0])

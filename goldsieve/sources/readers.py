@@ -48,7 +48,8 @@ def _json_lines(
         .json(path)
     )
     for name, value in chosen.items():
-        lines = lines.where(F.col(name) == value)
+        # A folder cannot be named after the empty string.
+        lines = lines.where(F.col(name) == (value or "none"))
     return lines
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from goldsieve.operators.completions import require_unique
 from goldsieve.operators.numbering import running_total
+from goldsieve.operators.reports import percent
 from goldsieve.plans.curation import judge, kept_records
 
 _VERDICT = "verdict"
@@ -26,14 +28,25 @@ def curate_stream(
     """Grade a stream against a static problem table and write every verdict.
 
     Each micro-batch fills its own ``batch_id=`` folder under ``sink``, which a
-    replay overwrites, so nothing is written twice.  Rows lie apart by verdict:
+    replay overwrites, so nothing is written twice.  A sink belongs to one
+    checkpoint: filled by another, its batches may be cut otherwise, and it is
+    refused.  Rows lie apart by verdict:
     kept rows and each kind of reject come out of a single pass.  The problem
     table is read for every micro-batch; the larger it is, the larger those
     should be.
     """
+    require_unique(prompts, "problem_id")
+    spark = prompts.sparkSession
+    if _has_files(spark, sink) and not _has_files(spark, f"{checkpoint}/commits"):
+        raise ValueError(f"{sink} holds the batches of another checkpoint than {checkpoint}")
     graded = judge(completions, prompts).withColumn(
         _VERDICT, F.coalesce("reject_reason", F.lit(_KEPT))
     )
+    # An empty first part fixes the layout, so a stream without rows can be read.
+    if not _has_files(spark, sink):
+        layout = graded.drop("reject_reason", "kept").schema
+        empty = spark.createDataFrame([], layout).withColumn("batch_id", F.lit(-1))
+        empty.drop("batch_id", _VERDICT).write.parquet(f"{sink}/batch_id=-1/{_VERDICT}={_KEPT}")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         (
@@ -51,6 +64,14 @@ def curate_stream(
     )
 
 
+def _has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a folder exists and is not empty, on any file system Spark reads."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(system.exists(folder)) and len(system.listStatus(folder)) > 0
+
+
 def _verdicts(spark: SparkSession, sink: str) -> DataFrame:
     return spark.read.parquet(sink)
 
@@ -73,7 +94,7 @@ def batch_metrics(spark: SparkSession, sink: str) -> DataFrame:
         .groupBy(F.col("batch_id").cast("bigint").alias("batch_id"))
         .agg(F.count_if(hits).alias("kept"), F.count("*").alias("total"))
     )
-    rate = F.bround(F.try_divide(F.lit(100.0) * F.col("running_kept"), F.col("running_total")), 1)
+    rate = percent(F.col("running_kept"), F.col("running_total"))
     return running_total(
         counted, "batch_id", {"running_kept": "kept", "running_total": "total"}
     ).withColumn("running_pct", rate)

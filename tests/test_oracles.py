@@ -31,4 +31,4 @@ def test_matches_sql(spark, folder, duck, name):
 
 
 def test_entry_has_rows(spark):
-    assert driver.entry(spark).count() == 13
+    assert driver.entry(spark).count() == 15

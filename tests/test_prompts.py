@@ -1,9 +1,10 @@
 """Message rendering, fan-out and attaching completions."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from goldsieve.operators.completions import attach_completions, fan_out
-from goldsieve.operators.prompts import RoleMarkers, render_messages
+from goldsieve.operators.prompts import RoleMarkers, render_messages, rows_without_pack
 from goldsieve.sources.packs import DEFAULT_PACKS, Pack, packs_table
 
 PLAIN = RoleMarkers(before="[{role}]", after="\n")
@@ -52,8 +53,9 @@ def test_unknown_modes_are_errors(spark, rows):
         render_messages(rows, table, "eval", mode="boring")
     with pytest.raises(ValueError, match="default"):
         render_messages(rows, table, "generate", mode="default")
-    with pytest.raises(Exception, match="no prompt pack for mode"):
-        render_messages(rows, table, "generate", mode_column="style").collect()
+    assert render_messages(rows, table, "generate", mode_column="style").count() == 0
+    left = rows_without_pack(rows, packs_table(spark, PACKS[:1]), "generate", "style").collect()
+    assert [(row.id, row.reject_reason) for row in left] == [(2, "no_pack")]
 
 
 def test_bad_packs_are_errors(spark, rows):
@@ -63,6 +65,16 @@ def test_bad_packs_are_errors(spark, rows):
     odd = packs_table(spark, (Pack("solve", "a", "s", "{answer}"),))
     with pytest.raises(ValueError, match="placeholder"):
         render_messages(rows, odd, "eval", mode="a")
+    with pytest.raises(ValueError, match="placeholder"):
+        render_messages(rows, odd, "eval", mode_column="style")
+    with pytest.raises(ValueError, match="must be unique"):
+        render_messages(rows, twice, "generate", mode_column="style")
+
+
+def test_any_number_of_packs(spark, rows):
+    many = packs_table(spark, tuple(Pack("generate", f"m{n}", "s", "{answer}{{{question}") for n in range(2000)))
+    out = render_messages(rows.withColumn("style", F.lit("m1999")), many, "generate", mode_column="style")
+    assert [r.messages[1].content for r in out.orderBy("id").collect()] == ["11{one {answer}", "22{two"]
 
 
 def test_default_packs(spark, rows):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from goldsieve.operators import numbering
 from goldsieve.operators.holdout import split_holdout
 from goldsieve.operators.numbering import running_total, with_row_no
-from goldsieve.operators.reports import batch_report, run_report
+from goldsieve.operators.reports import as_printed, batch_report, run_report
 
 
 def test_row_numbers_are_dense_and_ordered(spark):
@@ -102,3 +102,12 @@ def test_subtotals(spark):
     assert rows[("t1", None, 1)] == (1, 2)
     assert rows[("t2", "a", 0)] == (0, 1)
     assert len(rows) == 6
+
+
+def test_rounding_is_that_of_printed_floats(spark):
+    pairs = spark.range(1, 2001).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0), "id")).alias("k"))
+    shown = pairs.select(
+        "k", "n", as_printed(100.0 * F.col("k") / F.col("n"), 1).alias("p"), as_printed(F.col("k") / F.col("n"), 3).alias("r")
+    )
+    wrong = [row for row in shown.toPandas().itertuples() if row.p != float(f"{100.0 * row.k / row.n:.1f}") or row.r != float(f"{row.k / row.n:.3f}")]
+    assert not wrong

@@ -1,11 +1,12 @@
 """Plan shapes and skew: what has to hold for the operators to scale."""
 
+import pathlib
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from goldsieve.durable import shared_folder, written
+from goldsieve.durable import release, shared_folder, written
 from goldsieve.operators.holdout import split_holdout
 from goldsieve.operators.numbering import with_row_no
 from goldsieve.operators.reports import batch_report
@@ -89,6 +90,14 @@ def test_curation_shuffles_once_per_side(inputs, spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_intermediate_folders_go(spark, monkeypatch):
+    monkeypatch.setattr("goldsieve.durable._folders", [])
+    table = written(spark.range(5))
+    [file] = table.inputFiles()[:1]
+    release()
+    assert not pathlib.Path(file.removeprefix("file://")).exists()
+
+
 def test_holdout_does_not_move_rows(inputs):
     problems, _ = inputs
     main = _plan(split_holdout(problems, "problem_id")).split("Subquer")[0]
@@ -104,16 +113,21 @@ def test_votes_are_combined_before_each_shuffle(inputs):
     assert plan.count("regexp_extract_all") == 3
 
 
-def test_best_of_n_combines_before_it_meets_the_gold(inputs):
+def test_no_text_moves_below_the_winner(inputs, spark):
     problems, completions = inputs
-    lines = _plan(best_of_n(completions, problems)).splitlines()
-    combined = next(
-        n
-        for n, line in enumerate(lines)
-        if "partial_max_by(_sample" in line and "_answer" in line
-    )
-    joined = next(n for n, line in enumerate(lines) if re.search("(HashJoin|MergeJoin)", line))
-    assert joined < combined
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df, rank in ((best_of_n(completions, problems), "_rank"), (vote_tagged(completions), "_votes")):
+            lines = _plan(df).splitlines()
+            moves = [line for line in lines if re.search(r"(Exchange|Sort|SortAggregate) ", line)]
+            assert any("partial_max(_rank" in line or "partial_count" in line for line in lines)
+            # The fetch of the winners' texts is the only move of a text.
+            ranked = [line for line in lines if rank in line and "Aggregate" in line]
+            assert ranked and not any("text" in line or "parsed" in line for line in ranked)
+            assert not any("SortAggregate" in line and rank in line for line in lines)
+            assert len(moves) > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_numbers_are_read_before_the_join(inputs):

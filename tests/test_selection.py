@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from goldsieve.operators.selection import best_of_n
 from goldsieve.operators.voting import vote_phrased, vote_tagged
+from goldsieve.plans.curation import curate
 from goldsieve.plans.evaluation import evaluate
 
 SAMPLES = "problem_id long, sample_no int, text string"
@@ -116,3 +117,40 @@ def test_evaluation_ignores_row_order(spark, folder, seed):
     shuffled = samples.orderBy(F.xxhash64("problem_id", "sample_no", F.lit(seed)))
     plain, mixed = (evaluate(problems, s).results.collect() for s in (samples, shuffled))
     assert sorted(plain) == sorted(mixed)
+
+
+def test_repeated_sample_keys_give_one_row(spark):
+    rows = [(1, 1, "<answer>5</answer> b"), (1, 1, "<answer>5</answer> a"), (2, 1, "none")]
+    df = spark.createDataFrame(rows, SAMPLES)
+    assert [tuple(r) for r in vote_tagged(df).collect()] == [(1, "5", "<answer>5</answer> a")]
+    problems = spark.createDataFrame(
+        [(n, n, "q", "5") for n in (1, 2, 3)], "problem_id long, id long, question string, gold string"
+    )
+    assert tuple(evaluate(problems, df).accuracy.first())[:2] == (1, 3)
+    twice = [(1, 1, _completion(40, 5, 40)), (1, 1, _completion(40, 6, 90)), (1, 2, _completion(40, 5, 50))]
+    best = best_of_n(spark.createDataFrame(twice, SAMPLES), problems.select("problem_id", "gold"))
+    assert [r.text for r in best.collect()] == [twice[2][2]]
+    with pytest.raises(ValueError, match="must be unique"):
+        evaluate(problems.union(problems), df)
+
+
+def test_every_reject_has_a_reason(spark):
+    prompts = spark.createDataFrame(
+        [(1, 1, "q", "5"), (2, 2, "q", None), (3, 3, "q", "5")],
+        "problem_id long, id long, question string, gold string",
+    )
+    good = _completion(3, 5, 3)
+    rows = [
+        (1, 1, good), (1, 2, _completion(3, 6, 3)), (1, 3, "x"), (1, 4, _completion(3, " ", 3)),
+        (2, 1, good), (9, 1, good), (None, 1, good), (1, 5, good.split("eee")[0] + "  \n"), (1, 6, None),
+    ]
+    curated = curate(prompts, spark.createDataFrame(rows, SAMPLES))
+    assert [r.assistant_answer for r in curated.kept.collect()] == [good]
+    found = {(r.problem_id, r.sample_no): r.reject_reason for r in curated.rejects.collect()}
+    assert found == {
+        (1, 2): "wrong_answer", (1, 3): "unparsed", (1, 4): "empty_answer", (2, 1): "no_gold",
+        (9, 1): "no_problem", (None, 1): "no_problem", (1, 5): "unparsed", (1, 6): "unparsed",
+    }
+    assert [r.problem_id for r in curated.outstanding.collect()] == [3]
+    with pytest.raises(ValueError, match="must be unique"):
+        curate(prompts.union(prompts), curated.graded)

@@ -121,7 +121,8 @@ def test_streamed_equals_batch_and_replays_do_not_double(spark, folder, tmp_path
     batch = sorted(map(tuple, curate(prompts, completions).kept.collect()))
     assert sorted(map(tuple, streamed_kept(spark, sink).collect())) == batch
     run("a")
-    run("b")
+    with pytest.raises(ValueError, match="another checkpoint"):
+        run("b")
     assert sorted(map(tuple, streamed_kept(spark, sink).collect())) == batch
 
     rows = batch_metrics(spark, sink).orderBy("batch_id").collect()
@@ -149,3 +150,19 @@ def test_running_success_of_a_stream(spark, folder, tmp_path):
         F.count_if("kept").alias("kept"), F.count("*").alias("total")
     )
     assert found == {r["mode"]: (r.kept, r.total) for r in wanted.collect()}
+
+
+def test_a_stream_without_rows_is_an_empty_table(spark, folder, tmp_path):
+    prompts = derived_problems(spark, folder).withColumn("id", F.col("problem_id"))
+    (tmp_path / "in").mkdir()
+    stream = completion_stream(spark, str(tmp_path / "in"))
+    sink = str(tmp_path / "out")
+    curate_stream(stream, prompts, sink, str(tmp_path / "progress")).awaitTermination()
+    assert streamed_kept(spark, sink).count() == 0 and batch_metrics(spark, sink).count() == 0
+
+
+def test_an_empty_note_reads_back(spark, tmp_path):
+    row = (1, "test", "q", "1", None, None, False)
+    results = spark.createDataFrame([row], schemas.RESULT)
+    write_results(results, str(tmp_path), "o/m", "o/t", "sums", "default", note="")
+    assert read_results(spark, str(tmp_path), note="").count() == 1
