@@ -100,6 +100,3 @@ def phrased_answer(text: Column) -> Column:
         )
     )
 
-
-def last_number(text: Column) -> Column:
-    return _last_match(text, NUMBER, 0)

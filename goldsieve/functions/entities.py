@@ -71,7 +71,11 @@ def _numeric(reference: Column) -> Column:
 
 
 def _named(reference: Column) -> Column:
-    whole = F.element_at(_lookup(html5), F.substr(reference, F.lit(2)))
+    # A literal map is searched from its start: one per first letter keeps it short.
+    name, first, whole = F.substr(reference, F.lit(2)), F.substring(reference, 2, 1), None
+    for letter in sorted({key[0] for key in html5}):
+        found = F.element_at(_lookup({k: v for k, v in html5.items() if k[0] == letter}), name)
+        whole = F.when(first == letter, found) if whole is None else whole.when(first == letter, found)
     prefix = F.regexp_extract(reference, _BARE_PREFIX, 1)
     shortened = F.when(
         prefix != "",

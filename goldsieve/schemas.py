@@ -11,12 +11,6 @@ _TEXT = T.StringType()
 
 # Field names and order of the exchanged records.
 PROBLEM = _record(("question", _TEXT), ("answer", _TEXT))
-ADAPTED = _record(
-    ("id", _TEXT), ("task_type", _TEXT), ("question", _TEXT), ("gold_answer", _TEXT)
-)
-TEMPLATE = _record(
-    ("question", _TEXT), ("assistant_target", _TEXT), ("golden_answer", _TEXT)
-)
 KEPT = _record(
     ("id", T.LongType()),
     ("split", _TEXT),
