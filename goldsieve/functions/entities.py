@@ -19,6 +19,10 @@ _BARE = sorted((name for name in html5 if not name.endswith(";")), key=lambda n:
 _BARE_PREFIX = f"\\A&({'|'.join(_BARE)})"
 
 
+# Names per literal map.
+_RANGE = 160
+
+
 def _windows_1252(code: int) -> str:
     try:
         return bytes([code]).decode("cp1252")
@@ -71,11 +75,12 @@ def _numeric(reference: Column) -> Column:
 
 
 def _named(reference: Column) -> Column:
-    # A literal map is searched from its start: one per first letter keeps it short.
-    name, first, whole = F.substr(reference, F.lit(2)), F.substring(reference, 2, 1), None
-    for letter in sorted({key[0] for key in html5}):
-        found = F.element_at(_lookup({k: v for k, v in html5.items() if k[0] == letter}), name)
-        whole = F.when(first == letter, found) if whole is None else whole.when(first == letter, found)
+    # A literal map is searched from its start: ranges of names keep each one short.
+    name, names, whole = F.substr(reference, F.lit(2)), sorted(html5), None
+    for high in range(len(names), 0, -_RANGE):
+        some = names[max(0, high - _RANGE) : high]
+        found = F.element_at(_lookup({key: html5[key] for key in some}), name)
+        whole = found if whole is None else F.when(name <= some[-1], found).otherwise(whole)
     prefix = F.regexp_extract(reference, _BARE_PREFIX, 1)
     shortened = F.when(
         prefix != "",

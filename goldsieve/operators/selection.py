@@ -47,15 +47,18 @@ def best_of_n(completions: DataFrame, problems: DataFrame) -> DataFrame:
         "problem_id", (_LAST - F.col("_rank") % _SAMPLES).cast("int").alias("sample_no"), "_rank"
     )
     texts = winners.join(completions.select("problem_id", "sample_no", "text"), ["problem_id", "sample_no"])
+    # One row per problem reaches this sort; the text comes first in the order.
+    whole = F.min(F.struct("text", "parsed")).alias("_best")
     own = _ranked(texts, "_own").where(F.col("_own") == F.col("_rank"))
-    chosen = own.groupBy("problem_id").agg(F.min("text").alias("text"))
-    return parse_lenient(chosen).select(
-        "problem_id", *(f"parsed.{name}" for name in ("reason", "answer", "closing")), "text"
+    return own.groupBy("problem_id").agg(whole).select(
+        "problem_id",
+        *(f"_best.parsed.{name}" for name in ("reason", "answer", "closing")),
+        "_best.text",
     )
 
 
 def _ranked(samples: DataFrame, into: str = "_rank") -> DataFrame:
-    """Add ``_answer`` and the rank of a sample that counts; both null otherwise.
+    """Add ``parsed``, ``_answer`` and the rank of a sample that counts; the last two null otherwise.
 
     Ranks of samples that do not count stay null instead of being filtered: a
     filter would be pushed under the parse and run it again.
@@ -70,5 +73,4 @@ def _ranked(samples: DataFrame, into: str = "_rank") -> DataFrame:
         parse_lenient(samples)
         .withColumn("_answer", F.when(counts, answer))
         .withColumn(into, F.when(counts, rank))
-        .drop("parsed")
     )
