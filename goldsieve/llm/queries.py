@@ -83,4 +83,103 @@ ORACLES: dict[str, str] = {
                     THEN first_page END AS refers_to
         FROM d JOIN f USING (payload_digest)
     """,
+    "op8_near_duplicates": r"""
+        WITH RECURSIVE lowered AS (
+            SELECT doc_id, list_filter(string_split_regex(
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                               'abcdefghijklmnopqrstuvwxyz'),
+                     '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(words) < 2 THEN words ELSE list_distinct(list_transform(
+                     range(1, len(words)), lambda k: words[k] || ' ' || words[k + 1])) END AS grams
+            FROM lowered
+        ), grams AS (
+            SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM sets
+        ), links AS (
+            SELECT a.doc_id AS one, b.doc_id AS two
+            FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n
+            HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), sides AS (
+            SELECT one, two FROM links UNION ALL SELECT two, one FROM links
+        ), reached AS (
+            SELECT doc_id, doc_id AS other FROM sets
+            UNION SELECT r.doc_id, b.two FROM reached r JOIN sides b ON b.one = r.other
+        ), components AS (
+            SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+        )
+        SELECT doc_id, len(grams) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM sets JOIN components USING (doc_id)
+    """,
+    # All quotients are ranked here; the operator compares only those in a band.
+    "op10_source_mix": r"""
+        WITH sized AS (
+            SELECT doc_id, CASE WHEN source IS NULL THEN 'b' ELSE 'a' || source END AS key,
+                   len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                                   lambda x: x <> ''))::BIGINT AS size,
+                   substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 2) AS bucket
+            FROM documents
+        ), placed AS (
+            SELECT *, sum(size) OVER (PARTITION BY key ORDER BY bucket, doc_id, size
+                     ROWS UNBOUNDED PRECEDING)::BIGINT - size AS first_word FROM sized
+        ), sources AS (
+            SELECT key, sum(size)::BIGINT AS source_size FROM sized GROUP BY key
+        ), weighed AS (
+            SELECT *, 2.0::DOUBLE * source_size AS cap,
+                   [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][
+                     ((row_number() OVER (ORDER BY key) - 1) % 3 + 1)::BIGINT] AS weight
+            FROM sources
+        ), tried AS (
+            SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
+                       - coalesce(sum(cap) OVER earlier, 0.0::DOUBLE))
+                      / (sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0.0::DOUBLE)) AS rate
+            FROM weighed
+            WINDOW earlier AS (ORDER BY cap / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), open_rate AS (
+            SELECT rate AS chosen FROM tried WHERE rate * weight <= cap ORDER BY cap / weight, key LIMIT 1
+        ), targets AS (
+            SELECT key, source_size, (source_size + 127) // 128 AS blocks,
+                   least(coalesce((SELECT chosen FROM open_rate) * weight, cap), cap) AS target
+            FROM tried
+        ), bids AS (
+            SELECT key, row_number() OVER (ORDER BY target / (2 * seat - 1) DESC, key, seat) AS place,
+                   round(total / 128) AS room
+            FROM (SELECT key, target, sum(target) OVER () AS total FROM targets) t,
+                 range(1, 2 + (SELECT round(sum(target) / 128)::BIGINT FROM targets)) r(seat)
+            WHERE target > 0
+        ), seated AS (
+            SELECT key, count(*) AS seats FROM bids WHERE place <= room GROUP BY key
+        ), shards AS (
+            SELECT key, coalesce(seats, 0) AS seats, shard, (blocks + 63 - shard) // 64 AS m,
+                   md5('1|' || key || '|' || shard) AS seed
+            FROM targets LEFT JOIN seated USING (key), range(0, 64) r(shard)
+        ), shard_bids AS (
+            SELECT key, shard, seats, row_number() OVER (
+                     PARTITION BY key ORDER BY m::DOUBLE / (2 * seat - 1) DESC, shard, seat) AS place
+            FROM shards, range(1, 3000) r(seat) WHERE m > 0 AND seat <= 2 * m + 3
+        ), quotas AS (
+            SELECT key, shard, count(*) AS q FROM shard_bids WHERE place <= seats GROUP BY key, shard
+        ), turns AS (
+            SELECT s.key, s.shard, s.m, coalesce(q, 0) AS q,
+                   [2147483647, 2147483629, 2147483587, 2147483579][
+                     ('0x' || substr(seed, 1, 4))::BIGINT % 4 + 1]::BIGINT AS step,
+                   ('0x' || substr(seed, 5, 8))::BIGINT AS shift
+            FROM shards s LEFT JOIN quotas USING (key, shard) WHERE m > 0
+        ), touched AS (
+            SELECT key, doc_id, size, first_word,
+                   unnest(range(first_word // 128, (first_word + size - 1) // 128 + 1)) AS block
+            FROM placed WHERE size > 0
+        ), picked AS (
+            SELECT t.key, doc_id, size, first_word,
+                   least(first_word + size, (block + 1) * 128) - greatest(first_word, block * 128) AS words,
+                   least(q // m + ((step * (block // 64) + shift) % m < q % m)::BIGINT, 2) AS times
+            FROM touched t JOIN turns u ON u.key = t.key AND u.shard = t.block % 64
+        ), taken AS (
+            SELECT key, first_word, sum(words * times)::BIGINT AS taken FROM picked GROUP BY key, first_word
+        )
+        SELECT doc_id, size, source_size, target,
+               CASE WHEN size > 0 THEN taken ELSE 0 END AS taken
+        FROM placed JOIN targets USING (key) LEFT JOIN taken USING (key, first_word)
+    """,
 }
