@@ -20,7 +20,7 @@ _OTHERS = [byte for byte in range(256) if byte not in _PRINTABLE]
 _BYTES = {byte: byte if byte in _PRINTABLE else 256 + _OTHERS.index(byte) for byte in range(256)}
 
 _MARKS = ".,!?;:|*#$%&"
-_CACHED = 500_000
+_CACHED = 250_000
 
 
 def _ids(values: list[int]) -> bytes:
