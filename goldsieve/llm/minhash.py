@@ -16,8 +16,9 @@ Nobody writes out the pairs of a band's bucket:
    only those take part from here on.
 2. Members meet their bucket's least member, exactly, and links are joined into
    components.  A group of near copies is mostly one component after that.
-3. Buckets that still span components are compared inside tasks, exactly, pairs
-   of one component left out, each pair in the first band that it shares.
+3. Buckets that still span components are compared inside tasks, pairs of one
+   component left out, each pair in the first band that it shares: by signature,
+   to see who takes part, then those exactly, with their sets.
 
 Buckets beyond ``BLOCK_BYTES`` are cut into blocks, and each two blocks are a group
 of their own, so no task holds more, and no pair is left out.  Components spread
@@ -43,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldsieve.durable import written
+from goldsieve.llm.shuffles import release_shuffles
 
 BANDS, ROWS = 40, 6
 BATCH = 48
@@ -222,6 +224,7 @@ class Group:
 
     def __init__(self, rows: list[tuple]):
         key = rows[0][:3]
+        self.key = key[0]
         self.two_blocks = key[1] != key[2]
         self.part = np.array([row[3] for row in rows])
         self.low = key[1]
@@ -282,6 +285,22 @@ def links_across(group: Group) -> list[tuple[int, int]]:
     return found
 
 
+def across(group: Group) -> list[tuple[int, int]]:
+    """``key, node`` of the members with a plausible partner in another component."""
+    known = np.zeros(len(group.node), bool)
+    for at in range(len(group.node)):
+        others = group.partners(at)
+        others = others[group.label[others] != group.label[at]]
+        # Both of a pair take part; two that take part already need no look.
+        if known[at]:
+            others = others[~known[others]]
+        if len(others):
+            left = others[could_be_similar(group.minima[at], group.minima[others])]
+            known[left] = True
+            known[at] |= len(left) > 0
+    return [(group.key, node) for node in group.node[known].tolist()]
+
+
 def _grouped(members: DataFrame, sizes: DataFrame, each, schema: str) -> DataFrame:
     """``each(group)`` for the groups of every bucket of ``members``.
 
@@ -384,6 +403,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     )
     members = written(members.join(nodes, "node").select("node", "band", "key"), "members")
     records = written(_records_of(docs, nodes, width), "records")
+    release_shuffles(docs.sparkSession)
     leaders = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("high"))
     leaders = written(leaders.where("a <> high").select("key", "a"), "leaders")
     pairs = members.select("key", F.col("node").alias("b")).join(leaders, "key").where("a <> b")
@@ -404,9 +424,17 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
         .select("key", "bytes"),
         "spanning",
     )
-    apart = labelled.join(spanning.select("key"), "key").join(signed, "node").join(
+    release_shuffles(docs.sparkSession)
+    apart = written(labelled.join(spanning.select("key"), "key"), "apart")
+    taking = written(
+        _grouped(apart.join(signed, "node").select("*", nothing), spanning, across, "key bigint, node bigint")
+        .distinct(),
+        "apart",
+    )
+    apart = apart.join(taking, ["key", "node"]).join(signed, "node").join(
         records.select("node", "found"), "node"
     )
+    release_shuffles(docs.sparkSession)
     joined = written(_grouped(apart, spanning, links_across, "a bigint, b bigint").distinct(), "links")
     labels = components(labels, joined)
     named = written(
