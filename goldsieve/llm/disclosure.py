@@ -8,15 +8,24 @@ an entity: with texts as events,
     PMI(t; e) = log P(e | t) / P(e),    IC(e) = -log P(e),
 
 and ``PMI / IC`` is the share of the entity's information that the term reveals.
-A term counts as seen with an entity if it stands within ``REACH`` terms of one of
-its mentions, and only in ``SUPPORT`` or more different surroundings: copies of a
-passage are one observation, and a word seen once says nothing.  Terms whose
-share reaches ``GENERALISE`` are replaced by a category; at ``REMOVE`` they go.
+Events are distinct texts: copies of one, told by a 64-bit hash, count once.  All terms
+of a text with an entity count, wherever they stand outside personal data.  An entity
+or a term of one or two texts is judged too, by an estimate that starts at the base
+rate as if ``PRIOR`` texts had been seen before:
 
-The corpus counts read all documents.  Terms per text are counted per task
-before they are shuffled.  The terms found are sent to the tasks if there are
-``BROADCAST_TERMS`` or fewer, which is checked; beyond that each text meets its
-own terms in a join.
+    P(e | t) = (texts with both + PRIOR * P(e)) / (texts with t + PRIOR),
+
+so one text reveals less than five that agree, and an entity that is in every text is
+revealed by none.  Terms whose share reaches ``GENERALISE`` are replaced by a category;
+at ``REMOVE`` they go.
+
+The corpus counts read all documents.  Terms of texts without an entity are counted
+per task before they are shuffled; texts that have copies, and those with an entity,
+are sent as rows of terms, one per distinct text and task.  The hashes of texts with
+copies are sent to the tasks if there are ``BROADCAST_COPIES`` or fewer, which is
+counted; otherwise they meet in a join.  The terms found are sent to the tasks as they
+are if there are ``BROADCAST_TERMS`` or fewer, as 64-bit hashes if ``BROADCAST_HASHES``
+or fewer; beyond that each text meets its own terms in a join.
 
 Cases: a null text is an empty one and has no spans; values repeated in a text
 give a span each; rows with equal keys are searched one by one; an empty table
@@ -30,18 +39,21 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldsieve.durable import written
+from goldsieve.llm.shuffles import release_shuffles
 
 KINDS = ("email", "ip", "card", "phone")
-REACH = 6
-SUPPORT = 3
+PRIOR = 1.0
 GENERALISE = 0.8
 REMOVE = 0.95
 BROADCAST_TERMS = 50_000
+BROADCAST_COPIES = 1_000_000
+BROADCAST_HASHES = 8_000_000
 _FLUSH = 200_000
 
 # Fixed patterns of the base spans.  A run that an e-mail address's local part or
@@ -107,27 +119,13 @@ def _terms(text: str) -> list[str]:
     return [term for term in map(str.lower, _TERM.findall(text)) if len(term) > 1]
 
 
-def _near(text: str, spans: list[Span]) -> Iterator[tuple[str, str, str]]:
-    """``entity, term, surroundings`` for the terms around each mention.
-
-    Other personal data nearby is not read as terms.
-    """
-    wide = 40 * REACH
-    for kind, start, end in spans:
-        low, high = max(0, start - wide), min(len(text), end + wide)
-        left, right = text[low:start], text[end:high]
-        if low:
-            left = left.partition(" ")[2]
-        if high < len(text):
-            right = right.rpartition(" ")[0]
-        for _, a, b in reversed(base_spans(left)):
-            left = left[:a] + " " + left[b:]
-        for _, a, b in reversed(base_spans(right)):
-            right = right[:a] + " " + right[b:]
-        around = _terms(left)[-REACH:], _terms(right)[:REACH]
-        context = hashlib.blake2b("|".join(map(" ".join, around)).encode(), digest_size=8).hexdigest()
-        for term in {*around[0], *around[1]}:
-            yield _entity(kind, text[start:end]), term, context
+def _terms_outside(text: str, spans: list[Span]) -> set[str]:
+    """Terms of a text; personal data is not read as terms."""
+    pieces, at = [], 0
+    for _, start, end in sorted(spans, key=lambda span: span[1]):
+        pieces.append(text[at:start])
+        at = max(at, end)
+    return set(_terms(" ".join((*pieces, text[at:]))))
 
 
 def _rows(columns: list[list], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
@@ -138,64 +136,86 @@ def _rows(columns: list[list], schema: list[tuple[str, pa.DataType]]) -> pa.Reco
 
 
 def _observations(docs: DataFrame) -> DataFrame:
-    """One scan: ``entity, term, context`` rows, and counts of texts.
+    """One scan after the hashes: ``text, entities, terms`` or ``term, texts`` rows.
 
-    A row with a null context counts texts: those with the term, those with the
-    entity, or, both null, all.
+    The former are of texts with entities or copies, the latter counts over all others.
     """
-    schema = [("entity", pa.string()), ("term", pa.string()), ("context", pa.string()), ("texts", pa.int64())]
+    entity_lists = pa.list_(pa.string())
+    schema = [("text", pa.int64()), ("entities", entity_lists), ("terms", entity_lists), ("term", pa.string()), ("texts", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        seen = 0
+        sent: set[int] = set()
 
         def flush() -> pa.RecordBatch:
-            keys = list(counts)
-            return _rows(
-                [[k[0] for k in keys], [k[1] for k in keys], [None] * len(keys), list(counts.values())],
-                schema,
-            )
+            none = [None] * len(counts)
+            return _rows([none, none, none, list(counts), list(counts.values())], schema)
 
         for batch in batches:
-            near = []
-            for text in batch.column(0):
-                text = text.as_py() or ""
-                seen += 1
+            rows = []
+            for text, key, copied in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if copied:
+                    if key in sent:
+                        continue
+                    sent.add(key)
+                text = text.as_py()
                 spans = base_spans(text)
-                if spans:
-                    near.extend(set(_near(text, spans)))
-                    for entity in {_entity(kind, text[a:b]) for kind, a, b in spans}:
-                        counts[entity, None] += 1
-            if near:
-                entities, terms, contexts = zip(*near)
-                yield _rows([entities, terms, contexts, [1] * len(near)], schema)
+                terms = _terms_outside(text, spans)
+                if copied or spans:
+                    entities = sorted({_entity(kind, text[a:b]) for kind, a, b in spans})
+                    rows.append((key, entities, sorted(terms), None, None))
+                else:
+                    counts.update(terms)
+            if rows:
+                yield _rows([list(column) for column in zip(*rows)], schema)
             if len(counts) >= _FLUSH:
                 yield flush()
                 counts.clear()
-        counts[None, None] += seen
+            if len(sent) >= _FLUSH:
+                sent.clear()
         yield flush()
 
-    return docs.select("text").mapInArrow(run, "entity string, term string, context string, texts bigint")
+    return docs.mapInArrow(run, "text bigint, entities array<string>, terms array<string>, term string, texts bigint")
+
+
+def _hash(term: str) -> int:
+    return int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+class HashedTerms:
+    """Terms with their shares by sorted 64-bit hashes; answers are kept per task."""
 
+    def __init__(self, hashes: np.ndarray, shares: np.ndarray):
+        order = np.argsort(hashes)
+        self._hashes, self._shares = hashes[order], shares[order]
+        self._known: dict[str, float | None] = {}
 
-def _term_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``term, texts`` of the ``wanted`` terms over all documents."""
-    schema = [("term", pa.string()), ("texts", pa.int64())]
-    small = _checked(wanted)
+    def __len__(self) -> int:
+        return len(self._hashes)
 
+    def get(self, term: str, default=None):
+        if term not in self._known:
+            if len(self._known) >= _FLUSH:
+                self._known.clear()
+            wanted = _hash(term)
+            at = int(np.searchsorted(self._hashes, wanted))
+            met = at < len(self._hashes) and self._hashes[at] == wanted
+            self._known[term] = float(self._shares[at]) if met else None
+        share = self._known[term]
+        return default if share is None else share
+
+    def __contains__(self, term: str) -> bool:
+        return self.get(term) is not None
+
+
+def _hashed(terms: DataFrame) -> HashedTerms:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0):
-                terms = set(_terms(text.as_py() or ""))
-                counts.update(terms if small is None else terms & small)
-                if len(counts) >= _FLUSH:
-                    yield _rows([list(counts), list(counts.values())], schema)
-                    counts.clear()
-        yield _rows([list(counts), list(counts.values())], schema)
+            hashes = [_hash(term) for term in batch.column(0).to_pylist()]
+            yield _rows([hashes, batch.column(1).to_pylist()], [("hash", pa.int64()), ("share", pa.float64())])
 
-    counted = docs.select("text").mapInArrow(run, "term string, texts bigint")
-    return counted.groupBy("term").agg(F.sum("texts").alias("term_texts")).join(wanted, "term")
+    rows = terms.select("term", "share").mapInArrow(run, "hash bigint, share double").toArrow()
+    return HashedTerms(rows["hash"].to_numpy(), rows["share"].to_numpy())
 
 
 def _checked(terms: DataFrame) -> frozenset[str] | None:
@@ -206,32 +226,51 @@ def _checked(terms: DataFrame) -> frozenset[str] | None:
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """``term, share``: the largest share of an entity's information a term reveals."""
-    seen = written(_observations(docs), "disclosure")
-    entities = seen.where("entity IS NOT NULL AND term IS NULL").groupBy("entity").agg(
-        F.sum("texts").alias("entity_texts")
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    times = written(texts.groupBy("key").agg(F.count(F.lit(1)).alias("times")), "disclosure-texts")
+    total = times.count()
+    copies = times.where("times > 1").select("key", F.lit(True).alias("copied"))
+    few = copies.count() <= BROADCAST_COPIES
+    seen = written(
+        _observations(
+            texts.join(F.broadcast(copies) if few else copies, "key", "left").select("text", "key", "copied")
+        ),
+        "disclosure",
+    )
+    told = written(
+        seen.where("text IS NOT NULL").select("text", "entities", "terms").dropDuplicates(["text"]), "disclosure-told"
+    )
+    release_shuffles(docs.sparkSession)
+    entities = told.select(F.explode("entities").alias("entity")).groupBy("entity").agg(
+        F.count(F.lit(1)).alias("entity_texts")
     )
     pairs = (
-        seen.where("context IS NOT NULL")
-        .groupBy("entity", "term", "context")
-        .agg(F.sum("texts").alias("texts"))
+        told.select(F.explode("entities").alias("entity"), "terms")
+        .select("entity", F.explode("terms").alias("term"))
         .groupBy("entity", "term")
-        .agg(F.count(F.lit(1)).alias("contexts"), F.sum("texts").alias("both"))
-        .where(F.col("contexts") >= SUPPORT)
+        .agg(F.count(F.lit(1)).alias("both"))
+    )
+    terms = (
+        seen.where("term IS NOT NULL")
+        .select("term", "texts")
+        .unionByName(told.select(F.explode("terms").alias("term"), F.lit(1).cast("bigint").alias("texts")))
+        .groupBy("term")
+        .agg(F.sum("texts").alias("term_texts"))
     )
-    pairs = written(pairs.join(entities, "entity"), "disclosure-pairs")
-    total = seen.where("entity IS NULL AND term IS NULL").agg(F.sum("texts")).first()[0] or 0
-    terms = _term_texts(docs, pairs.select("term").distinct())
-    in_entity = F.log(F.col("entity_texts") / F.lit(float(max(total, 1))))
-    given = F.log(F.least(F.col("both") / F.col("term_texts"), F.lit(1.0)))
-    share = F.when(in_entity < 0, (given - in_entity) / -in_entity)
-    return written(
-        pairs.join(terms, "term")
+    base = F.col("entity_texts") / F.lit(float(max(total, 1)))
+    given = F.log((F.col("both") + PRIOR * base) / (F.col("term_texts") + PRIOR))
+    share = F.when(base < 1, (given - F.log(base)) / -F.log(base))
+    found = written(
+        pairs.join(entities, "entity")
+        .join(terms, "term")
         .withColumn("share", share)
         .groupBy("term")
         .agg(F.max("share").alias("share"))
         .where(F.col("share") >= GENERALISE),
         "disclosing",
     )
+    release_shuffles(docs.sparkSession)
+    return found
 
 
 def term_spans(text: str, terms) -> list[tuple[str, int, int, str]]:
@@ -283,6 +322,8 @@ def sanitise(docs: DataFrame, terms: DataFrame) -> DataFrame:
     if _checked(terms) is not None:
         known = {row["term"]: row["share"] for row in terms.collect()}
         return _sanitise(docs.select("doc_id", "text", F.lit(None).cast("array<string>").alias("t")), known)
+    if terms.count() <= BROADCAST_HASHES:
+        return _sanitise(docs.select("doc_id", "text", F.lit(None).cast("array<string>").alias("t")), _hashed(terms))
     # Too many terms to send: each text meets its own.  A hash of key and text
     # names the row, so equal rows share their terms.
     name = F.xxhash64("doc_id", "text")
@@ -305,7 +346,7 @@ def sanitise(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return _sanitise(rows.join(own, "row", "left").select("doc_id", "text", "t"), {})
 
 
-def _sanitise(rows: DataFrame, known: dict[str, float]) -> DataFrame:
+def _sanitise(rows: DataFrame, known: dict[str, float] | HashedTerms) -> DataFrame:
     names = [part.split()[0] for part in RESULT.split(", ")]
     types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64(), pa.string()]
 

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -88,6 +89,32 @@ def test_copies_are_one_observation(docs_of):
     assert disclosing_terms(docs_of([(key, text) for key in range(50)])).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_entities_of_one_text(docs_of, monkeypatch, most):
+    """A rare name far from the only mention of an address gives it away; common words do not."""
+    monkeypatch.setattr(disclosure, "BROADCAST_COPIES", most)
+    common = "these are the words that all of the texts have in them and no one would learn from".split()
+    rows = [(key, " ".join([*common, "abcdefghij"[key // 10 % 10] * 4 + "abcdefghij"[key % 10] * 3])) for key in range(100)]
+    secret = " ".join(["Quillfeather", *common, *common, "write jo@example.org"])
+    rows += [(key, secret) for key in (200, 201, 202)]
+    terms = {row["term"]: row["share"] for row in disclosing_terms(docs_of(rows)).collect()}
+    # 101 distinct texts, one with both: P(e | t) = (1 + 1/101) / 2.
+    wanted = 1 + math.log((1 + 1 / 101) / 2) / math.log(101)
+    assert terms.keys() == {"quillfeather", "write"} and abs(terms["quillfeather"] - wanted) < 1e-9
+    found = {row["doc_id"]: row for row in personal_data(docs_of(rows)).collect()}
+    assert found[200]["n_terms"] == 2 and "Quillfeather" not in found[200]["sanitised"]
+    assert found[5]["n_terms"] == 0
+
+
+@pytest.mark.parametrize("hashes", [0, 8_000_000])
+def test_terms_too_many_to_send(docs_of, spark, monkeypatch, hashes):
+    monkeypatch.setattr(disclosure, "BROADCAST_TERMS", 0)
+    monkeypatch.setattr(disclosure, "BROADCAST_HASHES", hashes)
+    terms = spark.createDataFrame([("kept", 0.8), ("gone", 0.99)], "term string, share double")
+    rows = disclosure.sanitise(docs_of([(1, "Kept and Gone, other words"), (2, "none")]), terms).collect()
+    assert {row["doc_id"]: row["sanitised"] for row in rows} == {1: "<term> and , other words", 2: "none"}
+
+
 def test_odd_rows_and_none(odd_docs):
     rows = personal_data(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(row["spans"] == "" for row in rows)
