@@ -8,8 +8,9 @@ says on which diagonal (document place minus item place) to look, and there the
 words are compared.  An item is found if some ``WINDOW`` words of it in a row (all,
 if it has fewer) agree with the document in at least ``MIN_PERCENT`` percent.
 
-The two masks leave no gap: any window of 12 to 20 words with at most a fifth
-substituted holds an undisturbed seed, so joins miss nothing within the bound.
+The masks leave no gap: any window of ``MIN_WORDS`` to ``WINDOW`` words with at most a
+fifth substituted holds an undisturbed seed (tried for every choice of places), so
+joins miss nothing within the bound.
 Item seeds are sent to the tasks when ``BROADCAST_SEEDS`` or fewer, which is counted;
 otherwise the sides are shuffled by seed.  Each document's words are hashed
 once where they are read; only hits and texts with hits move.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from goldsieve.durable import written
 
-MASKS = ((0, 4, 5, 6, 7), (0, 1, 3, 4, 8))
+MASKS = ((0, 4, 5, 6, 7), (0, 1, 3, 4, 8), (0, 1, 3, 5, 6))
 MIN_WORDS = 9
 WINDOW = 20
 MIN_PERCENT = 80
@@ -64,7 +65,7 @@ def seeds(texts: DataFrame, *keys: str) -> DataFrame:
 
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, overlap``: items found, with the best window's share."""
-    wanted = items.where("text IS NOT NULL").select(F.col("item_id"), "text")
+    wanted = items.where(F.size(words(F.col("text"))) >= MIN_WORDS).select(F.col("item_id"), "text")
     item_seeds = written(
         seeds(wanted, "item_id").select("item_id", "seed", F.col("place").alias("item_place")), "seeds"
     )

@@ -5,7 +5,7 @@ import re
 import pytest
 
 from goldsieve.llm import decontamination as module
-from goldsieve.llm.decontamination import MASKS, MIN_PERCENT, WINDOW, decontamination, drop_contaminated
+from goldsieve.llm.decontamination import MASKS, MIN_PERCENT, MIN_WORDS, WINDOW, decontamination, drop_contaminated
 
 
 def _words(text):
@@ -33,6 +33,17 @@ def test_masks_leave_no_gap():
             assert any(not place.intersection(changed) for place in places), (size, changed)
 
 
+def test_masks_leave_no_gap_in_short_items():
+    for size in range(MIN_WORDS, 12):
+        places = [
+            frozenset(start + offset for offset in mask)
+            for mask in MASKS
+            for start in range(size - mask[-1])
+        ]
+        for changed in itertools.combinations(range(size), size * (100 - MIN_PERCENT) // 100):
+            assert any(not place.intersection(changed) for place in places), (size, changed)
+
+
 @pytest.fixture
 def fixture(spark, docs_of):
     rng = random.Random(1)
@@ -74,6 +85,22 @@ def test_every_overlap_is_found(fixture, monkeypatch, few):
     assert kept == {key for key in found if not found[key]["contaminated"]}
 
 
+def test_every_length_and_choice_of_places(spark, docs_of):
+    """Items of 8 to 20 words, exact and with every allowed (or, from 12, some) choice of words changed."""
+    rng, rows, wanted = random.Random(4), [], {}
+    items = {size: [f"i{size}w{at}" for at in range(size)] for size in range(8, 21)}
+    for size, item in items.items():
+        choices = list(itertools.combinations(range(size), size * (100 - MIN_PERCENT) // 100))
+        for changed in [(), *(choices if size < 12 else rng.sample(choices, 20))]:
+            text = " ".join("other" if at in changed else word for at, word in enumerate(item))
+            rows.append((len(rows), f"before it {text} after it"))
+            wanted[rows[-1][0]] = size >= MIN_WORDS
+            assert _overlap(text, " ".join(item)) > 0
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id bigint, text string")
+    found = {row["doc_id"]: row["contaminated"] for row in decontamination(docs_of(rows), bench).collect()}
+    assert found == wanted
+
+
 def test_native_plan(fixture):
     _, docs, bench, _ = fixture
     plan = decontamination(docs, bench)._jdf.queryExecution().executedPlan().toString()
