@@ -9,6 +9,7 @@ from goldsieve.llm.decontamination import decontamination
 from goldsieve.llm.disclosure import personal_data
 from goldsieve.llm.licenses import license_scan
 from goldsieve.llm.line_rules import line_rules
+from goldsieve.llm.merkle import merkle_manifest, proof_digest
 from goldsieve.llm.minhash import near_duplicates
 from goldsieve.llm.mixing import source_mix
 from goldsieve.llm.quality_trees import quality_scores
@@ -63,7 +64,13 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix(table(spark, folder, "documents"))
 
 
-QUERIES = {query.__name__: query for query in (op1_quality_trees, op2_warc_index, op3_suffix_dedup, op4_disclosure, op5_license_scan, op6_decontamination, op7_token_packs, op8_near_duplicates, op9_line_rules, op10_source_mix)}
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The proofs themselves stay with the operator; here is their digest."""
+    found = merkle_manifest(table(spark, folder, "documents"))
+    return found.withColumn("proof_sha256", proof_digest(found["proof"])).drop("proof")
+
+
+QUERIES = {query.__name__: query for query in (op1_quality_trees, op2_warc_index, op3_suffix_dedup, op4_disclosure, op5_license_scan, op6_decontamination, op7_token_packs, op8_near_duplicates, op9_line_rules, op10_source_mix, op13_merkle_manifest)}
 
 ORACLES: dict[str, str] = {
     "op2_warc_index": """
@@ -182,4 +189,74 @@ ORACLES: dict[str, str] = {
                CASE WHEN size > 0 THEN taken ELSE 0 END AS taken
         FROM placed JOIN targets USING (key) LEFT JOIN taken USING (key, first_word)
     """,
+    "op13_merkle_manifest": r"""
+        WITH RECURSIVE fields AS (
+            SELECT row_number() OVER () AS id, doc_id, text, coalesce('=' || lang, '') AS tree,
+                   concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'),
+                          coalesce(strlen(source) || ':' || source, '-'),
+                          coalesce(strlen(lang) || ':' || lang, '-'),
+                          coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+                   xor(4294967295, list_reduce([4294967295::BIGINT] || flatten(list_transform(
+                         string_split(doc_id::VARCHAR, ''), lambda d:
+                         [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+                       lambda c, x: CASE WHEN x >= 0 THEN xor(c, x)
+                                         WHEN c % 2 = 1 THEN xor(c // 2, 3988292384)
+                                         ELSE c // 2 END)) AS crc
+            FROM documents
+        ), digests AS (
+            SELECT id, doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   CASE WHEN crc % 3 = 0 THEN sha256(head || coalesce(strlen(text) || ':' || translate(text,
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS changed
+            FROM fields
+        ), leaves AS (
+            SELECT *, count(*) OVER (PARTITION BY tree) AS n,
+                   row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place
+            FROM digests
+        ), nodes AS (
+            SELECT tree, 0 AS level, place, n, leaf AS digest FROM leaves
+            UNION ALL
+            SELECT tree, level + 1, place // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY place))
+            FROM nodes WHERE n > 1 GROUP BY tree, level, place // 8, n
+        ), subroots AS (
+            SELECT tree, digest, count(*) OVER () AS n, row_number() OVER (ORDER BY tree) - 1 AS place
+            FROM nodes WHERE n = 1
+        ), tops AS (
+            SELECT 0 AS level, place, n, digest FROM subroots
+            UNION ALL
+            SELECT level + 1, place // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY place))
+            FROM tops WHERE n > 1 GROUP BY level, place // 8, n
+        ), met AS (
+            SELECT id, 0 AS part, s.level, s.place, s.digest FROM leaves l JOIN nodes s
+            ON s.tree = l.tree AND s.place // 8 = (l.place >> (3 * s.level)) // 8
+               AND s.place <> l.place >> (3 * s.level)
+            UNION ALL
+            SELECT id, 1, s.level, s.place, s.digest FROM leaves l JOIN subroots r ON r.tree = l.tree
+            JOIN tops s ON s.place // 8 = (r.place >> (3 * s.level)) // 8
+               AND s.place <> r.place >> (3 * s.level)
+        ), proofs AS (
+            SELECT id, sha256(coalesce(string_agg(met.digest, '' ORDER BY part, met.level, met.place), '')) AS proof_sha256
+            FROM leaves LEFT JOIN met USING (id) GROUP BY id
+        ), low AS (
+            SELECT id, tree, 0 AS level, place, n, coalesce(changed, leaf) AS digest FROM leaves
+            UNION ALL
+            SELECT f.id, f.tree, f.level + 1, f.place // 8, (f.n + 7) // 8, sha256(string_agg(
+                   CASE WHEN s.place = f.place THEN f.digest ELSE s.digest END, '' ORDER BY s.place))
+            FROM low f JOIN nodes s
+            ON s.tree = f.tree AND s.level = f.level AND s.place // 8 = f.place // 8
+            WHERE f.n > 1 GROUP BY f.id, f.tree, f.level, f.place, f.n
+        ), high AS (
+            SELECT id, 0 AS level, r.place, r.n, l.digest FROM low l JOIN subroots r USING (tree) WHERE l.n = 1
+            UNION ALL
+            SELECT f.id, f.level + 1, f.place // 8, (f.n + 7) // 8, sha256(string_agg(
+                   CASE WHEN s.place = f.place THEN f.digest ELSE s.digest END, '' ORDER BY s.place))
+            FROM high f JOIN tops s ON s.level = f.level AND s.place // 8 = f.place // 8
+            WHERE f.n > 1 GROUP BY f.id, f.level, f.place, f.n
+        ), root AS (
+            SELECT digest AS root FROM tops WHERE n = 1
+        )
+        SELECT doc_id, leaf, r.digest AS subroot, root, proof_sha256, h.digest AS folded_root,
+               h.digest = root AS verified
+        FROM leaves JOIN subroots r USING (tree) JOIN proofs USING (id)
+        JOIN high h ON h.id = leaves.id AND h.n = 1, root
+    """,
 }
