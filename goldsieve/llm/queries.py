@@ -12,6 +12,7 @@ from goldsieve.llm.line_rules import line_rules
 from goldsieve.llm.merkle import merkle_manifest, proof_digest
 from goldsieve.llm.minhash import near_duplicates
 from goldsieve.llm.mixing import source_mix
+from goldsieve.llm.passages import without_passages
 from goldsieve.llm.quality_trees import quality_scores
 from goldsieve.llm.suffixes import without_repeats
 from goldsieve.llm.token_packs import packed_tokens
@@ -64,13 +65,17 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix(table(spark, folder, "documents"))
 
 
+def op12_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return without_passages(table(spark, folder, "documents")).drop("kept")
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """The proofs themselves stay with the operator; here is their digest."""
     found = merkle_manifest(table(spark, folder, "documents"))
     return found.withColumn("proof_sha256", proof_digest(found["proof"])).drop("proof")
 
 
-QUERIES = {query.__name__: query for query in (op1_quality_trees, op2_warc_index, op3_suffix_dedup, op4_disclosure, op5_license_scan, op6_decontamination, op7_token_packs, op8_near_duplicates, op9_line_rules, op10_source_mix, op13_merkle_manifest)}
+QUERIES = {query.__name__: query for query in (op1_quality_trees, op2_warc_index, op3_suffix_dedup, op4_disclosure, op5_license_scan, op6_decontamination, op7_token_packs, op8_near_duplicates, op9_line_rules, op10_source_mix, op12_passage_dedup, op13_merkle_manifest)}
 
 ORACLES: dict[str, str] = {
     "op2_warc_index": """
