@@ -38,6 +38,7 @@ from goldsieve.operators.numbering import with_row_no
 
 ARITY = 8
 BLOCK_LEVELS = 4
+SALTS = 64
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -199,6 +200,13 @@ def paths(nodes: DataFrame) -> DataFrame:
     return written(wanted.mapInArrow(run, f"tree string, place bigint, path {_PATH}, top string"), "merkle-paths")
 
 
+def _with_tree(rows: DataFrame, trees: DataFrame, place: str) -> DataFrame:
+    """``rows`` joined with their tree's one row; a tree's rows are dealt by place as well."""
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(place), F.lit(SALTS)))
+    return salted.join(trees.select("*", salts.alias("salt")), ["tree", "salt"]).drop("salt")
+
+
 def placed_leaves(docs: DataFrame) -> DataFrame:
     """``tree, place, n, doc_id, digest, changed``; one range sort of digests, not of texts.
 
@@ -213,7 +221,7 @@ def placed_leaves(docs: DataFrame) -> DataFrame:
     )
     numbered = with_row_no(written(leaves, "leaves"), ["tree", "doc_id", "digest"], spread_ties=True)
     starts = numbered.groupBy("tree").agg(F.min("row_no").alias("start"), F.count(F.lit(1)).alias("n"))
-    return numbered.join(starts, "tree").select(
+    return _with_tree(numbered, starts, "row_no").select(
         "tree", (F.col("row_no") - F.col("start")).alias("place"), "n", "doc_id", "digest", "changed"
     )
 
@@ -238,7 +246,8 @@ def merkle_manifest(docs: DataFrame) -> DataFrame:
     outer = ranked.join(outer.select("place", "path", "top"), "place").select(
         "tree", F.col("digest").alias("subroot"), F.col("path").alias("last"), F.col("top").alias("root")
     )
-    joined = blocks.join(inner.select("tree", "block", "path"), ["tree", "block"]).join(outer, "tree")
+    ways = _with_tree(inner.select("tree", "block", "path"), outer, "block")
+    joined = blocks.join(ways, ["tree", "block"])
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(_STEP), pa.string(), pa.bool_()]
     height = BLOCK_LEVELS
     names = ["doc_id", "leaf", "subroot", "root", "proof", "folded_root", "verified"]

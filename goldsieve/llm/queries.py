@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from goldsieve.llm.collocations import collocations
 from goldsieve.llm.decontamination import decontamination
 from goldsieve.llm.disclosure import personal_data
 from goldsieve.llm.licenses import license_scan
@@ -65,6 +66,10 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix(table(spark, folder, "documents"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
 def op12_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return without_passages(table(spark, folder, "documents")).drop("kept")
 
@@ -75,7 +80,7 @@ def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("proof_sha256", proof_digest(found["proof"])).drop("proof")
 
 
-QUERIES = {query.__name__: query for query in (op1_quality_trees, op2_warc_index, op3_suffix_dedup, op4_disclosure, op5_license_scan, op6_decontamination, op7_token_packs, op8_near_duplicates, op9_line_rules, op10_source_mix, op12_passage_dedup, op13_merkle_manifest)}
+QUERIES = {query.__name__: query for query in (op1_quality_trees, op2_warc_index, op3_suffix_dedup, op4_disclosure, op5_license_scan, op6_decontamination, op7_token_packs, op8_near_duplicates, op9_line_rules, op10_source_mix, op11_collocations, op12_passage_dedup, op13_merkle_manifest)}
 
 ORACLES: dict[str, str] = {
     "op2_warc_index": """
@@ -194,6 +199,44 @@ ORACLES: dict[str, str] = {
                CASE WHEN size > 0 THEN taken ELSE 0 END AS taken
         FROM placed JOIN targets USING (key) LEFT JOIN taken USING (key, first_word)
     """,
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(piece, '[\x20\x09]+'),
+                     lambda x: x <> '') AS words
+            FROM (SELECT lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+        ), runs AS (
+            SELECT lang, width, unnest(list_transform(range(1, len(words) - width + 2),
+                     lambda at: array_to_string(words[at:at + width - 1], ' '))) AS phrase
+            FROM pieces, range(1, 4) w(width)
+        ), counts AS (
+            SELECT lang, width, phrase, string_split(phrase, ' ') AS words, count(*) AS f
+            FROM runs GROUP BY lang, width, phrase
+        ), sizes AS (
+            SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE width = 1 GROUP BY lang
+        ), candidates AS (
+            SELECT * FROM counts WHERE width > 1 AND f >= 10
+        ), cuts AS (
+            SELECT c.lang, c.phrase, c.f AS a, k, one.f AS l, two.f AS r,
+                   (1000000::HUGEINT * c.f * c.f // (one.f::HUGEINT * two.f))::BIGINT AS score
+            FROM candidates c, range(1, 3) x(k), counts one, counts two
+            WHERE k < c.width
+              AND one.lang = c.lang AND one.width = k AND one.phrase = array_to_string(c.words[1:k], ' ')
+              AND two.lang = c.lang AND two.width = c.width - k
+              AND two.phrase = array_to_string(c.words[k + 1:], ' ')
+        ), judged AS (
+            SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), longer AS (
+            SELECT lang, array_to_string(words[at:at + 1], ' ') AS phrase, max(f) AS above
+            FROM candidates, range(1, 3) x(at) WHERE width = 3 GROUP BY ALL
+        ), ranked AS (
+            SELECT j.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+            FROM judged j LEFT JOIN longer USING (lang, phrase)
+            WHERE coalesce(100 * above < 50 * a, true)
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score
+        FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+    """,
     "op13_merkle_manifest": r"""
         WITH RECURSIVE fields AS (
             SELECT row_number() OVER () AS id, doc_id, text, coalesce('=' || lang, '') AS tree,
