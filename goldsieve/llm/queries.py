@@ -207,7 +207,7 @@ ORACLES: dict[str, str] = {
                     'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
         ), runs AS (
             SELECT lang, width, unnest(list_transform(range(1, len(words) - width + 2),
-                     lambda at: array_to_string(words[at:at + width - 1], ' '))) AS phrase
+                     lambda p: array_to_string(words[p:p + width - 1], ' '))) AS phrase
             FROM pieces, range(1, 4) w(width)
         ), counts AS (
             SELECT lang, width, phrase, string_split(phrase, ' ') AS words, count(*) AS f
@@ -216,19 +216,20 @@ ORACLES: dict[str, str] = {
             SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE width = 1 GROUP BY lang
         ), candidates AS (
             SELECT * FROM counts WHERE width > 1 AND f >= 10
+        ), cut_at AS (
+            SELECT lang, phrase, f AS a, k, array_to_string(words[1:k], ' ') AS head,
+                   array_to_string(words[k + 1:], ' ') AS rest
+            FROM candidates, range(1, 3) x(k) WHERE k < width
         ), cuts AS (
-            SELECT c.lang, c.phrase, c.f AS a, k, one.f AS l, two.f AS r,
-                   (1000000::HUGEINT * c.f * c.f // (one.f::HUGEINT * two.f))::BIGINT AS score
-            FROM candidates c, range(1, 3) x(k), counts one, counts two
-            WHERE k < c.width
-              AND one.lang = c.lang AND one.width = k AND one.phrase = array_to_string(c.words[1:k], ' ')
-              AND two.lang = c.lang AND two.width = c.width - k
-              AND two.phrase = array_to_string(c.words[k + 1:], ' ')
+            SELECT c.lang, c.phrase, a, k, one.f AS l, two.f AS r,
+                   (1000000::HUGEINT * a * a // (one.f::HUGEINT * two.f))::BIGINT AS score
+            FROM cut_at c JOIN counts one ON one.lang = c.lang AND one.phrase = head
+            JOIN counts two ON two.lang = c.lang AND two.phrase = rest
         ), judged AS (
             SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
         ), longer AS (
-            SELECT lang, array_to_string(words[at:at + 1], ' ') AS phrase, max(f) AS above
-            FROM candidates, range(1, 3) x(at) WHERE width = 3 GROUP BY ALL
+            SELECT lang, array_to_string(words[p:p + 1], ' ') AS phrase, max(f) AS above
+            FROM candidates, range(1, 3) x(p) WHERE width = 3 GROUP BY ALL
         ), ranked AS (
             SELECT j.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
             FROM judged j LEFT JOIN longer USING (lang, phrase)
