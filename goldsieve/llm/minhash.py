@@ -12,29 +12,32 @@ test more careful.
 
 Nobody writes out the pairs of a band's bucket:
 
-1. Buckets are read for members with a *plausible* partner, by signature alone;
-   only those take part from here on.
-2. Members meet their bucket's least member, exactly, and links are joined into
-   components.  A group of near copies is mostly one component after that.
+1. Buckets with the same members are one bucket, told by a 128-bit hash of them: a
+   group of near copies shares most of its bands.  The first band stays.
+2. Members meet their bucket's least member, by signature, then exactly, and links are
+   joined into components.  A group of near copies is mostly one component after that.
 3. Buckets that still span components are compared inside tasks, pairs of one
    component left out, each pair in the first band that it shares: by signature,
    to see who takes part, then those exactly, with their sets.
 
-Buckets beyond ``BLOCK_BYTES`` are cut into blocks, and each two blocks are a group
-of their own, so no task holds more, and no pair is left out.  Components spread
-by least label and pointer jumps over written tables; neither links nor sets
-reach the driver.
+Buckets beyond ``BLOCK_BYTES`` or ``BLOCK_MEMBERS`` are cut into blocks, and each two
+blocks are a group of their own, so no task holds more, and no pair is left out.
+Components spread by least label and pointer jumps over written tables; neither links
+nor sets reach the driver.
 
 Cases: a null or empty text, or one without words, has an empty set and is linked
 with nothing; one word makes a set of one; equal rows are one class; rows that
-share a key are one vertex, linked by any of their texts; a row without a key is
-compared with nothing and kept; an empty table gives an empty result.
+share a key are one vertex, linked by any of their texts, and the classes of its texts
+are joined through it; a row without a key is compared with nothing and kept; an empty
+table gives an empty result; other columns are not read, and pass through
+:func:`drop_near_duplicates` whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldsieve.durable import written
-from goldsieve.llm.shuffles import release_shuffles
+from goldsieve.llm.shuffles import bounded_batches, release_shuffles
 
 BANDS, ROWS = 40, 6
 BATCH = 48
@@ -52,6 +55,7 @@ PERCENT = 80
 MISS = 1e-6
 SHINGLE_WORDS = 2
 BLOCK_BYTES = 16 << 20
+BLOCK_MEMBERS = 512
 
 _rng = np.random.default_rng(20_240)
 _FLIP = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -172,51 +176,41 @@ def _classes_of(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _records_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """``node, minima, found`` of the documents that are candidates."""
+    """``node, found`` of the documents that are candidates; equal rows once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, text in zip(batch.column(0), batch.column(1)):
                 found = shingles(text.as_py() or "", width)
                 if len(found):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([node.as_py()], pa.int64()),
-                            pa.array([short_minima(signature(found)).tobytes()], pa.binary()),
-                            pa.array([found.tobytes()], pa.binary()),
-                        ],
-                        ["node", "minima", "found"],
-                    )
+                    columns = [pa.array([node.as_py()], pa.int64()), pa.array([found.tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["node", "found"])
 
     wanted = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(nodes, "node")
-    return wanted.select("node", "text").mapInArrow(run, "node bigint, minima binary, found binary")
+    return wanted.select("node", "text").mapInArrow(run, "node bigint, found binary")
 
 
-def _linked(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar."""
+def _met(pairs: DataFrame, rows: DataFrame, column: str, agree) -> DataFrame:
+    """The pairs ``a, b`` whose values of a binary column of ``rows(node, ..)`` agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for minima_a, found_a, minima_b, found_b in zip(*batch.columns[2:]):
-                one = np.frombuffer(minima_a.as_buffer(), np.uint8)
-                two = np.frombuffer(minima_b.as_buffer(), np.uint8)
-                keep.append(
-                    len(could_be_similar(one, two[None])) > 0
-                    and similar(
-                        np.frombuffer(found_a.as_buffer(), np.uint64),
-                        np.frombuffer(found_b.as_buffer(), np.uint64),
-                    )
-                )
+            keep = [agree(one.as_buffer(), two.as_buffer()) for one, two in zip(*batch.columns[2:])]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def side(name: str) -> DataFrame:
-        return records.select(
-            F.col("node").alias(name), F.col("minima").alias(f"m{name}"), F.col("found").alias(f"f{name}")
-        )
+        return rows.select(F.col("node").alias(name), F.col(column).alias(f"of_{name}"))
+
+    met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "of_a", "of_b")
+    return met.mapInArrow(run, "a bigint, b bigint")
+
 
-    met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ma", "fa", "mb", "fb")
-    return met.mapInArrow(run, "a bigint, b bigint").distinct()
+def _signatures_agree(one: pa.Buffer, two: pa.Buffer) -> bool:
+    return len(could_be_similar(np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)[None])) > 0
+
+
+def _sets_agree(one: pa.Buffer, two: pa.Buffer) -> bool:
+    return similar(np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64))
 
 
 class Group:
@@ -256,20 +250,6 @@ class Group:
         return others
 
 
-def plausible(group: Group) -> set[int]:
-    """Nodes with a partner that the signatures do not rule out."""
-    known = np.zeros(len(group.node), bool)
-    for at in range(len(group.node)):
-        others = group.partners(at)
-        if known[at]:
-            others = others[~known[others]]
-        if len(others):
-            left = others[could_be_similar(group.minima[at], group.minima[others])]
-            known[left] = True
-            known[at] |= len(left) > 0
-    return set(group.node[known].tolist())
-
-
 def links_across(group: Group) -> list[tuple[int, int]]:
     """Links that join the group's components; one component is not compared within."""
     found = []
@@ -304,10 +284,11 @@ def across(group: Group) -> list[tuple[int, int]]:
 def _grouped(members: DataFrame, sizes: DataFrame, each, schema: str) -> DataFrame:
     """``each(group)`` for the groups of every bucket of ``members``.
 
-    ``sizes(key, bytes)`` says how many blocks a bucket needs.  A member goes once
-    to each pair of its own block and another.
+    ``sizes(key, bytes, members)`` says how many blocks a bucket needs.  A member goes
+    once to each pair of its own block and another.
     """
-    parts = F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
+    parts = F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.ceil(F.col("members") / BLOCK_MEMBERS), F.lit(1))
+    parts = parts.cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = (
         members.join(sizes.select("key", parts.alias("parts")), "key")
@@ -375,8 +356,36 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
+def _buckets(classes: DataFrame) -> DataFrame:
+    """``key, node, band`` of the buckets with several members, one of those with the same."""
+    listed = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    shared = (
+        listed.groupBy("key")
+        .agg(
+            F.first("band").alias("band"),
+            F.count(F.lit(1)).alias("members"),
+            F.bit_xor(F.xxhash64("node")).alias("one"),
+            F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("two"),
+        )
+        .where("members > 1")
+        .groupBy("members", "one", "two")
+        .agg(F.min(F.struct("band", "key")).alias("kept"))
+        .select("kept.key")
+    )
+    return listed.join(written(shared, "shared"), "key")
+
+
+def _same_key(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links ``a, b`` between a key with several texts and the nodes of their classes."""
+    several = keyed.groupBy("doc_id").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    several = several.where("low <> high").select("doc_id")
+    links = keyed.join(several, "doc_id").select("class", F.col("doc_id").alias("b")).join(classes, "class")
+    return written(links.select(F.col("node").alias("a"), "b").where("a <> b").distinct(), "same-key")
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     rows = written(_classes_of(docs, width), "classes")
     keyed = rows.where("class IS NOT NULL AND doc_id IS NOT NULL")
     one = F.min_by(F.struct("bands", "minima", "n_shingles"), "doc_id")
@@ -384,32 +393,25 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
         keyed.groupBy("class").agg(F.min("doc_id").alias("node"), one.alias("one")).select("class", "node", "one.*"),
         "nodes",
     )
-    listed = classes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = (
-        listed.groupBy("key")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("members"))
-        .where("low <> high")
-        .select("key", (F.col("members") * (BANDS * (ROWS + 12))).alias("bytes"))
-    )
-    shared = written(shared, "shared")
     signed = classes.select("node", F.col("n_shingles").alias("n"), "bands", "minima")
-    members = written(listed.join(shared.select("key"), "key"), "members")
-    nothing = F.lit(None).cast("binary").alias("found")
-    signatures = members.join(signed, "node").select("*", F.lit(0).alias("label"), nothing)
-    nodes = written(
-        _grouped(signatures, shared, lambda group: [(node,) for node in plausible(group)], "node bigint")
-        .distinct(),
-        "plausible",
-    )
-    members = written(members.join(nodes, "node").select("node", "band", "key"), "members")
-    records = written(_records_of(docs, nodes, width), "records")
+    members = written(_buckets(classes), "members")
     release_shuffles(docs.sparkSession)
-    leaders = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("high"))
-    leaders = written(leaders.where("a <> high").select("key", "a"), "leaders")
+    leaders = written(members.groupBy("key").agg(F.min("node").alias("a")), "leaders")
     pairs = members.select("key", F.col("node").alias("b")).join(leaders, "key").where("a <> b")
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    links = written(_linked(pairs, records), "links")
-    labels = components(nodes.select("node", F.col("node").alias("label")), links)
+    pairs = written(_met(pairs, signed, "minima", _signatures_agree).distinct(), "pairs")
+    release_shuffles(docs.sparkSession)
+    taking = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    records = written(_records_of(docs, written(taking, "taking"), width), "records")
+    links = written(_met(pairs, records, "found", _sets_agree).distinct(), "links")
+    release_shuffles(docs.sparkSession)
+    same_key = _same_key(keyed, classes)
+    nodes = members.select("node").unionByName(same_key.select(F.col("a").alias("node"))).unionByName(
+        same_key.select(F.col("b").alias("node"))
+    )
+    labels = components(
+        nodes.distinct().select("node", F.col("node").alias("label")), links.unionByName(same_key)
+    )
     labelled = written(members.join(labels, "node"), "members")
     sizes = classes.groupBy("node").agg(F.max("n_shingles").alias("n"))
     spanning = written(
@@ -419,23 +421,27 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
             F.min("label").alias("low"),
             F.max("label").alias("high"),
             F.sum(8 * F.col("n") + 1000).alias("bytes"),
+            F.count(F.lit(1)).alias("members"),
         )
         .where("low <> high")
-        .select("key", "bytes"),
+        .select("key", "bytes", "members"),
         "spanning",
     )
     release_shuffles(docs.sparkSession)
     apart = written(labelled.join(spanning.select("key"), "key"), "apart")
+    nothing = F.lit(None).cast("binary").alias("found")
+    # Signatures alone need less room than sets: larger blocks for them.
+    light = spanning.select("key", F.lit(0).alias("bytes"), "members")
     taking = written(
-        _grouped(apart.join(signed, "node").select("*", nothing), spanning, across, "key bigint, node bigint")
+        _grouped(apart.join(signed, "node").select("*", nothing), light, across, "key bigint, node bigint")
         .distinct(),
-        "apart",
-    )
-    apart = apart.join(taking, ["key", "node"]).join(signed, "node").join(
-        records.select("node", "found"), "node"
+        "taking",
     )
     release_shuffles(docs.sparkSession)
+    records = written(_records_of(docs, taking.select("node").distinct(), width), "records")
+    apart = apart.join(taking, ["key", "node"]).join(signed, "node").join(records, "node")
     joined = written(_grouped(apart, spanning, links_across, "a bigint, b bigint").distinct(), "links")
+    release_shuffles(docs.sparkSession)
     labels = components(labels, joined)
     named = written(
         classes.select("class", "node").join(labels, "node", "left").select(
@@ -443,6 +449,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
         ),
         "named",
     )
+    release_shuffles(docs.sparkSession)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     return rows.join(named, "class", "left").select(
         "doc_id",
@@ -453,6 +460,20 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` with one document of each component: the one with the least key."""
-    gone = near_duplicates(docs, width).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(written(gone, "copies"), F.col("doc_id") == F.col("gone"), "left_anti")
+    """``docs`` with one document of each component: the one with the least key.
+
+    Of several rows with that key one stays, that whose text has the least hash; rows
+    without a key all stay.
+    """
+    key = f"key_{uuid.uuid4().hex}"
+    gone = near_duplicates(docs, width).where("NOT kept").select(F.col("doc_id").alias(key)).distinct()
+    left = docs.join(written(gone, "copies"), F.col("doc_id") == F.col(key), "left_anti")
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias(key)).where(f"{key} > 1 AND doc_id IS NOT NULL")
+    again = written(again.select(F.col("doc_id").alias(key)), "repeated")
+    if not again.limit(1).count():
+        return left
+    met = F.col("doc_id") == F.col(key)
+    one = left.join(again, met, "left_semi").groupBy(F.col("doc_id").alias(key)).agg(
+        F.min_by(F.struct(*(F.col(f"`{name}`") for name in docs.columns)), F.xxhash64("text")).alias("row")
+    )
+    return left.join(again, met, "left_anti").unionByName(one.select("row.*"))

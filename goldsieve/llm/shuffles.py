@@ -1,4 +1,4 @@
-"""Disk of steps that are over."""
+"""Disk of steps that are over, and memory of batches on their way to Python."""
 
 from __future__ import annotations
 
@@ -15,3 +15,13 @@ def release_shuffles(spark: SparkSession) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bound what a task hands to Python at once by its bytes.
+
+    The default of 64 MB is held several times over: in the executor's buffers, which
+    Spark does not give back, on the wire, and in the worker.  The setting stays for
+    later plans of the session; it changes no result.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -98,6 +98,23 @@ def test_groups_of_copies(docs_of, monkeypatch):
     # Tiny blocks: every bucket is cut into many.
     monkeypatch.setattr(minhash, "BLOCK_BYTES", 1000)
     _check(docs_of(rows), 5)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 1 << 20)
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 3)
+    _check(docs_of(rows))
+
+
+def test_a_key_with_several_texts_joins_their_classes(docs_of):
+    one, two = " ".join(f"a{n}" for n in range(30)), " ".join(f"b{n}" for n in range(30))
+    _check(docs_of([(3, one), (3, two), (2, two), (1, one), (4, two + " end"), (9, "other words")]))
+
+
+def test_one_row_of_a_component_stays_whatever_the_columns(docs_of):
+    text = " ".join(f"a{n}" for n in range(30))
+    docs = docs_of([(5, text), (5, text), (6, text + " more"), (7, "first"), (7, "second"), (8, "alone")])
+    more = docs.selectExpr("*", "1 AS gone", "2 AS `key`", "3 AS node", "4 AS `odd.name`", "5 AS class")
+    left = drop_near_duplicates(more)
+    assert left.columns == more.columns
+    assert sorted(row["doc_id"] for row in left.collect()) == [5, 7, 8]
 
 
 def test_a_chain_is_one_component(docs_of):
