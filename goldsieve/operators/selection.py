@@ -30,8 +30,8 @@ def best_of_n(completions: DataFrame, problems: DataFrame) -> DataFrame:
     and parsed afterwards.  ``completions`` runs twice, so it should be a table.
     If a sample number repeats, the least text that has the rank counts.
     """
-    ranked = _ranked(completions)
-    per_answer = ranked.groupBy("problem_id", "_answer").agg(F.max("_rank").alias("_rank"))
+    scored = ranked(completions)
+    per_answer = scored.groupBy("problem_id", "_answer").agg(F.max("_rank").alias("_rank"))
     gold = problems.where(F.col("gold") != "").select(
         "problem_id", comparable(F.col("gold")).alias("_wanted")
     )
@@ -47,17 +47,17 @@ def best_of_n(completions: DataFrame, problems: DataFrame) -> DataFrame:
         "problem_id", (_LAST - F.col("_rank") % _SAMPLES).cast("int").alias("sample_no"), "_rank"
     )
     texts = winners.join(completions.select("problem_id", "sample_no", "text"), ["problem_id", "sample_no"])
+    # No filter on the rank: it would be pushed into the join and parse there again.
     # One row per problem reaches this sort; the text comes first in the order.
-    whole = F.min(F.struct("text", "parsed")).alias("_best")
-    own = _ranked(texts, "_own").where(F.col("_own") == F.col("_rank"))
-    return own.groupBy("problem_id").agg(whole).select(
+    won = F.when(F.col("_own") == F.col("_rank"), F.struct("text", "parsed"))
+    return ranked(texts, "_own").groupBy("problem_id").agg(F.min(won).alias("_best")).select(
         "problem_id",
         *(f"_best.parsed.{name}" for name in ("reason", "answer", "closing")),
         "_best.text",
     )
 
 
-def _ranked(samples: DataFrame, into: str = "_rank") -> DataFrame:
+def ranked(samples: DataFrame, into: str = "_rank") -> DataFrame:
     """Add ``parsed``, ``_answer`` and the rank of a sample that counts; the last two null otherwise.
 
     Ranks of samples that do not count stay null instead of being filtered: a

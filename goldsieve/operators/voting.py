@@ -50,6 +50,9 @@ def vote_tagged(df: DataFrame) -> DataFrame:
     """
     answers = extract_tagged(df).select("problem_id", "sample_no", "answer")
     winners = _tally(answers)
-    keyed = extract_tagged(df).select("problem_id", "sample_no", "text", F.col("answer").alias("_own"))
-    found = winners.join(keyed, ["problem_id", "sample_no"]).where(F.col("_own") == F.col("answer"))
-    return found.groupBy("problem_id", "answer").agg(F.min("text").alias("text"))
+    # Only texts with a winner's key are read again; null, not a filter, for other
+    # texts of that key: a filter would be pushed into the join and read all of them.
+    keyed = winners.join(df.select("problem_id", "sample_no", "text"), ["problem_id", "sample_no"])
+    first = F.when(F.col("_own") == F.col("answer"), F.col("text"))
+    found = extract_tagged(keyed, into="_own")
+    return found.groupBy("problem_id", "answer").agg(F.min(first).alias("text"))

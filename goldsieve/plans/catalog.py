@@ -29,7 +29,22 @@ from goldsieve.sources.derived import derived_completions, derived_problems, tab
 from goldsieve.sources.packs import packs_table
 from goldsieve.sources.readers import completion_stream, read_kept, read_problems, read_results
 from goldsieve.sources.writers import write_kept, write_results, write_training_set
-from goldsieve.streaming.curation import batch_metrics, curate_stream, streamed_kept
+from goldsieve.streaming.curation import (
+    batch_metrics,
+    curate_stream,
+    latest_success,
+    running_success_stream,
+    streamed_kept,
+)
+from goldsieve.streaming.late import all_verdicts, regrade
+from goldsieve.streaming.selection import (
+    best_stream,
+    fold_best,
+    fold_votes,
+    streamed_best,
+    streamed_votes,
+    vote_stream,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -292,13 +307,16 @@ def training_set_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def problems_by_split(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw problems written by split, one split read back and templated."""
+    """Raw problems written by split, and each split read back by name and templated."""
     path = new_folder(spark, "problems")
     problems = derived_problems(spark, folder).select("question", "answer", F.col("mode").alias("split"))
     problems.write.partitionBy("split").parquet(path)
-    return template_problems(read_problems(spark, path, "F")).rows.select(
-        "question", "golden_answer", "assistant_target"
-    )
+    found = None
+    for row in problems.select("split").distinct().orderBy("split").collect():
+        rows = template_problems(read_problems(spark, path, row["split"]), carry=["split"]).rows
+        part = rows.select("split", "question", "golden_answer", "assistant_target")
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def plain_training_messages(spark: SparkSession, folder: str) -> DataFrame:
@@ -381,6 +399,67 @@ def streamed_totals(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _in_two_runs(spark: SparkSession, folder: str, start: Callable, between: Callable) -> None:
+    """All completions as a stream: one half, ``between()``, then a restart on the rest."""
+    arriving, progress = new_folder(spark, "arriving"), new_folder(spark, "progress")
+    completions = written(derived_completions(spark, folder).drop("variant"), "completions")
+    half = F.pmod(F.xxhash64("problem_id", "sample_no"), F.lit(2))
+    for number in (0, 1):
+        completions.where(half == number).write.mode("append").json(arriving)
+        start(completion_stream(spark, arriving, files_per_batch=2), progress).awaitTermination()
+        if number == 0:
+            between()
+
+
+def streamed_running_success(spark: SparkSession, folder: str) -> DataFrame:
+    """Success by run, kept in the state store over two runs of a stream."""
+    sink, by = new_folder(spark, "sink"), ["teacher", "mode"]
+    problems = written(derived_problems(spark, folder), "problems")
+
+    def start(stream: DataFrame, progress: str):
+        return running_success_stream(judge(stream, problems), by, sink, progress)
+
+    _in_two_runs(spark, folder, start, lambda: None)
+    return latest_success(spark, sink, by)
+
+
+def streamed_tagged_vote(spark: SparkSession, folder: str) -> DataFrame:
+    """The tagged vote from tallies of micro-batches, folded once in between."""
+    sink = new_folder(spark, "sink")
+    _in_two_runs(
+        spark, folder,
+        lambda stream, progress: vote_stream(stream, sink, progress),
+        lambda: fold_votes(spark, sink),
+    )
+    return streamed_votes(spark, sink)
+
+
+def streamed_best_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """Best of n from the best of each answer and micro-batch; the gold comes last."""
+    sink = new_folder(spark, "sink")
+    _in_two_runs(
+        spark, folder,
+        lambda stream, progress: best_stream(stream, sink, progress),
+        lambda: fold_best(spark, sink),
+    )
+    return streamed_best(spark, sink, derived_problems(spark, folder))
+
+
+def late_problem_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts where half of the problems come after their completions."""
+    sink, late = new_folder(spark, "sink"), new_folder(spark, "late")
+    problems = written(_prompts(spark, folder).drop("answer", "teacher", "mode"), "problems")
+    early = problems.where(F.col("problem_id") % 2 == 0)
+    known = [early, problems]
+
+    def start(stream: DataFrame, progress: str):
+        return curate_stream(stream, known.pop(0), sink, progress)
+
+    _in_two_runs(spark, folder, start, lambda: regrade(spark, sink, late, early))
+    regrade(spark, sink, late, problems)
+    return all_verdicts(spark, sink, late).select("problem_id", "sample_no", "verdict")
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -429,5 +508,9 @@ QUERIES: dict[str, Query] = {
         results_round_trip,
         streamed_kept_records,
         streamed_totals,
+        streamed_running_success,
+        streamed_tagged_vote,
+        streamed_best_samples,
+        late_problem_verdicts,
     )
 }

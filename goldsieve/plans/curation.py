@@ -16,6 +16,17 @@ NO_PROBLEM, UNPARSED, EMPTY_ANSWER = "no_problem", "unparsed", "empty_answer"
 NO_GOLD, WRONG_ANSWER = "no_gold", "wrong_answer"
 
 
+# What the outcome takes from the problem, not from the completion.
+_ASKED = ("gold", "id", "question")
+
+
+def _free(name: str, taken: set[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 class Curated(NamedTuple):
     kept: DataFrame
     rejects: DataFrame
@@ -30,23 +41,32 @@ def judge(completions: DataFrame, prompts: DataFrame) -> DataFrame:
     a reject as well, and so is one whose problem has no gold.  ``prompts`` has
     one row per problem (see :func:`require_unique`).
 
+    ``gold``, ``id`` and ``question`` come from ``prompts``; of any other column that
+    both inputs have, the completion's stays.  A column named ``parsed``,
+    ``reject_reason`` or ``kept`` gives way to the result; other names are free.
+
     Works the same on a stream of completions.  Parsing and reading numbers
     come before the join: a problem with very many completions then costs the
     task that joins them no more than a comparison each, and a report on the
     outcome does not shuffle the parsed text.
     """
     answer = F.col("parsed.answer")
-    parsed = parse_strict(completions).withColumns(
+    asked_for = {name for name in _ASKED if name in prompts.columns}
+    own = {*completions.columns, "parsed", "reject_reason", "kept"} - asked_for - {"problem_id"}
+    prompts = prompts.drop(*own)
+    taken = {*completions.columns, *prompts.columns}
+    flaw, got, wanted, known = (_free(name, taken) for name in ("_flaw", "_got", "_wanted", "_known"))
+    parsed = parse_strict(completions.drop(*asked_for)).withColumns(
         {
-            "_flaw": F.when(F.col("parsed").isNull(), UNPARSED).when(answer == "", EMPTY_ANSWER),
-            "_got": comparable(answer),
+            flaw: F.when(F.col("parsed").isNull(), UNPARSED).when(answer == "", EMPTY_ANSWER),
+            got: comparable(answer),
         }
     )
-    asked = prompts.withColumns({"_wanted": comparable(F.col("gold")), "_known": F.lit(True)})
-    same = F.coalesce(same_answer(F.col("_wanted"), F.col("_got")), F.lit(False))
+    asked = prompts.withColumns({wanted: comparable(F.col("gold")), known: F.lit(True)})
+    same = F.coalesce(same_answer(F.col(wanted), F.col(got)), F.lit(False))
     reason = (
-        F.when(F.col("_known").isNull(), NO_PROBLEM)
-        .when(F.col("_flaw").isNotNull(), F.col("_flaw"))
+        F.when(F.col(known).isNull(), NO_PROBLEM)
+        .when(F.col(flaw).isNotNull(), F.col(flaw))
         .when(F.col("gold").isNull(), NO_GOLD)
         .when(~same, WRONG_ANSWER)
     )
@@ -55,7 +75,7 @@ def judge(completions: DataFrame, prompts: DataFrame) -> DataFrame:
         parsed.join(asked, "problem_id", "left")
         .withColumn("reject_reason", reason)
         .withColumn("kept", F.col("reject_reason").isNull())
-        .drop("_flaw", "_got", "_wanted", "_known")
+        .drop(flaw, got, wanted, known)
     )
 
 

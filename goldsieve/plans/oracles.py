@@ -84,21 +84,24 @@ problems AS (
          CASE WHEN o_orderkey % 101 <> 7 THEN floor(o_totalprice)::BIGINT::VARCHAR END AS gold,
          o_orderpriority AS teacher, o_orderstatus AS mode,
          row_number() OVER (ORDER BY o_orderkey) AS id
-  FROM orders WHERE o_orderkey % 89 <> 3)"""
+  FROM orders)"""
 
 _SAMPLES = (
     _PROBLEMS
     + """,
-numbered AS (
+lined AS (
   SELECT l_orderkey AS problem_id,
          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey,
            l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag,
            l_linestatus, l_shipdate)::INTEGER AS sample_no
   FROM lineitem),
+numbered AS (
+  SELECT * FROM lined
+  UNION ALL SELECT -problem_id, sample_no FROM lined WHERE problem_id % 89 = 3),
 varied AS (
   SELECT n.problem_id, n.sample_no, floor(o.o_totalprice)::BIGINT::VARCHAR AS amount,
-         p.gold, ((n.problem_id + n.sample_no) % 15)::INTEGER AS variant
-  FROM numbered n JOIN orders o ON o.o_orderkey = n.problem_id
+         p.gold, ((abs(n.problem_id) + n.sample_no) % 15)::INTEGER AS variant
+  FROM numbered n JOIN orders o ON o.o_orderkey = abs(n.problem_id)
   LEFT JOIN problems p USING (problem_id)),
 parts AS (
   SELECT *,
@@ -297,7 +300,7 @@ held AS (
 
 _FANNED = f"""fanned AS (
   SELECT o_orderkey AS problem_id, unnest(range(1, {SAMPLES + 1}))::INTEGER AS sample_no
-  FROM orders WHERE o_orderkey % 89 <> 3)"""
+  FROM orders)"""
 
 ORACLES: dict[str, str] = {
     "curate_kept_rate": f"""WITH {_JUDGED}
@@ -420,7 +423,7 @@ SELECT id, row_no, CASE WHEN is_validation THEN 'validation' ELSE 'train' END AS
        assistant_answer AS assistant_target
 FROM held""",
     "problems_by_split": f"""WITH {_TEMPLATES}
-SELECT question, golden_answer, assistant_target FROM templates WHERE mode = 'F'""",
+SELECT mode AS split, question, golden_answer, assistant_target FROM templates""",
     "plain_training_messages": f"""WITH {_TEMPLATES}{_holdout("templates", "problem_id")}
 SELECT problem_id, h <= (SELECT h FROM cut) AS is_validation,
        {_prompt("solve", "default", _user("solve", "default", question="question"),
@@ -450,4 +453,13 @@ SELECT *, 'orders' AS dataset, 'none' AS note FROM results""",
     "streamed_totals": f"""WITH {_JUDGED}
 SELECT count_if(kept)::BIGINT AS kept, count(*) AS total,
        {_percent("count_if(kept)", "count(*)")} AS success_pct FROM judged""",
+    "streamed_running_success": f"""WITH {_JUDGED}
+SELECT teacher, mode, count_if(kept)::BIGINT AS kept, count(*) AS total,
+       100.0::DOUBLE * count_if(kept) / count(*) AS success_pct
+FROM judged GROUP BY ALL""",
+    "late_problem_verdicts": f"""WITH {_JUDGED}
+SELECT problem_id, sample_no, coalesce(reject_reason, 'kept') AS verdict FROM judged""",
 }
+# Batch and stream come to the same.
+ORACLES["streamed_tagged_vote"] = ORACLES["tagged_vote"]
+ORACLES["streamed_best_samples"] = ORACLES["best_samples"]

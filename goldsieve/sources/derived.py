@@ -26,8 +26,7 @@ def _gold() -> Column:
 def derived_problems(spark: SparkSession, folder: str) -> DataFrame:
     """``problem_id, question, answer, gold, teacher, mode``, one row per order.
 
-    Orders with key % 89 = 3 are no problems, so their completions are orphans,
-    and a problem with key % 101 = 7 has no gold.
+    A problem with key % 101 = 7 has no gold.
     """
     key, gold = F.col("o_orderkey"), _gold()
     solution = (
@@ -36,7 +35,7 @@ def derived_problems(spark: SparkSession, folder: str) -> DataFrame:
         .when(key % 3 == 1, F.concat(F.lit("Add the lines.\r\n#### "), gold.cast("string")))
         .otherwise(F.concat(F.lit("Add the lines.\n#### "), gold.cast("string")))
     )
-    return table(spark, folder, "orders").where(key % 89 != 3).select(
+    return table(spark, folder, "orders").select(
         key.alias("problem_id"),
         F.concat(F.lit("Order "), key.cast("string"), F.lit(": what is the total?")).alias(
             "question"
@@ -96,8 +95,10 @@ def _completion(variant: Column, sample_no: Column, gold: Column) -> Column:
 
 
 def derived_completions(spark: SparkSession, folder: str) -> DataFrame:
-    """``problem_id, sample_no, variant, text``, one row per line item.
+    """``problem_id, sample_no, variant, text``, one row per line item, and orphans.
 
+    The completions of an order with key % 89 = 3 come once more under the negative
+    key, which no problem has.
     ``sample_no`` counts the lines of an order from 1, in the order of all
     their columns.  It comes from a global row number less the first one of the
     order, so that one very long order is still numbered in parallel.
@@ -109,12 +110,14 @@ def derived_completions(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderkey").alias("l_orderkey"), _gold().alias("_gold")
     )
     sample_no = (F.col("row_no") - F.col("_start") + 1).cast("int")
+    key = F.col("l_orderkey")
+    ids = F.when(key % 89 == 3, F.array(key, -key)).otherwise(F.array(key))
     samples = placed.join(orders.join(starts, "l_orderkey"), "l_orderkey").select(
-        F.col("l_orderkey").alias("problem_id"),
+        F.explode(ids).alias("problem_id"),
         sample_no.alias("sample_no"),
         "_gold",
     )
-    variant = ((F.col("problem_id") + F.col("sample_no")) % VARIANTS).cast("int")
+    variant = ((F.abs("problem_id") + F.col("sample_no")) % VARIANTS).cast("int")
     return samples.withColumn("variant", variant).select(
         "problem_id",
         "sample_no",

@@ -13,6 +13,7 @@ from goldsieve.operators.completions import require_unique
 from goldsieve.operators.numbering import running_total
 from goldsieve.operators.reports import percent
 from goldsieve.plans.curation import judge, kept_records
+from goldsieve.streaming.sinks import batch_sink, claim, has_files, sink_rows
 
 _VERDICT = "verdict"
 _KEPT = "kept"
@@ -37,13 +38,12 @@ def curate_stream(
     """
     require_unique(prompts, "problem_id")
     spark = prompts.sparkSession
-    if _has_files(spark, sink) and not _has_files(spark, f"{checkpoint}/commits"):
-        raise ValueError(f"{sink} holds the batches of another checkpoint than {checkpoint}")
+    claim(spark, sink, checkpoint)
     graded = judge(completions, prompts).withColumn(
         _VERDICT, F.coalesce("reject_reason", F.lit(_KEPT))
     )
     # An empty first part fixes the layout, so a stream without rows can be read.
-    if not _has_files(spark, sink):
+    if not has_files(spark, sink):
         layout = graded.drop("reject_reason", "kept").schema
         empty = spark.createDataFrame([], layout).withColumn("batch_id", F.lit(-1))
         empty.drop("batch_id", _VERDICT).write.parquet(f"{sink}/batch_id=-1/{_VERDICT}={_KEPT}")
@@ -64,14 +64,6 @@ def curate_stream(
     )
 
 
-def _has_files(spark: SparkSession, path: str) -> bool:
-    """Whether a folder exists and is not empty, on any file system Spark reads."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(system.exists(folder)) and len(system.listStatus(folder)) > 0
-
-
 def _verdicts(spark: SparkSession, sink: str) -> DataFrame:
     return spark.read.parquet(sink)
 
@@ -111,3 +103,26 @@ def running_success(graded: DataFrame, by: Sequence[str]) -> DataFrame:
         F.count("*").alias("total"),
         F.try_divide(F.lit(100.0) * kept, F.count("*")).alias("success_pct"),
     )
+
+
+def running_success_stream(
+    graded: DataFrame,
+    by: Sequence[str],
+    sink: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Keep :func:`running_success` of a graded stream in an upsert table.
+
+    The counts live in Spark's state store, one row per key, so no batch reads an
+    earlier one.  A micro-batch writes the keys that it changed under its own id, and a
+    replay replaces them; :func:`latest_success` takes each key's last row.
+    """
+    return batch_sink(running_success(graded, by), sink, checkpoint, trigger, mode="update")
+
+
+def latest_success(spark: SparkSession, sink: str, by: Sequence[str]) -> DataFrame:
+    """The last counts of each key, as of the last whole micro-batch."""
+    rows = sink_rows(spark, sink)
+    last = F.max_by(F.struct("kept", "total", "success_pct"), "batch_id")
+    return rows.groupBy(*by).agg(last.alias("last")).select(*by, "last.*")
