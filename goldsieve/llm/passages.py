@@ -312,7 +312,8 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, grams: tuple[int, ...
     """``doc, row, low, high``: ranges of windows that also start elsewhere."""
     named = _named(docs)
     met = written(_all_blocks(named, window, grams[0]), "blocks")
-    shared = met.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+    # Written first: the join then reads two plain exchanges, of which a hot gram's is split.
+    shared = written(met.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "shared")
     live = written(met.join(shared, "g", "left_semi"), "live")
     release_shuffles(docs.sparkSession)
     units = live.groupBy("g", "s").agg(
