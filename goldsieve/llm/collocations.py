@@ -10,9 +10,9 @@ For each length k:
 
 1. merge-join ``R(k-1)`` with ``R1`` by piece and adjacent position: both are sorted, so a
    place of the one meets the place ``k - 1`` further of the other;
-2. group and count: first inside a block, then all blocks' counts by phrase;
-3. semi-join: the phrases that stand ``LEAST`` times or more are numbered, and each block
-   gets the numbers of its own.  ``R(k)`` keeps only their occurrences, and is persisted
+2. group and count: first inside a block, then all blocks' counts by phrase; what stands
+   less than ``LEAST`` times goes;
+3. semi-join: the phrases left are numbered, and each block gets the numbers of its own.  ``R(k)`` keeps only their occurrences, and is persisted
    before the next length extends it.
 
 A phrase of k words is the number of its first k - 1 and that of its last, so counts are
@@ -40,13 +40,14 @@ from pyspark.sql import functions as F
 
 from goldsieve.llm.passages import _batch, _text, stretches
 from goldsieve.llm.scratch import Scratch
+from goldsieve.llm.shuffles import release_shuffles
 from goldsieve.operators.numbering import with_row_no
 
 LEAST = 10
 LONGEST = 3
 TOP = 2000
 SUBSUMED_PERCENT = 50
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 22
 UNKNOWN = "und"
 _IDS = 1 << 31
 
@@ -205,9 +206,19 @@ def _semi_joined(relation: DataFrame, known: DataFrame, k: int) -> DataFrame:
     return rows.repartition("block").sortWithinPartitions("block", "key").mapInArrow(run, _BLOCK)
 
 
+def _frequent(counts: DataFrame, least: int, *phrase: str) -> DataFrame:
+    """The rows, one per block, of phrases that stand ``least`` times in all, with that count ``f``.
+
+    A window, not an aggregate and a join: the blocks' counts are moved once.  Its
+    groups have a row per block.
+    """
+    whole = F.sum("n").over(Window.partitionBy(*phrase))
+    return counts.withColumn("f", whole).where(F.col("f") >= least).drop("n")
+
+
 def _numbered(found: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
     """Phrases with dense numbers from 1."""
-    numbered = with_row_no(found, order, "id").withColumn("id", F.col("id") + 1)
+    numbered = with_row_no(scratch.write(found, "frequent"), order, "id").withColumn("id", F.col("id") + 1)
     numbered = scratch.write(numbered, "phrases")
     if numbered.count() >= _IDS:
         raise ValueError(f"{_IDS} or more frequent phrases of one length: raise the least count")
@@ -219,22 +230,29 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     scratch = Scratch("collocations")
     relation = scratch.write(_first_relation(docs), "r1")
     sizes = scratch.write(relation.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
-    counts = scratch.write(_counted(relation, 1), "c1")
-    frequent = counts.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    words = _numbered(scratch.write(frequent, "f1"), ["lang", "word"], scratch)
+    # Of each frequent phrase one row per block; the others end in the window.
+    near = scratch.write(_frequent(_counted(relation, 1), least, "lang", "word"), "c1")
+    release_shuffles(docs.sparkSession)
+    words = _numbered(near.groupBy("lang", "word").agg(F.first("f").alias("f")), ["lang", "word"], scratch)
     level = words.select("id", "lang", F.array("id").alias("ids"), F.col("word").alias("phrase"), "f")
-    levels, known = [level], counts.join(words, ["lang", "word"]).select("block", "key", "id")
+    levels, known = [level], near.join(words, ["lang", "word"]).select("block", "key", "id")
     for k in range(2, longest + 1):
         smaller = scratch.write(_semi_joined(relation, known, k - 1), "r")
-        scratch.drop(relation, counts)
+        scratch.drop(relation, near)
         relation = smaller
-        counts = scratch.write(_counted(relation, k), "c")
-        frequent = counts.groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        numbered = _numbered(scratch.write(frequent, "f"), ["key"], scratch)
+        counts = _counted(relation, k)
+        if k < longest:
+            near = scratch.write(_frequent(counts, least, "key"), "c")
+            frequent = near.groupBy("key").agg(F.first("f").alias("f"))
+        else:
+            near = scratch.write(counts.groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "c")
+            frequent = near
+        release_shuffles(docs.sparkSession)
+        numbered = _numbered(frequent, ["key"], scratch)
         head, last = F.shiftright("key", 32), F.col("key").bitwiseAND(F.lit(_IDS - 1))
         shorter = level.select(F.col("id").alias("head"), "lang", "ids", "phrase")
         named = (
-            numbered.select("id", "key", "f", head.alias("head"), last.alias("last"))
+            numbered.select("id", "f", head.alias("head"), last.alias("last"))
             .join(shorter, "head")
             .join(words.select(F.col("id").alias("last"), "word"), "last")
         )
@@ -246,12 +264,13 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
             "level",
         )
         levels.append(level)
-        known = counts.join(numbered.select("key", "id"), "key").select("block", "key", "id")
+        if k < longest:
+            known = near.join(numbered.select("key", "id"), "key").select("block", "key", "id")
     found = levels[0]
     for level in levels[1:]:
         found = found.unionByName(level)
     found = scratch.write(found.select("lang", "ids", "phrase", "f"), "all")
-    scratch.drop(relation, counts)
+    scratch.drop(relation, near)
     return found, sizes
 
 
