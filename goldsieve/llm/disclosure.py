@@ -2,30 +2,34 @@
 
 Base spans are the patterns for e-mail addresses, internet addresses, card and
 phone numbers.  Each distinct value found is a protected entity.  A term is a run
-of letters, lower-cased.  Corpus co-occurrence says how much a term gives away of
-an entity: with texts as events,
+of letters, lower-cased.  Corpus co-occurrence says how much a term gives away of an entity.  With texts as events,
+P(e | t) is the share of the texts with the term that hold the entity; what is judged is not the
+share seen but the lower end of its confidence interval (Wilson's, ``Z`` deviations), less
+the entity's base rate:
 
-    PMI(t; e) = log P(e | t) / P(e),    IC(e) = -log P(e),
+    share = (lower(both, texts with t) - P(e)) / (1 - P(e)).
 
-and ``PMI / IC`` is the share of the entity's information that the term reveals.
-Events are distinct texts: copies of one, told by a 64-bit hash, count once.  All terms
-of a text with an entity count, wherever they stand outside personal data.  An entity
-or a term of one or two texts is judged too, by an estimate that starts at the base
-rate as if ``PRIOR`` texts had been seen before:
+A term of one text stays below one half, however rare it is: rare words are common, and
+a text with an entity has as many as any other.  Two texts that agree, and no third,
+come to two thirds, and five to five sixths.  An entity that is in every text is revealed
+by none.  Terms whose share reaches ``GENERALISE`` are replaced by a category; at
+``REMOVE`` they go.  A term is thus found mostly where its entity is: more than half of
+its texts hold it.
 
-    P(e | t) = (texts with both + PRIOR * P(e)) / (texts with t + PRIOR),
+Events are distinct texts: copies of one, told by a 64-bit hash, count once.  All terms
+of a text with an entity count, wherever they stand outside personal data.
 
-so one text reveals less than five that agree, and an entity that is in every text is
-revealed by none.  Terms whose share reaches ``GENERALISE`` are replaced by a category;
-at ``REMOVE`` they go.
+Secrets, values of 16 characters or more with letters and digits that a name such as
+``token`` or ``password`` is given, are protected entities as well, and spans of their own.
 
-The corpus counts read all documents.  Terms of texts without an entity are counted
-per task before they are shuffled; texts that have copies, and those with an entity,
-are sent as rows of terms, one per distinct text and task.  The hashes of texts with
-copies are sent to the tasks if there are ``BROADCAST_COPIES`` or fewer, which is
-counted; otherwise they meet in a join.  The terms found are sent to the tasks as they
-are if there are ``BROADCAST_TERMS`` or fewer, as 64-bit hashes if ``BROADCAST_HASHES``
-or fewer; beyond that each text meets its own terms in a join.
+The corpus counts read all documents.  Terms are counted per task and number of copies of
+their text before they are shuffled, so a text's copies add up to one without meeting.
+Only texts with an entity are sent as rows of terms, and only entities of two texts or
+more are paired with them.  The hashes of texts with copies are sent to the tasks if there
+are ``BROADCAST_COPIES`` or fewer, which is counted; otherwise they meet in a join.  The
+terms found are sent to the tasks as they are if there are ``BROADCAST_TERMS`` or fewer, as
+64-bit hashes if ``BROADCAST_HASHES`` or fewer; beyond that each text meets its own terms
+in a join.
 
 Cases: a null text is an empty one and has no spans; values repeated in a text
 give a span each; rows with equal keys are searched one by one; an empty table
@@ -41,19 +45,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldsieve.durable import written
-from goldsieve.llm.shuffles import release_shuffles
+from goldsieve.llm.shuffles import bounded_batches, release_shuffles
 
 KINDS = ("email", "ip", "card", "phone")
-PRIOR = 1.0
-GENERALISE = 0.8
-REMOVE = 0.95
+Z = 1.0
+GENERALISE = 0.5
+REMOVE = 0.8
 BROADCAST_TERMS = 50_000
 BROADCAST_COPIES = 1_000_000
-BROADCAST_HASHES = 8_000_000
+BROADCAST_HASHES = 2_000_000
 _FLUSH = 200_000
 
 # Fixed patterns of the base spans.  A run that an e-mail address's local part or
@@ -66,6 +70,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = str.maketrans("", "", " -().+")
 _LOCAL_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _TERM = re.compile(r"[^\W\d_]+")
+_VALUE = re.compile(r"[=:][\x20\t]{0,3}[\"']?([A-Za-z0-9_+/-]{16,})")
+_NAME = re.compile(r"(?i:token|secret|api[_-]?key|passwo?r?d)[\"']?[\x20\t]{0,3}\Z")
 
 Span = tuple[str, int, int]
 
@@ -111,6 +117,20 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def secret_spans(text: str) -> list[Span]:
+    """Values that stand after the name of a secret."""
+    found = []
+    for match in _VALUE.finditer(text):
+        value = match[1]
+        if _NAME.search(text, max(0, match.start() - 16), match.start()) and any(map(str.isdigit, value)) and any(map(str.isalpha, value)):
+            found.append(("secret", *match.span(1)))
+    return found
+
+
+def protected(text: str) -> list[Span]:
+    return base_spans(text) + secret_spans(text)
+
+
 def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else value.translate(_DIGITS) if kind != 'ip' else value}"
 
@@ -136,46 +156,51 @@ def _rows(columns: list[list], schema: list[tuple[str, pa.DataType]]) -> pa.Reco
 
 
 def _observations(docs: DataFrame) -> DataFrame:
-    """One scan after the hashes: ``text, entities, terms`` or ``term, texts`` rows.
+    """One scan of ``text, key, times``: ``text, entities, terms`` or ``term, times, texts`` rows.
 
-    The former are of texts with entities or copies, the latter counts over all others.
+    The former are the texts with an entity, copies of one once per task; the latter
+    counts over all texts, by how many copies a text has.
     """
     entity_lists = pa.list_(pa.string())
-    schema = [("text", pa.int64()), ("entities", entity_lists), ("terms", entity_lists), ("term", pa.string()), ("texts", pa.int64())]
+    schema = [("text", pa.int64()), ("entities", entity_lists), ("terms", entity_lists), ("term", pa.string()), ("times", pa.int64()), ("texts", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: dict[int, Counter] = {}
         sent: set[int] = set()
+        held = 0
 
-        def flush() -> pa.RecordBatch:
-            none = [None] * len(counts)
-            return _rows([none, none, none, list(counts), list(counts.values())], schema)
+        def flush() -> Iterator[pa.RecordBatch]:
+            for times, terms in counts.items():
+                none = [None] * len(terms)
+                yield _rows([none, none, none, list(terms), [times] * len(terms), list(terms.values())], schema)
+            counts.clear()
 
         for batch in batches:
             rows = []
-            for text, key, copied in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if copied:
-                    if key in sent:
-                        continue
-                    sent.add(key)
+            for text, key, times in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 text = text.as_py()
-                spans = base_spans(text)
-                terms = _terms_outside(text, spans)
-                if copied or spans:
+                spans = protected(text)
+                terms = _terms_outside(text, spans) if spans else set(_terms(text))
+                counter = counts.setdefault(times, Counter())
+                held -= len(counter)
+                counter.update(terms)
+                held += len(counter)
+                if spans and key not in sent:
+                    sent.add(key)
                     entities = sorted({_entity(kind, text[a:b]) for kind, a, b in spans})
-                    rows.append((key, entities, sorted(terms), None, None))
-                else:
-                    counts.update(terms)
+                    rows.append((key, entities, sorted(terms), None, None, None))
+                if held >= _FLUSH:
+                    yield from flush()
+                    held = 0
             if rows:
                 yield _rows([list(column) for column in zip(*rows)], schema)
-            if len(counts) >= _FLUSH:
-                yield flush()
-                counts.clear()
             if len(sent) >= _FLUSH:
                 sent.clear()
-        yield flush()
+        yield from flush()
 
-    return docs.mapInArrow(run, "text bigint, entities array<string>, terms array<string>, term string, texts bigint")
+    return docs.mapInArrow(
+        run, "text bigint, entities array<string>, terms array<string>, term string, times bigint, texts bigint"
+    )
 
 
 def _hash(term: str) -> int:
@@ -218,51 +243,59 @@ def _hashed(terms: DataFrame) -> HashedTerms:
     return HashedTerms(rows["hash"].to_numpy(), rows["share"].to_numpy())
 
 
-def _checked(terms: DataFrame) -> frozenset[str] | None:
+def _checked(terms: DataFrame) -> dict[str, float] | None:
     """The terms, if they are few enough to send to every task."""
-    rows = terms.select("term").limit(BROADCAST_TERMS + 1).collect()
-    return frozenset(row["term"] for row in rows) if len(rows) <= BROADCAST_TERMS else None
+    rows = terms.select("term", "share").limit(BROADCAST_TERMS + 1).collect()
+    return {row["term"]: row["share"] for row in rows} if len(rows) <= BROADCAST_TERMS else None
+
+
+def lower_share(both: Column, texts: Column) -> Column:
+    """The lower end of Wilson's interval for ``both`` of ``texts``."""
+    p, zz = both / texts, Z * Z
+    spread = F.sqrt(p * (1 - p) / texts + zz / (4 * texts * texts))
+    return (p + zz / (2 * texts) - Z * spread) / (1 + zz / texts)
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
-    """``term, share``: the largest share of an entity's information a term reveals."""
+    """``term, share``: how surely a term gives away the entity that it tells most of."""
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     times = written(texts.groupBy("key").agg(F.count(F.lit(1)).alias("times")), "disclosure-texts")
     total = times.count()
-    copies = times.where("times > 1").select("key", F.lit(True).alias("copied"))
+    copies = times.where("times > 1")
     few = copies.count() <= BROADCAST_COPIES
+    counted = texts.join(F.broadcast(copies) if few else copies, "key", "left")
     seen = written(
-        _observations(
-            texts.join(F.broadcast(copies) if few else copies, "key", "left").select("text", "key", "copied")
-        ),
-        "disclosure",
+        _observations(counted.select("text", "key", F.coalesce("times", F.lit(1)).alias("times"))), "disclosure"
     )
     told = written(
         seen.where("text IS NOT NULL").select("text", "entities", "terms").dropDuplicates(["text"]), "disclosure-told"
     )
     release_shuffles(docs.sparkSession)
-    entities = told.select(F.explode("entities").alias("entity")).groupBy("entity").agg(
-        F.count(F.lit(1)).alias("entity_texts")
-    )
+    mentions = told.select("text", F.explode("entities").alias("entity"))
+    entities = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_texts")).where("entity_texts > 1")
+    entities = written(entities, "disclosure-entities")
     pairs = (
-        told.select(F.explode("entities").alias("entity"), "terms")
-        .select("entity", F.explode("terms").alias("term"))
-        .groupBy("entity", "term")
+        mentions.join(entities, "entity")
+        .join(told.select("text", "terms"), "text")
+        .select("entity", "entity_texts", F.explode("terms").alias("term"))
+        .groupBy("entity", "entity_texts", "term")
         .agg(F.count(F.lit(1)).alias("both"))
+        .where("both > 1")
     )
+    pairs = written(pairs, "disclosure-pairs")
+    release_shuffles(docs.sparkSession)
     terms = (
         seen.where("term IS NOT NULL")
-        .select("term", "texts")
-        .unionByName(told.select(F.explode("terms").alias("term"), F.lit(1).cast("bigint").alias("texts")))
+        .groupBy("term", "times")
+        .agg(F.sum("texts").alias("texts"))
         .groupBy("term")
-        .agg(F.sum("texts").alias("term_texts"))
+        .agg(F.sum(F.col("texts") / F.col("times")).alias("term_texts"))
     )
     base = F.col("entity_texts") / F.lit(float(max(total, 1)))
-    given = F.log((F.col("both") + PRIOR * base) / (F.col("term_texts") + PRIOR))
-    share = F.when(base < 1, (given - F.log(base)) / -F.log(base))
+    lower = lower_share(F.col("both").cast("double"), F.round("term_texts"))
+    share = F.when(base < 1, (lower - base) / (1 - base))
     found = written(
-        pairs.join(entities, "entity")
-        .join(terms, "term")
+        pairs.join(terms, "term")
         .withColumn("share", share)
         .groupBy("term")
         .agg(F.max("share").alias("share"))
@@ -282,12 +315,14 @@ def term_spans(text: str, terms) -> list[tuple[str, int, int, str]]:
 
 
 def spans_of(text: str, terms) -> tuple[list[Span], list[Span]]:
-    """Base spans, and spans of disclosing terms outside them."""
+    """Base spans, and spans of secrets and of disclosing terms outside them."""
     base = base_spans(text)
+    more = [
+        span for span in secret_spans(text) if not any(span[1] < b and a < span[2] for _, a, b in base)
+    ]
     if not terms or not any(term in terms for term in set(_terms(text))):
-        return base, []
-    taken = sorted((a, b) for _, a, b in base)
-    more = []
+        return base, more
+    taken = sorted((a, b) for _, a, b in base + more)
     for _, a, b, _ in term_spans(text, terms):
         if not any(low < b and a < high for low, high in taken):
             more.append(("term", a, b))
@@ -309,7 +344,7 @@ def sanitised(text: str, spans: list[Span], terms: dict[str, float]) -> str:
 
 RESULT = (
     "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, "
-    "base_sha256 string, spans string, n_terms bigint, sanitised string"
+    "base_sha256 string, spans string, n_secret bigint, n_terms bigint, n_spans bigint, sanitised string"
 )
 
 
@@ -319,8 +354,8 @@ def _written_spans(spans: list[Span]) -> str:
 
 def sanitise(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Spans and sanitised text of every row of ``docs``; ``terms(term, share)``."""
-    if _checked(terms) is not None:
-        known = {row["term"]: row["share"] for row in terms.collect()}
+    known = _checked(terms)
+    if known is not None:
         return _sanitise(docs.select("doc_id", "text", F.lit(None).cast("array<string>").alias("t")), known)
     if terms.count() <= BROADCAST_HASHES:
         return _sanitise(docs.select("doc_id", "text", F.lit(None).cast("array<string>").alias("t")), _hashed(terms))
@@ -348,7 +383,7 @@ def sanitise(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def _sanitise(rows: DataFrame, known: dict[str, float] | HashedTerms) -> DataFrame:
     names = [part.split()[0] for part in RESULT.split(", ")]
-    types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64(), pa.string()]
+    types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()] * 3 + [pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,12 +394,13 @@ def _sanitise(rows: DataFrame, known: dict[str, float] | HashedTerms) -> DataFra
                 if own.is_valid:
                     terms = {t: float(s) for t, s in (entry.split(" ") for entry in own.as_py())}
                 base, more = spans_of(text, terms)
-                counts = Counter(kind for kind, _, _ in base)
+                counts = Counter(kind for kind, _, _ in base + more)
                 out.append(
                     (
                         key, *(counts[kind] for kind in KINDS),
                         hashlib.sha256(_written_spans(base).encode()).hexdigest(),
-                        _written_spans(base + more), len(more), sanitised(text, base + more, terms),
+                        _written_spans(base + more), counts["secret"], counts["term"], len(base) + len(more),
+                        sanitised(text, base + more, terms),
                     )
                 )
             columns = list(zip(*out)) if out else [()] * len(names)
@@ -374,4 +410,5 @@ def _sanitise(rows: DataFrame, known: dict[str, float] | HashedTerms) -> DataFra
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return sanitise(docs, disclosing_terms(docs))

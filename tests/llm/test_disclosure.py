@@ -90,27 +90,55 @@ def test_copies_are_one_observation(docs_of):
 
 
 @pytest.mark.parametrize("most", [0, 1_000_000])
-def test_entities_of_one_text(docs_of, monkeypatch, most):
-    """A rare name far from the only mention of an address gives it away; common words do not."""
+def test_share_is_the_lower_bound(docs_of, monkeypatch, most):
+    """Two distinct texts that agree tell of an address; one text, copies of it, common words do not."""
     monkeypatch.setattr(disclosure, "BROADCAST_COPIES", most)
     common = "these are the words that all of the texts have in them and no one would learn from".split()
     rows = [(key, " ".join([*common, "abcdefghij"[key // 10 % 10] * 4 + "abcdefghij"[key % 10] * 3])) for key in range(100)]
-    secret = " ".join(["Quillfeather", *common, *common, "write jo@example.org"])
-    rows += [(key, secret) for key in (200, 201, 202)]
+    once = " ".join(["Loneword", *common, "write al@example.org"])
+    rows += [(key, once) for key in (200, 201, 202)]
+    rows += [(300 + key, " ".join(["Quillfeather", *common, "x" * key, "mail jo@example.org"])) for key in (2, 3)]
+    rows += [(302, rows[-1][1])]
     terms = {row["term"]: row["share"] for row in disclosing_terms(docs_of(rows)).collect()}
-    # 101 distinct texts, one with both: P(e | t) = (1 + 1/101) / 2.
-    wanted = 1 + math.log((1 + 1 / 101) / 2) / math.log(101)
-    assert terms.keys() == {"quillfeather", "write"} and abs(terms["quillfeather"] - wanted) < 1e-9
+    # 103 distinct texts, two with both.  Wilson: 2 of 2, one deviation.
+    lower = (1 + 1 / 4 - math.sqrt(1 / 16)) / (1 + 1 / 2)
+    assert terms.keys() == {"quillfeather", "mail"}
+    assert abs(terms["quillfeather"] - (lower - 2 / 103) / (1 - 2 / 103)) < 1e-9
     found = {row["doc_id"]: row for row in personal_data(docs_of(rows)).collect()}
-    assert found[200]["n_terms"] == 2 and "Quillfeather" not in found[200]["sanitised"]
-    assert found[5]["n_terms"] == 0
+    assert found[302]["n_terms"] == 2 and "Quillfeather" not in found[302]["sanitised"]
+    assert found[200]["n_terms"] == found[5]["n_terms"] == 0 and found[200]["n_spans"] == 1
+
+
+def test_lower_bounds(spark):
+    rows = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0), (5.0, 5.0), (3.0, 4.0), (1.0, 100.0)], "k double, n double")
+    found = [row[0] for row in rows.select(disclosure.lower_share(rows["k"], rows["n"])).collect()]
+    assert [round(value, 3) for value in found] == [0.5, 0.667, 0.833, 0.5, 0.004]
+
+
+def test_secrets():
+    text = 'a token = "04dbebab91ab85687d33" b api_key: ABCDEFGH12345678 c note = aaaaaaaaaaaaaaaaaaaa1 token=short1'
+    found = [text[a:b] for _, a, b in disclosure.secret_spans(text)]
+    assert found == ["04dbebab91ab85687d33", "ABCDEFGH12345678"]
+    # A base span inside a secret stays, and is not covered twice.
+    base, more = disclosure.spans_of('x jo@example.org password="4111111111111111a"', {})
+    assert [kind for kind, _, _ in base] == ["email", "card"] and more == []
+
+
+def test_clean_documents_are_left_alone(spark):
+    """Of the documents without personal data under 2 % get a span; those with it keep theirs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {row["doc_id"]: row["text"] or "" for row in docs.select("doc_id", "text").collect()}
+    found = {row["doc_id"]: row for row in personal_data(docs).collect()}
+    clean = [key for key, text in texts.items() if not disclosure.protected(text)]
+    assert sum(found[key]["n_spans"] > 0 for key in clean) < 0.02 * len(clean)
+    assert all(found[key]["n_spans"] > 0 for key in texts.keys() - set(clean))
 
 
 @pytest.mark.parametrize("hashes", [0, 8_000_000])
 def test_terms_too_many_to_send(docs_of, spark, monkeypatch, hashes):
     monkeypatch.setattr(disclosure, "BROADCAST_TERMS", 0)
     monkeypatch.setattr(disclosure, "BROADCAST_HASHES", hashes)
-    terms = spark.createDataFrame([("kept", 0.8), ("gone", 0.99)], "term string, share double")
+    terms = spark.createDataFrame([("kept", 0.7), ("gone", 0.99)], "term string, share double")
     rows = disclosure.sanitise(docs_of([(1, "Kept and Gone, other words"), (2, "none")]), terms).collect()
     assert {row["doc_id"]: row["sanitised"] for row in rows} == {1: "<term> and , other words", 2: "none"}
 
