@@ -21,10 +21,13 @@ from goldsieve.llm.minhash import drop_near_duplicates
 from goldsieve.llm.mixing import mixed_documents, plan_mix
 from goldsieve.llm.quality_trees import fit_quality, keep_quality
 from goldsieve.llm.queries import TOKENIZER
+from goldsieve.llm.shuffles import bounded_batches, release_shuffles
 from goldsieve.llm.token_packs import packed_tokens
 from goldsieve.sources.derived import table
 
 SHINGLE_WORDS = 5
+# What a task hands to Python at once: five stages share one executor's memory.
+BATCH_BYTES = "4m"
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -49,12 +52,25 @@ def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed_tokens(docs, TOKENIZER)
 
 
+def _in_bounds(stage: Stage) -> Stage:
+    """The stage, after the shuffle files of earlier ones, with small batches."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_shuffles(spark)
+        bounded_batches(spark, BATCH_BYTES)
+        found = stage(spark, docs, sf_dir)
+        bounded_batches(spark, BATCH_BYTES)  # what the caller runs, whatever the stage set
+        return found
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality classifier", accept_quality),
-    ("near-duplicates", drop_copies),
-    ("benchmark decontamination", drop_leaks),
-    ("source mix", mix_sources),
-    ("token packs", pack_tokens),
+    ("quality classifier", _in_bounds(accept_quality)),
+    ("near-duplicates", _in_bounds(drop_copies)),
+    ("benchmark decontamination", _in_bounds(drop_leaks)),
+    ("source mix", _in_bounds(mix_sources)),
+    ("token packs", _in_bounds(pack_tokens)),
 ]
 
 # Boosted trees, signatures and the tokenizer are not SQL; the tests compare run()
