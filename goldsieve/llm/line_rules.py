@@ -7,8 +7,14 @@ features; a linear-chain conditional random field with the labels boilerplate
 Viterbi decoding finds the best labelling.  A document is kept if at least
 ``CONTENT_SHARE`` of its words stand in content lines.
 
-The field is fitted to labelled documents by gradient ascent on its
-log-likelihood; a line takes its document's label.  The fit sees at most
+The field is fitted to labelled documents by gradient ascent on its log-likelihood.
+Labels are of documents, not of lines, so lines are labelled in turns: a line first
+takes its document's label; then, ``RELABEL_ROUNDS`` times, emissions alone are fitted
+and each line takes the label that they give it, one line at least keeping its
+document's.  Only then is the whole field fitted: with neighbours from the start, a
+text would never change its label.  Changes are learned from composed sequences as
+well: the lines of an accepted document followed by those of a rejected one, or the
+other way round.  The fit sees at most
 ``FIT_DOCUMENTS`` documents, those with the least hash of their key, and of a
 document at most ``FIT_LINES`` lines, evenly spread: a bounded sample.  Decoding
 reads every line of every text.
@@ -34,6 +40,7 @@ from goldsieve.llm.labelled import labelled_sample
 
 FIT_DOCUMENTS = 4000
 FIT_LINES = 40
+RELABEL_ROUNDS = 2
 CONTENT_SHARE = 0.5
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
@@ -103,31 +110,37 @@ def viterbi(field: LineField, features: np.ndarray) -> np.ndarray:
     return labels
 
 
-def fit_field(documents: list[tuple[np.ndarray, int]], rounds: int = 200) -> LineField | None:
+def fit_field(
+    documents: list[tuple[np.ndarray, np.ndarray | int]], rounds: int = 200, chain: bool = True
+) -> LineField | None:
     """Gradient ascent on the mean log-likelihood per line, all documents at once.
 
-    Forward and backward sums run over padded sequences; ``None`` without both labels.
+    A document has a label for each line, or one for all.  Forward and backward sums
+    run over padded sequences; ``None`` without both labels.  Without ``chain`` lines
+    do not know their neighbours.
     """
-    documents = [(rows, label) for rows, label in documents if len(rows)]
-    if len({label for _, label in documents}) < 2:
+    documents = [(rows, np.broadcast_to(label, len(rows))) for rows, label in documents if len(rows)]
+    if len(set().union(*(set(label.tolist()) for _, label in documents))) < 2:
         return None
     n, longest = len(documents), max(len(rows) for rows, _ in documents)
     features = np.zeros((n, longest, len(FEATURES)))
     there = np.zeros((n, longest), bool)
-    gold = np.array([label for _, label in documents])
-    for at, (rows, _) in enumerate(documents):
-        features[at, : len(rows)], there[at, : len(rows)] = rows, True
+    gold = np.full((n, longest), -1)
+    for at, (rows, label) in enumerate(documents):
+        features[at, : len(rows)], there[at, : len(rows)], gold[at, : len(rows)] = rows, True, label
     lines = there.sum(1)
     # Both classes of lines count alike, however many of each the sample holds.
-    weight = np.where(gold == 1, 0.5 / lines[gold == 1].sum(), 0.5 / lines[gold == 0].sum())
+    each = np.where(gold == 1, 0.5 / (gold == 1).sum(), 0.5 / (gold == 0).sum()) * there
+    weight = each.sum(1) / lines
     emit, move = np.zeros((len(FEATURES), 2)), np.zeros((2, 2))
     step_e, step_m = np.full_like(emit, 1e-8), np.full_like(move, 1e-8)
     pairs = there[:, 1:]
     seen_e, seen_m = np.zeros_like(emit), np.zeros_like(move)
     for label in (0, 1):
         mine = gold == label
-        seen_e[:, label] = np.einsum("n,nlf->f", weight[mine], features[mine])
-        seen_m[label, label] = (weight[mine] * (lines[mine] - 1)).sum()
+        seen_e[:, label] = np.einsum("n,nl,nlf->f", weight, mine, features)
+        for after in (0, 1):
+            seen_m[label, after] = (weight[:, None] * (mine[:, :-1] & (gold[:, 1:] == after))).sum()
     for _ in range(rounds):
         scores = features @ emit
         ahead, behind = np.zeros_like(scores), np.zeros_like(scores)
@@ -149,10 +162,46 @@ def fit_field(documents: list[tuple[np.ndarray, int]], rounds: int = 200) -> Lin
         up_e = seen_e - np.einsum("n,nlf,nlk->fk", weight, features, share) - 1e-4 * emit
         up_m = seen_m - np.einsum("n,nljk->jk", weight, both) - 1e-4 * move
         step_e, step_m = step_e + up_e**2, step_m + up_m**2
-        emit, move = emit + 0.5 * up_e / np.sqrt(step_e), move + 0.5 * up_m / np.sqrt(step_m)
+        emit = emit + 0.5 * up_e / np.sqrt(step_e)
+        move = move + 0.5 * up_m / np.sqrt(step_m) * chain
     return LineField(emit, move)
 
 
+def relabelled(field: LineField, rows: np.ndarray, label: int) -> np.ndarray:
+    """The decoded labels of a document's lines, one at least being the document's own."""
+    found = viterbi(field, rows)
+    if len(found) and not (found == label).any():
+        scores = rows @ field.emit
+        found[np.argmax(scores[:, label] - scores[:, 1 - label])] = label
+    return found
+
+
+def composed(documents: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Lines of an accepted and a rejected document in one sequence, in either order."""
+    good = [part for part, label in zip(documents, labels) if label == 1]
+    bad = [part for part, label in zip(documents, labels) if label == 0]
+    out = []
+    for at, pair in enumerate(zip(good, bad)):
+        first, second = pair if at % 2 else pair[::-1]
+        half = FIT_LINES // 2
+        rows = np.concatenate((first[0][-half:], second[0][:half]))
+        out.append((rows, np.concatenate((first[1][-half:], second[1][:half]))))
+    return out
+
+
+def fit_lines(documents: list[tuple[np.ndarray, int]]) -> LineField | None:
+    """A field that labels lines, from documents with one label each."""
+    documents = [(rows, label) for rows, label in documents if len(rows)]
+    labels = [label for _, label in documents]
+    lines = [(rows, np.full(len(rows), label)) for rows, label in documents]
+    for _ in range(RELABEL_ROUNDS):
+        field = fit_field(lines, 60, chain=False)
+        if field is None:
+            return None
+        lines = [(rows, relabelled(field, rows, label)) for rows, label in documents]
+    return fit_field(lines + composed(lines, labels))
+
+
 def fit_line_field(docs: DataFrame, labels: DataFrame) -> LineField | None:
     """Fit to the labelled documents of ``labels(doc_id, quality)``."""
     sample = labelled_sample(docs, labels, FIT_DOCUMENTS)
@@ -170,7 +219,7 @@ def fit_line_field(docs: DataFrame, labels: DataFrame) -> LineField | None:
 
     found = sample.select("text", "quality").mapInArrow(read, "lines binary, quality int").collect()
     width = math.ceil(len(FEATURES) / 8)
-    return fit_field(
+    return fit_lines(
         [
             (
                 np.unpackbits(
