@@ -47,6 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldsieve.durable import written
+from goldsieve.llm.scratch import Scratch
 from goldsieve.llm.shuffles import bounded_batches, release_shuffles
 
 BANDS, ROWS = 40, 6
@@ -55,7 +56,7 @@ PERCENT = 80
 MISS = 1e-6
 SHINGLE_WORDS = 2
 BLOCK_BYTES = 16 << 20
-BLOCK_MEMBERS = 512
+BLOCK_MEMBERS = 256
 
 _rng = np.random.default_rng(20_240)
 _FLIP = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -359,20 +360,24 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _buckets(classes: DataFrame) -> DataFrame:
     """``key, node, band`` of the buckets with several members, one of those with the same."""
     listed = classes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = (
-        listed.groupBy("key")
+    # Most keys have one member: they are counted without anything else, and gone.
+    several = listed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    several = written(several.select("key"), "shared")
+    release_shuffles(classes.sparkSession)
+    met = written(listed.join(several, "key"), "met")
+    kept = (
+        met.groupBy("key")
         .agg(
             F.first("band").alias("band"),
             F.count(F.lit(1)).alias("members"),
             F.bit_xor(F.xxhash64("node")).alias("one"),
             F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("two"),
         )
-        .where("members > 1")
         .groupBy("members", "one", "two")
         .agg(F.min(F.struct("band", "key")).alias("kept"))
         .select("kept.key")
     )
-    return listed.join(written(shared, "shared"), "key")
+    return met.join(written(kept, "kept"), "key")
 
 
 def _same_key(keyed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -386,13 +391,16 @@ def _same_key(keyed: DataFrame, classes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``."""
     bounded_batches(docs.sparkSession)
-    rows = written(_classes_of(docs, width), "classes")
+    scratch = Scratch("near-duplicates")
+    wide = scratch.write(_classes_of(docs, width), "classes")
+    rows = written(wide.select("doc_id", "n_shingles", "class"), "classes")
     keyed = rows.where("class IS NOT NULL AND doc_id IS NOT NULL")
     one = F.min_by(F.struct("bands", "minima", "n_shingles"), "doc_id")
     classes = written(
-        keyed.groupBy("class").agg(F.min("doc_id").alias("node"), one.alias("one")).select("class", "node", "one.*"),
+        wide.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("node"), one.alias("one")).select("class", "node", "one.*"),
         "nodes",
     )
+    scratch.drop(wide)
     signed = classes.select("node", F.col("n_shingles").alias("n"), "bands", "minima")
     members = written(_buckets(classes), "members")
     release_shuffles(docs.sparkSession)
