@@ -15,14 +15,20 @@ Item seeds are sent to the tasks when ``BROADCAST_SEEDS`` or fewer, which is cou
 otherwise the sides are shuffled by seed.  Each document's words are hashed
 once where they are read; only hits and texts with hits move.
 
-Cases: a null or empty text has no words; an item under ``MIN_WORDS`` words is no
-evidence and is never found; null items are ignored; equal items count one by
-one; documents that share a key share a verdict, null keys included; an empty
-table of items finds nothing; extra columns are not read.
+Items under ``MIN_WORDS`` words hold no seed that survives a change; they are found
+where they stand word for word, by a join of whole items with the documents' runs of
+as many words.
+
+Cases: a null or empty text has no words; an item without words is never found; null
+items are ignored; equal items count one by one; documents that share a key share a
+verdict, null keys included; an empty table of items finds nothing; extra columns are
+not read, and pass through :func:`drop_contaminated` whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,8 +69,42 @@ def seeds(texts: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def short_items(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+    """``doc_id, item_id, overlap`` of items under ``MIN_WORDS`` words; ``None`` without such items.
+
+    A run of words is compared as one string: no word holds a blank.
+    """
+    listed = items.select("item_id", words(F.col("text")).alias("words")).withColumn("n", F.size("words"))
+    listed = listed.where(f"n > 0 AND n < {MIN_WORDS}")
+    sizes = [row["n"] for row in listed.select("n").distinct().collect()]  # MIN_WORDS - 1 at most
+    if not sizes:
+        return None
+    found = docs.select("doc_id", words(F.col("text")).alias("words"))
+    count, none = F.size("words"), F.array().cast("array<string>")
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), count - n + 1)
+        joined = F.transform(starts, lambda at: F.concat_ws(" ", F.slice("words", at, F.lit(n))))
+        return F.when(count >= n, F.array_distinct(joined)).otherwise(none)
+
+    whole = listed.select("item_id", F.concat_ws(" ", "words").alias("run"))
+    few = whole.count() <= BROADCAST_SEEDS
+    return (
+        found.select("doc_id", F.explode(F.concat(*map(runs, sizes))).alias("run"))
+        .join(F.broadcast(whole) if few else whole, "run")
+        .select("doc_id", "item_id", F.lit(1.0).alias("overlap"))
+        .distinct()
+    )
+
+
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, overlap``: items found, with the best window's share."""
+    found, short = long_items(docs, items), short_items(docs, items)
+    return found if short is None else found.unionByName(short)
+
+
+def long_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc_id, item_id, overlap`` of items with ``MIN_WORDS`` words or more."""
     wanted = items.where(F.size(words(F.col("text"))) >= MIN_WORDS).select(F.col("item_id"), "text")
     item_seeds = written(
         seeds(wanted, "item_id").select("item_id", "seed", F.col("place").alias("item_place")), "seeds"
@@ -77,22 +117,23 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
         .distinct(),
         "hits",
     )
-    by_doc = hits.groupBy("doc_id").agg(
-        F.collect_list(F.struct("item_id", "diagonal")).alias("hits")
+    lengths = wanted.select("item_id", words(F.col("text")).alias("item_words"))
+    sizes = lengths.select("item_id", F.size("item_words").alias("n"))
+    by_doc = hits.join(sizes, "item_id").groupBy("doc_id").agg(
+        F.collect_list(F.struct("item_id", "diagonal", "n")).alias("hits")
     ).withColumnRenamed("doc_id", "hit_doc")
     texts = (
         docs.select("doc_id", "text")
         .join(by_doc, F.col("doc_id").eqNullSafe(F.col("hit_doc")))
         .select("doc_id", words(F.col("text")).alias("words"), "hits")
     )
-    lengths = wanted.select("item_id", words(F.col("text")).alias("item_words"))
     longest = lengths.agg(F.max(F.size("item_words"))).first()[0] or 0
-    # A diagonal's piece is as long as the longest item; the item cuts it.
+    # A diagonal's piece is as long as its item.
     pieces = texts.select("doc_id", "words", F.explode("hits").alias("hit")).select(
         "doc_id",
         "hit.item_id",
         F.greatest(-F.col("hit.diagonal"), F.lit(0)).alias("skipped"),
-        F.slice("words", F.greatest(F.col("hit.diagonal"), F.lit(0)) + 1, longest).alias("piece"),
+        F.slice("words", F.greatest(F.col("hit.diagonal"), F.lit(0)) + 1, F.col("hit.n")).alias("piece"),
     )
     small = lengths.count() * max(1, longest) <= BROADCAST_SEEDS
     meeting = pieces.join(F.broadcast(lengths) if small else lengths, "item_id")
@@ -141,5 +182,6 @@ def decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a benchmark passage."""
-    bad = written(overlaps(docs, items).select(F.col("doc_id").alias("bad_doc")).distinct(), "leaks")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_doc")), "left_anti")
+    key = f"key_{uuid.uuid4().hex}"
+    bad = written(overlaps(docs, items).select(F.col("doc_id").alias(key)).distinct(), "leaks")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")

@@ -21,6 +21,7 @@ other columns are neither read nor changed.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -203,17 +204,18 @@ def mixed_documents(docs: DataFrame, plan: DataFrame) -> DataFrame:
     A document taken whole comes as it is, once per time taken.  Of one whose
     blocks are taken in part, each copy has the taken stretches of words, a line
     each, and ``n_chars`` says its new length.  Rows that agree in key, source
-    and size get one of their plans.
+    and size all get the least of their plans, on every run.  Other columns may have any
+    names.
     """
-    keys = ["doc_id", "source", "size"]
-    picks = plan.where("taken > 0").groupBy(*keys).agg(F.first("picks").alias("picks"))
-    picks = picks.select(*(F.col(name).alias(f"_mix_{name}") for name in [*keys, "picks"]))
+    keys, own = ["doc_id", "source", "size"], f"mix_{uuid.uuid4().hex}"
+    picks = plan.where("taken > 0").groupBy(*keys).agg(F.min("picks").alias("picks"))
+    picks = picks.select(*(F.col(name).alias(f"{own}_{name}") for name in [*keys, "picks"]))
     match = (
-        F.col("doc_id").eqNullSafe(F.col("_mix_doc_id"))
-        & F.col("source").eqNullSafe(F.col("_mix_source"))
-        & (n_words(F.col("text")) == F.col("_mix_size"))
+        F.col("doc_id").eqNullSafe(F.col(f"{own}_doc_id"))
+        & F.col("source").eqNullSafe(F.col(f"{own}_source"))
+        & (n_words(F.col("text")) == F.col(f"{own}_size"))
     )
-    joined = docs.join(picks, match).select(*docs.columns, "_mix_picks")
+    joined = docs.join(picks, match).select(*(F.col(f"`{name}`") for name in docs.columns), f"{own}_picks")
     names, text_at = docs.columns, docs.columns.index("text")
     chars_at = names.index("n_chars") if "n_chars" in names else None
 

@@ -174,7 +174,8 @@ ORACLES: dict[str, str] = {
         ), shard_bids AS (
             SELECT key, shard, seats, row_number() OVER (
                      PARTITION BY key ORDER BY m::DOUBLE / (2 * seat - 1) DESC, shard, seat) AS place
-            FROM shards, range(1, 3000) r(seat) WHERE m > 0 AND seat <= 2 * m + 3
+            FROM shards, range(1, 4 + 2 * (SELECT max(m) FROM shards)) r(seat)
+            WHERE m > 0 AND seat <= 2 * m + 3
         ), quotas AS (
             SELECT key, shard, count(*) AS q FROM shard_bids WHERE place <= seats GROUP BY key, shard
         ), turns AS (

@@ -73,7 +73,8 @@ def test_every_overlap_is_found(fixture, monkeypatch, few):
     for key, text in rows:
         # Items below twelve words may hide behind substitutions; exact ones never do.
         scores = {n: _overlap(text, " ".join(words)) for n, words in items if len(words) >= 12}
-        exact = {n for n, words in items if len(words) == 9 and _overlap(text, " ".join(words)) == 1.0}
+        exact = {n for n, words in items if len(words) in (3, 9) and _overlap(text, " ".join(words)) == 1.0}
+        scores |= {n: 1.0 for n in exact}
         sure = {n for n, score in scores.items() if score} | exact
         row = found[key]
         short = {n for n, words in items if len(words) == 9 and _overlap(text, " ".join(words))}
@@ -86,15 +87,15 @@ def test_every_overlap_is_found(fixture, monkeypatch, few):
 
 
 def test_every_length_and_choice_of_places(spark, docs_of):
-    """Items of 8 to 20 words, exact and with every allowed (or, from 12, some) choice of words changed."""
+    """Items of 1 to 20 words, exact and with every allowed (or, from 12, some) choice of words changed."""
     rng, rows, wanted = random.Random(4), [], {}
-    items = {size: [f"i{size}w{at}" for at in range(size)] for size in range(8, 21)}
+    items = {size: [f"i{size}w{at}" for at in range(size)] for size in range(1, 21)}
     for size, item in items.items():
         choices = list(itertools.combinations(range(size), size * (100 - MIN_PERCENT) // 100))
         for changed in [(), *(choices if size < 12 else rng.sample(choices, 20))]:
             text = " ".join("other" if at in changed else word for at, word in enumerate(item))
             rows.append((len(rows), f"before it {text} after it"))
-            wanted[rows[-1][0]] = size >= MIN_WORDS
+            wanted[rows[-1][0]] = size >= MIN_WORDS or not changed
             assert _overlap(text, " ".join(item)) > 0
     bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id bigint, text string")
     found = {row["doc_id"]: row["contaminated"] for row in decontamination(docs_of(rows), bench).collect()}
@@ -114,3 +115,6 @@ def test_odd_rows_and_none(odd_docs, fixture):
     assert decontamination(docs.where("false"), bench).count() == 0
     assert decontamination(docs, bench.where("false")).where("contaminated").count() == 0
     assert drop_contaminated(odd_docs, bench).count() == odd_docs.count()
+    more = docs.selectExpr("*", "1 AS bad_doc", "2 AS words", "3 AS `a.b`", "4 AS hits")
+    left = drop_contaminated(more, bench)
+    assert left.columns == more.columns and left.count() == drop_contaminated(docs, bench).count()

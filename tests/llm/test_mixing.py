@@ -97,3 +97,11 @@ def test_odd_rows_and_none(odd_docs):
     assert all(row["taken"] <= 2 * row["size"] for row in rows)
     assert source_mix(odd_docs.where("false")).count() == 0
     assert mixed_documents(odd_docs, plan_mix(odd_docs)).where("text IS NULL").count() == 0
+
+
+def test_other_columns_have_any_names_and_reruns_agree(docs_of):
+    docs = docs_of([(5, "a b c " * 60, "s"), (5, "d e f " * 60, "s"), (None, "g h", None), (7, "x " * 300, "t")])
+    more = docs.selectExpr("*", "1 AS _mix_picks", "2 AS size", "3 AS picks", "4 AS `key`")
+    one, two = (sorted(map(repr, mixed_documents(more, plan_mix(more)).collect())) for _ in range(2))
+    assert one and one == two
+    assert mixed_documents(more, plan_mix(more)).columns == more.columns
