@@ -12,11 +12,13 @@ For each length k:
    place of the one meets the place ``k - 1`` further of the other;
 2. group and count: first inside a block, then all blocks' counts by phrase; what stands
    less than ``LEAST`` times goes;
-3. semi-join: the phrases left are numbered, and each block gets the numbers of its own.  ``R(k)`` keeps only their occurrences, and is persisted
+3. semi-join: each block gets the phrases left that are its own.  ``R(k)`` keeps only their occurrences, and is persisted
    before the next length extends it.
 
-A phrase of k words is the number of its first k - 1 and that of its last, so counts are
-exact and no text is moved.  What goes through a shuffle has one row per block and
+A phrase of k words is the number of its head, the first k - 1, and that of its last word, so
+counts are exact and no text is moved.  Frequent words are numbered; a pair's number is
+those of its words; longer phrases that are extended further are numbered again.  Inside a
+block phrases go by their index among the block's own.  What goes through a shuffle has one row per block and
 distinct phrase; no word, phrase or language is gathered in one task.
 
 A candidate's score is the least, over its cuts, of ``1000000 * a * a / (l * r)``, in exact
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 
 from goldsieve.llm.passages import _batch, _text, stretches
 from goldsieve.llm.scratch import Scratch
-from goldsieve.llm.shuffles import release_shuffles
+from goldsieve.llm.shuffles import bounded_batches, release_shuffles
 from goldsieve.operators.numbering import with_row_no
 
 LEAST = 10
@@ -82,12 +84,12 @@ def occurrences(text: memoryview | bytes, codes: _Codes) -> list[np.ndarray]:
     return [*found, np.zeros(1, np.int32)]
 
 
-_BLOCK = "block bigint, lang string, n bigint, words binary, r1 binary, rk binary"
+_BLOCK = "block bigint, lang string, n bigint, words binary, r1 binary, rk binary, names binary"
+_BLOCK_TYPES = [("block", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.binary()), ("r1", pa.binary()), ("rk", pa.binary()), ("names", pa.binary())]
 
 
 def _first_relation(docs: DataFrame) -> DataFrame:
     """Blocks of ``R1``, with the words' codes in the block as phrases."""
-    schema = [("block", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.binary()), ("r1", pa.binary()), ("rk", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -102,8 +104,8 @@ def _first_relation(docs: DataFrame) -> DataFrame:
                 places = places[~(gap & np.concatenate(([True], gap[:-1])))]
                 if len(places):
                     words = b"\n".join(list(codes)[2:])
-                    row = [block, lang, int((places > 0).sum()), words, None, places.tobytes()]
-                    yield _batch([[value] for value in row], schema)
+                    row = [block, lang, int((places > 0).sum()), words, None, places.tobytes(), None]
+                    yield _batch([[value] for value in row], _BLOCK_TYPES)
                     block += 1
             held.clear()
 
@@ -125,7 +127,7 @@ def _first_relation(docs: DataFrame) -> DataFrame:
 
 
 def merge_join(r1: np.ndarray | None, rk: np.ndarray, k: int) -> np.ndarray:
-    """Keys of the k-word phrases by their first place: the shorter phrase's number and the word's."""
+    """Keys of the k-word phrases by their first place: the head's index and the last word's number."""
     keys = np.zeros(len(rk), np.int64)
     if r1 is None:
         keys[:] = rk
@@ -135,75 +137,82 @@ def merge_join(r1: np.ndarray | None, rk: np.ndarray, k: int) -> np.ndarray:
     return keys
 
 
-def _relation(value: pa.Scalar) -> np.ndarray | None:
-    return np.frombuffer(value.as_buffer(), np.int32) if value.is_valid else None
+def _relation(value: pa.Scalar, kind: type = np.int32) -> np.ndarray | None:
+    return np.frombuffer(value.as_buffer(), kind) if value.is_valid else None
 
 
 def _counted(relation: DataFrame, k: int) -> DataFrame:
-    """``block, key, n`` (and ``lang, word`` for single words): the counts inside each block."""
-    schema = [("block", pa.int64()), ("key", pa.int64()), ("n", pa.int64())]
+    """``block, head, last, n`` (``lang, word`` for single words): the counts inside each block."""
+    schema = [("block", pa.int64()), ("head", pa.int64()), ("last", pa.int64()), ("n", pa.int64())]
     more = [("lang", pa.string()), ("word", pa.string())] if k == 1 else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, lang, words, r1, rk in zip(*batch.columns):
+            for block, lang, words, r1, rk, names in zip(*batch.columns):
                 keys = merge_join(_relation(r1), _relation(rk), k)
                 keys, n = np.unique(keys[keys > 0], return_counts=True)
+                head, last = (np.zeros_like(keys), keys) if k == 1 else (keys >> 32, keys & (_IDS - 1))
+                if names.is_valid:
+                    head = _relation(names, np.int64)[head - 1]
                 named = words.as_py().split(b"\n") if k == 1 else None
                 for low in range(0, len(keys), 100_000):
-                    some = keys[low : low + 100_000]
-                    columns = [np.full(len(some), block.as_py()), some, n[low : low + 100_000]]
+                    part = slice(low, low + 100_000)
+                    columns = [np.full(len(keys[part]), block.as_py()), head[part], last[part], n[part]]
                     if named is not None:
-                        columns += [[lang.as_py()] * len(some), [named[code - 1] for code in some.tolist()]]
+                        columns += [[lang.as_py()] * len(keys[part]), [named[code - 1] for code in keys[part].tolist()]]
                     yield _batch(columns, schema + more)
 
-    out = "block bigint, key bigint, n bigint" + ", lang string, word string" * (k == 1)
-    return relation.select("block", "lang", "words", "r1", "rk").mapInArrow(run, out)
+    out = "block bigint, head bigint, last bigint, n bigint" + ", lang string, word string" * (k == 1)
+    return relation.select("block", "lang", "words", "r1", "rk", "names").mapInArrow(run, out)
 
 
 def _semi_joined(relation: DataFrame, known: DataFrame, k: int) -> DataFrame:
-    """``R(k)``: the occurrences of the phrases in ``known(block, key, id)``, by number."""
-    none = F.lit(None)
+    """``R(k)``: the occurrences of the phrases in ``known(block, head, last, id)``.
+
+    Phrases are held by their index among the block's, ``names`` has their numbers; single
+    words are held by their numbers.
+    """
+    none, parts = F.lit(None), ("r1", "rk", "names")
     rows = relation.select(
-        "block", none.cast("bigint").alias("key"), none.cast("int").alias("id"), "r1", "rk"
-    ).unionByName(
-        known.select(
-            "block", "key", F.col("id").cast("int"), none.cast("binary").alias("r1"), none.cast("binary").alias("rk")
-        )
-    )
-    schema = [("block", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.binary()), ("r1", pa.binary()), ("rk", pa.binary())]
+        "block", *(none.cast("bigint").alias(name) for name in ("head", "last", "id")), *parts
+    ).unionByName(known.select("block", "head", "last", "id", *(none.cast("binary").alias(part) for part in parts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the block, its relations, and the keys and numbers that followed
+        held = None  # the block, its relations, and the phrases that followed
 
         def flush() -> pa.RecordBatch:
-            block, r1, rk, keys, ids = held
+            block, r1, rk, names, found = held
             wanted = merge_join(r1, rk, k)
-            phrases = np.zeros(len(wanted), np.int32)
-            if keys:
-                keys, ids = np.concatenate(keys), np.concatenate(ids)
+            phrases, ids = np.zeros(len(wanted), np.int32), np.empty(0, np.int64)
+            if found:
+                head, last, ids = (np.concatenate(column) for column in zip(*found))
+                if names is not None:
+                    head = np.searchsorted(names, head) + 1
+                keys = last if k == 1 else head << 32 | last
                 at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                phrases = np.where(keys[at] == wanted, ids[at], 0).astype(np.int32)
-            row = [block, None, None, None, (phrases if r1 is None else r1).tobytes(), phrases.tobytes()]
-            return _batch([[value] for value in row], schema)
+                index = ids if k == 1 else np.arange(1, len(keys) + 1)
+                phrases = np.where(keys[at] == wanted, index[at], 0).astype(np.int32)
+            row = [block, None, None, None, (phrases if k == 1 else r1).tobytes(), phrases.tobytes()]
+            return _batch([[value] for value in [*row, None if k == 1 else ids.tobytes()]], _BLOCK_TYPES)
 
         for batch in batches:
             blocks = batch.column(0).to_numpy()
-            # A block's relation stands before its keys, which are in order.
+            # A block's relation stands before its phrases, which are in order.
             heads = np.flatnonzero(batch.column(1).is_null().to_numpy(zero_copy_only=False)).tolist()
             for low, high in zip([0, *heads], [*heads, len(blocks)]):
                 if low in heads and low < high:
                     if held is not None:
                         yield flush()
-                    held = int(blocks[low]), _relation(batch.column(3)[low]), _relation(batch.column(4)[low]), [], []
+                    r1, rk = (_relation(batch.column(at)[low]) for at in (4, 5))
+                    held = int(blocks[low]), r1, rk, _relation(batch.column(6)[low], np.int64), []
                     low += 1
                 if low < high:
-                    held[3].append(batch.column(1).slice(low, high - low).to_numpy(zero_copy_only=False).astype(np.int64))
-                    held[4].append(batch.column(2).slice(low, high - low).to_numpy(zero_copy_only=False).astype(np.int32))
+                    columns = (batch.column(at).slice(low, high - low) for at in (1, 2, 3))
+                    held[4].append([column.to_numpy(zero_copy_only=False).astype(np.int64) for column in columns])
         if held is not None:
             yield flush()
 
-    return rows.repartition("block").sortWithinPartitions("block", "key").mapInArrow(run, _BLOCK)
+    return rows.repartition("block").sortWithinPartitions("block", "head", "last").mapInArrow(run, _BLOCK)
 
 
 def _frequent(counts: DataFrame, least: int, *phrase: str) -> DataFrame:
@@ -227,6 +236,7 @@ def _numbered(found: DataFrame, order: list[str], scratch: Scratch) -> DataFrame
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """``lang, ids, phrase, f`` of all phrases that stand ``least`` times, and ``lang, n``."""
+    bounded_batches(docs.sparkSession)
     scratch = Scratch("collocations")
     relation = scratch.write(_first_relation(docs), "r1")
     sizes = scratch.write(relation.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
@@ -235,26 +245,28 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     release_shuffles(docs.sparkSession)
     words = _numbered(near.groupBy("lang", "word").agg(F.first("f").alias("f")), ["lang", "word"], scratch)
     level = words.select("id", "lang", F.array("id").alias("ids"), F.col("word").alias("phrase"), "f")
-    levels, known = [level], near.join(words, ["lang", "word"]).select("block", "key", "id")
+    levels, known = [level], near.join(words, ["lang", "word"]).select("block", "head", "last", "id")
     for k in range(2, longest + 1):
         smaller = scratch.write(_semi_joined(relation, known, k - 1), "r")
         scratch.drop(relation, near)
         relation = smaller
         counts = _counted(relation, k)
         if k < longest:
-            near = scratch.write(_frequent(counts, least, "key"), "c")
-            frequent = near.groupBy("key").agg(F.first("f").alias("f"))
+            near = scratch.write(_frequent(counts, least, "head", "last"), "c")
+            frequent = near.groupBy("head", "last").agg(F.first("f").alias("f"))
         else:
-            near = scratch.write(counts.groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "c")
-            frequent = near
+            total = counts.groupBy("head", "last").agg(F.sum("n").alias("f"))
+            near = frequent = scratch.write(total.where(F.col("f") >= least), "c")
         release_shuffles(docs.sparkSession)
-        numbered = _numbered(frequent, ["key"], scratch)
-        head, last = F.shiftright("key", 32), F.col("key").bitwiseAND(F.lit(_IDS - 1))
-        shorter = level.select(F.col("id").alias("head"), "lang", "ids", "phrase")
-        named = (
-            numbered.select("id", "f", head.alias("head"), last.alias("last"))
-            .join(shorter, "head")
-            .join(words.select(F.col("id").alias("last"), "word"), "last")
+        if k == 2:
+            pair = F.shiftleft("head", 32).bitwiseOR(F.col("last"))
+            numbered, known = frequent.withColumn("id", pair), near.withColumn("id", pair)
+        else:
+            numbered = _numbered(frequent, ["head", "last"], scratch)
+            known = near.join(numbered.select("head", "last", "id"), ["head", "last"])
+        known = known.select("block", "head", "last", "id") if k < longest else None
+        named = numbered.join(level.select(F.col("id").alias("head"), "lang", "ids", "phrase"), "head").join(
+            words.select(F.col("id").alias("last"), "word"), "last"
         )
         level = scratch.write(
             named.select(
@@ -264,8 +276,6 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
             "level",
         )
         levels.append(level)
-        if k < longest:
-            known = near.join(numbered.select("key", "id"), "key").select("block", "key", "id")
     found = levels[0]
     for level in levels[1:]:
         found = found.unionByName(level)
