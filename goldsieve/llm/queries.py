@@ -18,6 +18,7 @@ from goldsieve.llm.quality_trees import quality_scores
 from goldsieve.llm.suffixes import without_repeats
 from goldsieve.llm.token_packs import packed_tokens
 from goldsieve.llm.warc import capture_index
+from goldsieve.llm.word_runs import shared_runs
 from goldsieve.sources.derived import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -34,7 +35,8 @@ def op2_warc_index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return without_repeats(table(spark, folder, "documents")).drop("kept")
+    documents = table(spark, folder, "documents")
+    return without_repeats(documents, runs=shared_runs(documents)).drop("kept")
 
 
 def op4_disclosure(spark: SparkSession, folder: str) -> DataFrame:

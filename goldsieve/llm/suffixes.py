@@ -162,9 +162,11 @@ def multikey_order(words: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-UNITS = "w0 bigint, w1 bigint, w2 bigint, doc bigint, row int, first int, last int, anchor int"
+UNITS = "w0 bigint, w1 bigint, w2 bigint, doc bigint, row bigint, first int, last int, anchor int"
 _UNIT_NAMES = [part.split()[0] for part in UNITS.split(", ")]
-_UNIT_TYPES = [pa.int64()] * 4 + [pa.int32()] * 4
+_UNIT_TYPES = [pa.int64()] * 5 + [pa.int32()] * 3
+# Units that a bucket, held in memory by one task, is planned for.
+BUCKET_UNITS = 2_000_000
 _EDGES = "bucket int, edge int, before int, after int"
 FIRST, LAST = 1, 2
 
@@ -208,7 +210,10 @@ def neighbours(units: DataFrame) -> DataFrame:
             more = [np.full(len(some), bucket, np.int32), edge[some], before[some], after[some]]
             yield _units([column[some] for column in columns] + more, names, types)
 
-    dealt = units.select(*_UNIT_NAMES).repartitionByRange("w0", "w1", "w2", "doc", "first")
+    buckets = units.count() // BUCKET_UNITS + 1
+    planned = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    more_than_planned = [buckets] if buckets > planned else []
+    dealt = units.select(*_UNIT_NAMES).repartitionByRange(*more_than_planned, "w0", "w1", "w2", "doc", "first")
     found = written(dealt.mapInArrow(sort, f"{UNITS}, {_EDGES}"), "suffixes")
     words = ["w0", "w1", "w2"]
     in_order = Window.orderBy("bucket")
@@ -247,7 +252,7 @@ def neighbours(units: DataFrame) -> DataFrame:
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` with ``doc, row``: the key, and a hash of the text.
+    """``doc_id, text`` with ``doc, row``: the key, and a 64-bit hash of the text.
 
     Equal rows have equal names: what is repeated in one is repeated in the other.
     """
@@ -255,7 +260,7 @@ def _named(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("doc"),
-        F.hash(F.coalesce("text", F.lit(""))).alias("row"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"),
     )
 
 
@@ -290,7 +295,7 @@ def _block_bytes(named: DataFrame, probes: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc", "row", "first", "last", "anchor", "data"]
-        types = [pa.int64(), *[pa.int32()] * 4, pa.binary()]
+        types = [pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.binary()]
         for batch in batches:
             for doc, row, text, wanted in zip(*batch.columns):
                 data = _bytes(text)
@@ -304,7 +309,7 @@ def _block_bytes(named: DataFrame, probes: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     return texts.join(lists, ["doc", "row"]).mapInArrow(
-        run, "doc bigint, row int, first int, last int, anchor int, data binary"
+        run, "doc bigint, row bigint, first int, last int, anchor int, data binary"
     )
 
 
@@ -360,7 +365,10 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     return written(found[0].unionByName(found[1]).unionByName(found[2]).distinct(), "starts")
 
 
-RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+RESULT = (
+    "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, "
+    "shares_run boolean"
+)
 
 
 def merged_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -371,18 +379,31 @@ def merged_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
     return starts[opens], ends[np.append(np.flatnonzero(opens)[1:] - 1, len(ends) - 1)]
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc_id``, counts, ``kept_sha256`` and the ``kept`` bytes of every row of ``docs``."""
+def without_repeats(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, runs: DataFrame | None = None
+) -> DataFrame:
+    """``doc_id``, counts, ``kept_sha256`` and the ``kept`` bytes of every row of ``docs``.
+
+    ``shares_run``: the row is named in ``runs(doc, row)``, the documents with a run of
+    words that another has; null without it.
+    """
     spans = repeated_starts(docs, length, gram).groupBy("doc", "row").agg(
         F.collect_list(F.struct("first", "last")).alias("starts")
     )
     names = [part.split()[0] for part in RESULT.split(", ")]
-    types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+    types = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.bool_()]
+    named = _named(docs)
+    if runs is None:
+        spans = spans.withColumn("shared", F.lit(None).cast("boolean"))
+        named = named.withColumn("told", F.lit(None).cast("boolean"))
+    else:
+        spans = spans.join(runs.select("doc", "row", F.lit(True).alias("shared")), ["doc", "row"], "full")
+        named = named.withColumn("told", F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, text, found in zip(*batch.columns):
+            for key, text, found, shared in zip(*batch.columns):
                 data, kept, low, high = _bytes(text), b"", np.empty(0), np.empty(0)
                 if found.is_valid:
                     pairs = found.values
@@ -393,9 +414,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                     kept = b"".join(data[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2]))
                 else:
                     kept = data.tobytes()
-                out.append((key.as_py(), len(data), len(data) - len(kept), len(low), hashlib.sha256(kept).hexdigest(), kept))
+                digest = hashlib.sha256(kept).hexdigest()
+                out.append((key.as_py(), len(data), len(data) - len(kept), len(low), digest, kept, shared.as_py()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    joined = _named(docs).join(spans, ["doc", "row"], "left")
-    return joined.select("doc_id", "text", "starts").mapInArrow(run, RESULT)
+    joined = named.join(spans, ["doc", "row"], "left")
+    shared = F.coalesce("shared", "told").alias("shared")
+    return joined.select("doc_id", "text", "starts", shared).mapInArrow(run, RESULT)

@@ -4,7 +4,9 @@ from collections import Counter
 
 import numpy as np
 
+from goldsieve.llm import suffixes
 from goldsieve.llm.suffixes import blocks, multikey_order, window_minima, without_repeats
+from goldsieve.llm.word_runs import shared_runs
 
 
 def _brute(rows, length):
@@ -101,3 +103,38 @@ def test_odd_rows_and_none(odd_docs):
     _check(short, 400, 128)
     assert without_repeats(odd_docs).where("doc_id = 9").first()["n_spans"] == 1
     assert without_repeats(odd_docs.where("false")).count() == 0
+
+
+def _shared(rows, size):
+    """Whether a row has a run of words that another row has."""
+    words = [(text or "").encode().split() for _, text in rows]
+    runs = [{tuple(w[at : at + size]) for at in range(len(w) - size + 1)} for w in words]
+    times = Counter(run for own in runs for run in own)
+    return [(key, any(times[run] > 1 for run in own)) for (key, _), own in zip(rows, runs)]
+
+
+def test_words_shared_with_other_documents(docs_of, monkeypatch):
+    monkeypatch.setattr(suffixes, "BUCKET_UNITS", 100)
+    rng = random.Random(6)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randint(0, 30))
+    passages = [[word() for _ in range(rng.randint(8, 40))] for _ in range(5)]
+    rows = [(900, "own " * 40), (901, " ".join(passages[0] * 3))]
+    for key in range(60):
+        words = []
+        for _ in range(rng.randint(0, 5)):
+            words += rng.choice(passages) if rng.random() < 0.4 else [word() for _ in range(rng.randint(0, 20))]
+        rows.append((key, rng.choice([" ", "\n"]).join(words)))
+    docs = docs_of(rows)
+    found = without_repeats(docs, 64, 16, shared_runs(docs, 12, 4)).collect()
+    wanted = _shared(rows, 12)
+    assert sorted((row["doc_id"], row["shares_run"]) for row in found) == sorted(wanted)
+    assert 10 < sum(shares for _, shares in wanted) < len(rows) and not dict(wanted)[900]
+    assert without_repeats(docs, 64, 16).where("shares_run IS NOT NULL").count() == 0
+
+
+def test_shared_words_of_odd_rows(odd_docs):
+    short = odd_docs.where("doc_id IS NULL OR doc_id < 9")
+    found = {(row["doc_id"], row["n_bytes"]): row["shares_run"] for row in without_repeats(short, runs=shared_runs(short)).collect()}
+    assert found[5, 750] and found[6, 750] and not found[None, 0] and not found[1, 0] and not found[8, 1_000_000]
+    none = odd_docs.where("false")
+    assert without_repeats(none, runs=shared_runs(none)).count() == 0
