@@ -44,12 +44,13 @@ def best_of_n(completions: DataFrame, problems: DataFrame) -> DataFrame:
         .agg(F.max("_rank").alias("_rank"))
     )
     winners = best.select(
-        "problem_id", (_LAST - F.col("_rank") % _SAMPLES).cast("int").alias("sample_no"), "_rank"
+        "problem_id", (_LAST - F.col("_rank") % _SAMPLES).cast("int").alias("sample_no"),
+        F.col("_rank").alias("_won"),
     )
     texts = winners.join(completions.select("problem_id", "sample_no", "text"), ["problem_id", "sample_no"])
     # No filter on the rank: it would be pushed into the join and parse there again.
     # One row per problem reaches this sort; the text comes first in the order.
-    won = F.when(F.col("_own") == F.col("_rank"), F.struct("text", "parsed"))
+    won = F.when(F.col("_own") == F.col("_won"), F.struct("text", "parsed"))
     return ranked(texts, "_own").groupBy("problem_id").agg(F.min(won).alias("_best")).select(
         "problem_id",
         *(f"_best.parsed.{name}" for name in ("reason", "answer", "closing")),

@@ -127,6 +127,20 @@ def test_no_text_moves_below_the_winner(inputs, spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_winners_are_read_once(inputs, spark):
+    """The extraction of a winner's text is not repeated in the join's condition."""
+    problems, completions = inputs
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        best = best_of_n(completions, problems)._jdf.queryExecution().optimizedPlan().toString()
+        assert best.count("regexp_extract") < 250
+        for df in (best_of_n(completions, problems), vote_tagged(completions)):
+            joins = [line for line in _plan(df).splitlines() if re.search("(HashJoin|MergeJoin)", line)]
+            assert joins and not any("regexp" in line for line in joins)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_numbers_are_read_before_the_join(inputs):
     problems, completions = inputs
     lines = _plan(judge(completions, problems)).splitlines()

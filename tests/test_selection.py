@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from goldsieve.operators.selection import best_of_n
 from goldsieve.operators.voting import vote_phrased, vote_tagged
-from goldsieve.plans.curation import curate
+from goldsieve.plans.curation import curate, judge, kept_records
 from goldsieve.plans.evaluation import evaluate
 
 SAMPLES = "problem_id long, sample_no int, text string"
@@ -154,3 +154,17 @@ def test_every_reject_has_a_reason(spark):
     assert [r.problem_id for r in curated.outstanding.collect()] == [3]
     with pytest.raises(ValueError, match="must be unique"):
         curate(prompts.union(prompts), curated.graded)
+
+
+def test_judge_takes_any_column_names(spark):
+    prompts = spark.createDataFrame(
+        [(1, 11, "q", "5", "theirs", "x")],
+        "problem_id long, id long, question string, gold string, text string, _known string",
+    )
+    rows = [(1, 1, _completion(3, 5, 3), "a", "b", 7), (2, 1, "x", "c", "d", 8)]
+    samples = spark.createDataFrame(rows, f"{SAMPLES}, _flaw string, _got string, id long")
+    graded = judge(samples, prompts)
+    assert len(graded.columns) == len(set(graded.columns))
+    found = {r.problem_id: (r.kept, r.text, r._flaw, r._got, r.id, r._known) for r in graded.collect()}
+    assert found == {1: (True, rows[0][2], "a", "b", 11, "x"), 2: (False, "x", "c", "d", None, None)}
+    assert [r.assistant_answer for r in kept_records(graded, "train").collect()] == [rows[0][2]]
