@@ -21,12 +21,14 @@ from goldsieve.operators.prompts import render_messages
 from goldsieve.operators.reports import batch_report, percent
 from goldsieve.operators.reports import curation_report as curation_report_of
 from goldsieve.operators.selection import best_of_n
+from goldsieve.operators.stable_numbers import append_numbers
 from goldsieve.operators.voting import vote_phrased, vote_tagged
 from goldsieve.plans.curation import curate, judge, rejected
 from goldsieve.plans.evaluation import evaluate
 from goldsieve.plans.training_set import training_set
 from goldsieve.sources.derived import derived_completions, derived_problems, table
 from goldsieve.sources.packs import packs_table
+from goldsieve.sources.published import publish_kept, read_published_kept
 from goldsieve.sources.readers import completion_stream, read_kept, read_problems, read_results
 from goldsieve.sources.writers import write_kept, write_results, write_training_set
 from goldsieve.streaming.curation import (
@@ -362,6 +364,28 @@ def kept_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select(*schemas.KEPT.fieldNames(), "teacher", "dataset")
 
 
+def published_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """Kept records as a draft, then final, then by a publisher that is cut off."""
+    root, run = new_folder(spark, "published"), (_TEACHER, "orders", "boring", "train")
+    kept = written(curate_kept_records(spark, folder), "kept")
+    first = publish_kept(kept.withColumn("split", F.lit("draft")), root, *run)
+    last = publish_kept(kept, root, *run)
+    write_kept(kept, f"{root}/data/publish={last + 1}", *run)
+    names = schemas.KEPT.fieldNames()
+    old = read_published_kept(spark, root, version=first).select(F.lit("old").alias("read"), *names)
+    new = read_published_kept(spark, root, mode="boring")
+    return old.unionByName(new.select(F.lit("newest").alias("read"), *names))
+
+
+def appended_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders numbered in two appends: the finished ones, then all."""
+    store = new_folder(spark, "numbers")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    finished = orders.where(F.col("o_orderstatus").eqNullSafe("F"))
+    append_numbers(finished, ["o_orderkey"], store, 0)
+    return append_numbers(orders, ["o_orderkey"], store, 1)
+
+
 def results_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "results")
     write_results(
@@ -505,6 +529,8 @@ QUERIES: dict[str, Query] = {
         normalized_documents,
         cleaned_pages,
         kept_round_trip,
+        published_versions,
+        appended_numbers,
         results_round_trip,
         streamed_kept_records,
         streamed_totals,

@@ -447,6 +447,14 @@ SELECT page_id, {_trim(
     )} AS cleaned FROM pages""",
     "kept_round_trip": f"""WITH {_JUDGED}
 SELECT *, 'teacher-7b' AS teacher, 'orders' AS dataset FROM kept""",
+    "published_versions": f"""WITH {_JUDGED}
+SELECT 'old' AS read, * REPLACE ('draft' AS split) FROM kept
+UNION ALL SELECT 'newest' AS read, * FROM kept""",
+    "appended_numbers": """
+SELECT o_orderkey, late::BIGINT AS append_id,
+       row_number() OVER (ORDER BY late, o_orderkey) - 1 AS row_no
+FROM (SELECT o_orderkey, min((o_orderstatus IS DISTINCT FROM 'F')::INT) AS late
+      FROM orders GROUP BY ALL)""",
     "results_round_trip": f"""WITH {_RESULTS}
 SELECT *, 'orders' AS dataset, 'none' AS note FROM results""",
     "streamed_kept_records": f"WITH {_JUDGED} SELECT * FROM kept",

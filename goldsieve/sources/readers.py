@@ -26,26 +26,34 @@ def read_problems(
     return problems if split is None else problems.where(F.col("split") == split)
 
 
-def _json_lines(
+def json_lines(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     record: T.StructType,
     run: T.StructType,
     chosen: dict[str, str],
+    base: str | None = None,
 ) -> DataFrame:
     """JSON lines under run folders; only the chosen folders are opened.
 
     A broken line comes back with nulls and its text in ``_corrupt_record``.
+    ``base`` is the folder that several paths lie in; no path at all is an empty table.
     """
     unknown = sorted(set(chosen) - set(run.fieldNames()))
     if unknown:
         raise ValueError(f"not folder levels of this table: {unknown}")
     corrupt = T.StructField(CORRUPT, T.StringType())
+    schema = T.StructType([*record.fields, corrupt, *run.fields])
+    if not path:
+        return spark.createDataFrame([], schema)
+    reader = spark.read.schema(schema)
+    if base is not None:
+        reader = reader.option("basePath", base)
     lines = (
-        spark.read.schema(T.StructType([*record.fields, corrupt, *run.fields]))
-        .option("mode", "PERMISSIVE")
+        reader.option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .json(path)
+        .select(*schema.fieldNames())
     )
     for name, value in chosen.items():
         # A folder cannot be named after the empty string.
@@ -55,11 +63,11 @@ def _json_lines(
 
 def read_kept(spark: SparkSession, path: str, **run: str) -> DataFrame:
     """Kept completions, for example ``read_kept(spark, path, mode="boring")``."""
-    return _json_lines(spark, path, schemas.KEPT, schemas.KEPT_RUN, run)
+    return json_lines(spark, path, schemas.KEPT, schemas.KEPT_RUN, run)
 
 
 def read_results(spark: SparkSession, path: str, **run: str) -> DataFrame:
-    return _json_lines(spark, path, schemas.RESULT, schemas.RESULT_RUN, run)
+    return json_lines(spark, path, schemas.RESULT, schemas.RESULT_RUN, run)
 
 
 def read_completions(spark: SparkSession, path: str, file_format: str = "json") -> DataFrame:

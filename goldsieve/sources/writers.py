@@ -25,8 +25,7 @@ def _write_lines(
     names = run.fieldNames()
     rows = df.select(
         *record.fieldNames(),
-        # A folder cannot be named after the empty string.
-        *(F.lit(labels[name] or "none").alias(name) for name in names),
+        *(F.lit(labels[name]).alias(name) for name in names),
     )
     (
         rows.write.mode("overwrite")
@@ -37,6 +36,34 @@ def _write_lines(
     )
 
 
+def _named(labels: dict[str, str]) -> dict[str, str]:
+    # A folder cannot be named after the empty string.
+    return {name: value or "none" for name, value in labels.items()}
+
+
+def kept_labels(teacher: str, dataset: str, mode: str, split: str) -> dict[str, str]:
+    """The folder names of a run of kept completions."""
+    return _named(
+        {"teacher": short_name(teacher), "dataset": dataset, "mode": mode, "subset": split}
+    )
+
+
+def result_labels(
+    model: str, teacher: str, dataset: str, mode: str, note: str = "", with_adapter: bool = True
+) -> dict[str, str]:
+    """The folder names of a run of evaluation results."""
+    return _named(
+        {
+            "model": short_name(model),
+            "teacher": short_name(teacher),
+            "dataset": dataset,
+            "mode": mode,
+            "note": note,
+            "with_adapter": str(with_adapter).lower(),
+        }
+    )
+
+
 def write_kept(
     kept: DataFrame, path: str, teacher: str, dataset: str, mode: str, split: str
 ) -> None:
@@ -45,12 +72,7 @@ def write_kept(
     The last level is called ``subset`` because Spark leaves partition columns
     out of the lines, and ``split`` belongs in them.
     """
-    labels = {
-        "teacher": short_name(teacher),
-        "dataset": dataset,
-        "mode": mode,
-        "subset": split,
-    }
+    labels = kept_labels(teacher, dataset, mode, split)
     _write_lines(kept, path, schemas.KEPT, schemas.KEPT_RUN, labels)
 
 
@@ -65,14 +87,7 @@ def write_results(
     with_adapter: bool = True,
 ) -> None:
     """JSON lines, nulls included, under the folders that name the run."""
-    labels = {
-        "model": short_name(model),
-        "teacher": short_name(teacher),
-        "dataset": dataset,
-        "mode": mode,
-        "note": note,
-        "with_adapter": str(with_adapter).lower(),
-    }
+    labels = result_labels(model, teacher, dataset, mode, note, with_adapter)
     _write_lines(results, path, schemas.RESULT, schemas.RESULT_RUN, labels)
 
 

@@ -30,17 +30,28 @@ def has_files(spark: SparkSession, path: str) -> bool:
     return bool(system.exists(folder)) and len(system.listStatus(folder)) > 0
 
 
-def complete(spark: SparkSession, parent: str, level: str) -> list[int]:
-    """Numbers of the folders ``<parent>/<level>=N`` whose write came to its end."""
+def numbered(spark: SparkSession, parent: str, level: str) -> list[int]:
+    """Numbers of the folders ``<parent>/<level>=N``, written to their end or not."""
     folder, system = _folder(spark, parent)
     if not system.exists(folder):
         return []
-    found = []
-    for status in system.listStatus(folder):
-        name, mark = status.getPath().getName(), _folder(spark, f"{status.getPath()}/_SUCCESS")[0]
-        if name.startswith(f"{level}=") and system.exists(mark):
-            found.append(int(name.split("=")[1]))
-    return sorted(found)
+    names = (status.getPath().getName() for status in system.listStatus(folder))
+    return sorted(int(name.split("=")[1]) for name in names if name.startswith(f"{level}="))
+
+
+def complete(spark: SparkSession, parent: str, level: str) -> list[int]:
+    """Numbers of the folders ``<parent>/<level>=N`` whose write came to its end."""
+    system = _folder(spark, parent)[1]
+    return [
+        number
+        for number in numbered(spark, parent, level)
+        if system.exists(_folder(spark, f"{parent}/{level}={number}/_SUCCESS")[0])
+    ]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder, system = _folder(spark, path)
+    system.delete(folder, True)
 
 
 def claim(spark: SparkSession, sink: str, checkpoint: str) -> None:
