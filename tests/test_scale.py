@@ -12,6 +12,7 @@ from goldsieve.operators.numbering import with_row_no
 from goldsieve.operators.reports import batch_report
 from goldsieve.operators.selection import best_of_n
 from goldsieve.operators.voting import vote_phrased, vote_tagged
+from goldsieve.plans.catalog import ARRIVING, _arrive
 from goldsieve.plans.curation import judge, kept_records
 from goldsieve.plans.evaluation import evaluate
 from goldsieve.sources.derived import derived_completions, derived_problems
@@ -196,6 +197,37 @@ def test_heavy_order_is_numbered_right(spark, folder, tmp_path):
     assert per_order.agg(F.max("n")).first()[0] > 6000
 
 
+def test_lines_are_numbered_without_a_copy(spark, folder, monkeypatch):
+    """No order is long, so no sorted copy of all lines is written."""
+    monkeypatch.setattr("goldsieve.durable._folders", made := [])
+    derived_completions(spark, folder)
+    assert made == []
+
+
+def test_long_orders_are_numbered_like_others(spark, folder, monkeypatch):
+    short = derived_completions(spark, folder)
+    monkeypatch.setattr("goldsieve.sources.derived.LONG_ORDER", 4)
+    mixed = derived_completions(spark, folder)
+    assert mixed.exceptAll(short).isEmpty() and short.exceptAll(mixed).isEmpty()
+
+
+def test_known_rows_bound_a_sorting_task(spark, monkeypatch):
+    monkeypatch.setattr("goldsieve.operators.numbering.SORTED_ROWS", 50)
+    monkeypatch.setattr("goldsieve.durable._folders", made := [])
+    rows = spark.range(2_000).select((F.lit(2_000) - F.col("id")).alias("k"))
+    assert with_row_no(rows, ["k"], rows=2_000).where("row_no <> k - 1").isEmpty()
+    [folder] = made
+    assert len(list(pathlib.Path(folder.removeprefix("file:")).glob("part-*"))) >= 30
+
+
+def test_number_of_arriving_files_is_fixed(spark, tmp_path):
+    """Each micro-batch meets all problems, so batches must not grow in number."""
+    rows = spark.range(4_000).repartition(40).selectExpr("id AS problem_id", "1 AS sample_no", "'t' AS text")
+    _arrive(rows, str(tmp_path / "in"))
+    assert len(list((tmp_path / "in").glob("part-*"))) <= ARRIVING
+    assert spark.read.parquet(str(tmp_path / "in")).count() == 4_000
+
+
 def test_shared_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_folder(spark) == (named or spark.sparkContext.getCheckpointDir())
