@@ -13,6 +13,8 @@ from goldsieve.sources.packs import Pack, find_pack
 
 # Which stage's packs serve a purpose.
 _STAGES = {"generate": "generate", "train": "solve", "eval": "solve"}
+# Up to so many characters of packs are sent to the tasks.
+BROADCAST_CHARACTERS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -55,8 +57,10 @@ def _joined_packs(
     """Look the pack up by the ``mode`` column.
 
     Templates are cut at their placeholders, so filling one is a plain
-    concatenation and inserted text is never expanded again.  The join has no
-    hint: the size of the pack table decides.
+    concatenation and inserted text is never expanded again.  A small pack table,
+    told by its characters, is sent to the rows, which stay where they are: dealt by
+    mode, all rows of a mode would meet in one task.  Of a larger one the size that
+    Spark finds decides.
     """
     wanted = packs.where(F.col("stage") == stage)
     require_unique(wanted, "mode")
@@ -71,7 +75,10 @@ def _joined_packs(
         F.col("system").alias("_system"),
         F.split(marked, "\x01", -1).alias("_parts"),
     )
-    joined = df.join(table, F.col(mode) == F.col("_mode"))
+    length = F.length("mode") + F.length("system") + F.length("user_template")
+    characters = wanted.agg(F.sum(F.coalesce(length, F.lit(0)))).first()[0] or 0
+    few = characters <= BROADCAST_CHARACTERS
+    joined = df.join(F.broadcast(table) if few else table, F.col(mode) == F.col("_mode"))
 
     def part(text: Column, at: Column) -> Column:
         chosen = F.translate(text, "\x02\x03", "{}")

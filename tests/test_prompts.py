@@ -112,3 +112,16 @@ def test_attach(spark):
     assert sorted(r.q for r in inner.outstanding.collect()) == ["b", "c"]
     assert [r.text for r in inner.orphans.collect()] == ["z"]
     assert [tuple(r) for r in inner.repeated.collect()] == [(2, 2)]
+
+
+def test_rows_of_a_mode_stay_where_they_are(spark):
+    """A small pack table goes to the rows; a join by mode would gather them in few tasks."""
+    rows = spark.range(100).selectExpr("'q' AS question", "'1' AS golden_answer", "'boring' AS style")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = render_messages(rows, packs_table(spark), "generate", mode_column="style")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        assert found.count() == 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
