@@ -368,9 +368,9 @@ def published_versions(spark: SparkSession, folder: str) -> DataFrame:
     """Kept records as a draft, then final, then by a publisher that is cut off."""
     root, run = new_folder(spark, "published"), (_TEACHER, "orders", "boring", "train")
     kept = written(curate_kept_records(spark, folder), "kept")
-    first = publish_kept(kept.withColumn("split", F.lit("draft")), root, *run)
-    last = publish_kept(kept, root, *run)
-    write_kept(kept, f"{root}/data/publish={last + 1}", *run)
+    first = publish_kept(kept.withColumn("split", F.lit("draft")), root, *run, compression="gzip")
+    last = publish_kept(kept, root, *run, compression="gzip")
+    write_kept(kept, f"{root}/data/publish={last + 1}", *run, compression="gzip")
     names = schemas.KEPT.fieldNames()
     old = read_published_kept(spark, root, version=first).select(F.lit("old").alias("read"), *names)
     new = read_published_kept(spark, root, mode="boring")

@@ -73,12 +73,21 @@ def publish(
 
 
 def publish_kept(
-    kept: DataFrame, root: str, teacher: str, dataset: str, mode: str, split: str
+    kept: DataFrame,
+    root: str,
+    teacher: str,
+    dataset: str,
+    mode: str,
+    split: str,
+    compression: str | None = None,
 ) -> int:
     """:func:`~goldsieve.sources.writers.write_kept`, published."""
     run = (teacher, dataset, mode, split)
     return publish(
-        kept.sparkSession, root, kept_labels(*run), lambda path: write_kept(kept, path, *run)
+        kept.sparkSession,
+        root,
+        kept_labels(*run),
+        lambda path: write_kept(kept, path, *run, compression=compression),
     )
 
 

@@ -2,6 +2,9 @@
 
 The run a file belongs to is in its path, as partition folders, so a reader
 opens only the runs it asks for.  An overwrite replaces those runs alone.
+
+Lines are plain unless a ``compression`` is named (``"gzip"``); readers tell by the file's
+name.  A compressed file is read by one task, so it ends after ``FILE_RECORDS`` lines.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ from pyspark.sql import types as T
 
 from goldsieve import schemas
 
+FILE_RECORDS = 500_000
+
 
 def short_name(model: str) -> str:
     """``model`` of ``organisation/model``."""
@@ -20,15 +25,24 @@ def short_name(model: str) -> str:
 
 
 def _write_lines(
-    df: DataFrame, path: str, record: T.StructType, run: T.StructType, labels: dict[str, str]
+    df: DataFrame,
+    path: str,
+    record: T.StructType,
+    run: T.StructType,
+    labels: dict[str, str],
+    compression: str | None = None,
 ) -> None:
     names = run.fieldNames()
     rows = df.select(
         *record.fieldNames(),
         *(F.lit(labels[name]).alias(name) for name in names),
     )
+    packed = (
+        {"compression": compression, "maxRecordsPerFile": FILE_RECORDS} if compression else {}
+    )
     (
         rows.write.mode("overwrite")
+        .options(**packed)
         .option("partitionOverwriteMode", "dynamic")
         .option("ignoreNullFields", "false")
         .partitionBy(*names)
@@ -65,7 +79,13 @@ def result_labels(
 
 
 def write_kept(
-    kept: DataFrame, path: str, teacher: str, dataset: str, mode: str, split: str
+    kept: DataFrame,
+    path: str,
+    teacher: str,
+    dataset: str,
+    mode: str,
+    split: str,
+    compression: str | None = None,
 ) -> None:
     """JSON lines under ``teacher=/dataset=/mode=/subset=``.
 
@@ -73,7 +93,7 @@ def write_kept(
     out of the lines, and ``split`` belongs in them.
     """
     labels = kept_labels(teacher, dataset, mode, split)
-    _write_lines(kept, path, schemas.KEPT, schemas.KEPT_RUN, labels)
+    _write_lines(kept, path, schemas.KEPT, schemas.KEPT_RUN, labels, compression)
 
 
 def write_results(

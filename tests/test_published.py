@@ -138,3 +138,14 @@ def test_an_empty_first_append_starts_at_zero(spark, tmp_path):
     assert [row["row_no"] for row in found] == [0, 1]
     with pytest.raises(ValueError):
         append_numbers(rows, [], str(tmp_path), 2)
+
+
+def test_compressed_runs_read_back(spark, tmp_path):
+    from goldsieve.sources.published import publish_kept, read_published_kept
+
+    rows = [(n, "train", f"q{n}", "1", "a\nb", "1", None, "text") for n in range(20)]
+    kept = spark.createDataFrame(rows, schemas.KEPT)
+    publish_kept(kept, str(tmp_path), "org/t", "sums", "boring", "train", compression="gzip")
+    assert list(tmp_path.rglob("part-*.json.gz"))
+    back = read_published_kept(spark, str(tmp_path)).select(*schemas.KEPT.fieldNames())
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
