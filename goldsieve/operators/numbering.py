@@ -16,6 +16,9 @@ _ROW_BITS = 33
 # batches then has a top level of 15,259 chunks.
 _CHUNK = 1 << 16
 
+# Rows that one task sorts where the number of rows is known.
+SORTED_ROWS = 200_000
+
 
 def with_row_no(
     df: DataFrame,
@@ -23,6 +26,7 @@ def with_row_no(
     name: str = "row_no",
     keep: Sequence[str] | None = None,
     spread_ties: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """Number the rows 0, 1, .. in the order of ``order_by``.
 
@@ -34,14 +38,22 @@ def with_row_no(
     land in one task.  ``spread_ties`` splits them over tasks by input
     position; use it only on rows that come straight from files, whose position
     stays the same when a task is run again.
+    ``rows`` is the number of rows, if known: a task then sorts about ``SORTED_ROWS``
+    of them.  Otherwise Spark goes by shuffled bytes, and wide texts that
+    compress well make few, large tasks.
     """
     keep = list(keep or df.columns)
     keys = list(order_by)
     if spread_ties:
         df = df.withColumn("_tie", F.monotonically_increasing_id())
         keys.append("_tie")
+    if rows is None:
+        ordered = df.orderBy(*keys)
+    else:
+        tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // SORTED_ROWS))
+        ordered = df.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
     place = written(
-        df.orderBy(*keys)
+        ordered
         .withColumn("_place", F.monotonically_increasing_id())
         .select(*keep, "_place"),
         "numbered",

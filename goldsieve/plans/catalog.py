@@ -290,7 +290,7 @@ def repeated_keys(spark: SparkSession, folder: str) -> DataFrame:
 def _training_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Kept completions as targets, split by a number that each row has alone."""
     kept = written(curate_kept_records(spark, folder), "kept")
-    numbered = with_row_no(kept, ["id", "assistant_answer"])
+    numbered = with_row_no(kept, ["id", "assistant_answer"], rows=kept.count())
     templates = template_kept(numbered, carry=["id", "row_no"])
     return training_set(templates, packs_table(spark), "surreal", key="row_no")
 
