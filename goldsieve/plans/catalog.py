@@ -54,6 +54,10 @@ _TEACHER = "example/teacher-7b"
 # Samples asked for per problem where prompts are fanned out.
 SAMPLES = 3
 BATCH = 18
+# Files that arrive at a stream in one run.  Each micro-batch meets the whole problem
+# table, so files grow with the data, not their number; row groups let tasks share them.
+ARRIVING = 8
+ROW_GROUP = 16 << 20
 
 
 def _prompts(spark: SparkSession, folder: str) -> DataFrame:
@@ -395,12 +399,21 @@ def results_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return results.select(*schemas.RESULT.fieldNames(), "dataset", "note")
 
 
+def _arrive(completions: DataFrame, folder: str) -> None:
+    files = completions.coalesce(ARRIVING).write.mode("append")
+    files.option("parquet.block.size", ROW_GROUP).parquet(folder)
+
+
+def _arriving(spark: SparkSession, folder: str) -> DataFrame:
+    return completion_stream(spark, folder, files_per_batch=2, file_format="parquet")
+
+
 def _streamed(spark: SparkSession, folder: str) -> str:
     arriving, sink = new_folder(spark, "arriving"), new_folder(spark, "sink")
-    derived_completions(spark, folder).drop("variant").write.json(arriving)
+    _arrive(written(derived_completions(spark, folder).drop("variant"), "completions"), arriving)
     prompts = _prompts(spark, folder).drop("answer", "teacher", "mode")
     curate_stream(
-        completion_stream(spark, arriving, files_per_batch=2),
+        _arriving(spark, arriving),
         prompts,
         sink,
         new_folder(spark, "progress"),
@@ -429,8 +442,8 @@ def _in_two_runs(spark: SparkSession, folder: str, start: Callable, between: Cal
     completions = written(derived_completions(spark, folder).drop("variant"), "completions")
     half = F.pmod(F.xxhash64("problem_id", "sample_no"), F.lit(2))
     for number in (0, 1):
-        completions.where(half == number).write.mode("append").json(arriving)
-        start(completion_stream(spark, arriving, files_per_batch=2), progress).awaitTermination()
+        _arrive(completions.where(half == number), arriving)
+        start(_arriving(spark, arriving), progress).awaitTermination()
         if number == 0:
             between()
 
