@@ -4,7 +4,8 @@ Texts are cut into pieces and these into words.  The relation ``R1`` has a row f
 occurrence of a word: its place, and the word.  Places count the words of a block and one gap
 per border of a piece, so *the next place* is the adjacent position of the same
 piece or nothing.  The relations are persisted sorted by place, in blocks of whole
-texts of one language; within a block the place is the array index.
+texts of one language; within a block the place is the array index.  A block is kept in rows
+of ``PART_PLACES`` places, and a task works on it row by row.
 
 For each length k:
 
@@ -50,6 +51,8 @@ LONGEST = 3
 TOP = 2000
 SUBSUMED_PERCENT = 50
 BLOCK_WORDS = 1 << 22
+# Places of a block that one row holds: rows pass through buffers that are held several times over.
+PART_PLACES = 1 << 18
 UNKNOWN = "und"
 _IDS = 1 << 31
 
@@ -84,12 +87,12 @@ def occurrences(text: memoryview | bytes, codes: _Codes) -> list[np.ndarray]:
     return [*found, np.zeros(1, np.int32)]
 
 
-_BLOCK = "block bigint, lang string, n bigint, words binary, r1 binary, rk binary, names binary"
-_BLOCK_TYPES = [("block", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.binary()), ("r1", pa.binary()), ("rk", pa.binary()), ("names", pa.binary())]
+_BLOCK = "block bigint, part bigint, lang string, n bigint, words binary, r1 binary, rk binary, names binary"
+_BLOCK_TYPES = [("block", pa.int64()), ("part", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.binary()), ("r1", pa.binary()), ("rk", pa.binary()), ("names", pa.binary())]
 
 
 def _first_relation(docs: DataFrame) -> DataFrame:
-    """Blocks of ``R1``, with the words' codes in the block as phrases."""
+    """``R1``, with the words' codes in the block as phrases; a part has its words and, as names, their codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -102,11 +105,14 @@ def _first_relation(docs: DataFrame) -> DataFrame:
                 places = np.concatenate(parts)
                 gap = places == 0
                 places = places[~(gap & np.concatenate(([True], gap[:-1])))]
-                if len(places):
-                    words = b"\n".join(list(codes)[2:])
-                    row = [block, lang, int((places > 0).sum()), words, None, places.tobytes(), None]
+                words = list(codes)[1:]
+                for low in range(0, len(places), PART_PLACES):
+                    part = places[low : low + PART_PLACES]
+                    met = np.flatnonzero(np.bincount(part)[1:]) + 1
+                    named = b"\n".join([words[code] for code in met.tolist()])
+                    row = [block, low, lang, int((part > 0).sum()), named, None, part.tobytes(), _packed(met)]
                     yield _batch([[value] for value in row], _BLOCK_TYPES)
-                    block += 1
+                block += len(places) > 0
             held.clear()
 
         for batch in batches:
@@ -131,90 +137,152 @@ def merge_join(r1: np.ndarray | None, rk: np.ndarray, k: int) -> np.ndarray:
     keys = np.zeros(len(rk), np.int64)
     if r1 is None:
         keys[:] = rk
-    elif len(rk) >= k:
-        head, last = rk[: len(rk) - k + 1].astype(np.int64), r1[k - 1 :].astype(np.int64)
-        keys[: len(head)] = np.where((head > 0) & (last > 0), head << 32 | last, 0)
+    else:
+        count = max(0, min(len(rk), len(r1) - k + 1))
+        head, last = rk[:count].astype(np.int64), r1[k - 1 : k - 1 + count].astype(np.int64)
+        keys[:count] = np.where((head > 0) & (last > 0), head << 32 | last, 0)
     return keys
 
 
-def _relation(value: pa.Scalar, kind: type = np.int32) -> np.ndarray | None:
-    return np.frombuffer(value.as_buffer(), kind) if value.is_valid else None
+def _packed(names: np.ndarray) -> bytes:
+    """Ascending numbers by their differences, which compress better."""
+    return np.diff(names, prepend=0).astype(np.int64).tobytes()
+
+
+def _relation(value: pa.Scalar) -> np.ndarray | None:
+    return np.frombuffer(value.as_buffer(), np.int32) if value.is_valid else None
+
+
+def _names(value: pa.Scalar) -> np.ndarray | None:
+    return np.cumsum(np.frombuffer(value.as_buffer(), np.int64)) if value.is_valid else None
+
+
+def _by_block(parts: list[np.ndarray], names: list[np.ndarray | None]) -> tuple[list[np.ndarray], np.ndarray | None]:
+    """The parts' phrases by their index among the names of all parts, and these names."""
+    if names[0] is None:
+        return parts, None
+    whole = np.unique(np.concatenate(names))
+    indexes = (np.append(0, np.searchsorted(whole, own) + 1).astype(np.int32) for own in names)
+    return [index[part] for index, part in zip(indexes, parts)], whole
 
 
 def _counted(relation: DataFrame, k: int) -> DataFrame:
-    """``block, head, last, n`` (``lang, word`` for single words): the counts inside each block."""
+    """``block, head, last, n`` (``lang, word`` for single words): the counts inside each block.
+
+    The parts of a block follow one another.  Should two tasks read them, a phrase has two
+    rows, which add up like those of two blocks.
+    """
     schema = [("block", pa.int64()), ("head", pa.int64()), ("last", pa.int64()), ("n", pa.int64())]
     more = [("lang", pa.string()), ("word", pa.string())] if k == 1 else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, lang, held, named = None, None, [], {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            r1s, rks, names = zip(*held)
+            held.clear()
+            rks, whole = _by_block(rks, names if k > 1 else [None])
+            keys = [part[part > 0] for part in (merge_join(r1, rk, k) for r1, rk in zip(r1s, rks))]
+            keys = np.concatenate(keys)
+            keys.sort()
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)])
+            n = np.diff(np.append(first, len(keys)))
+            keys = keys[first]
+            for low in range(0, len(keys), 100_000):
+                part = keys[low : low + 100_000]
+                head, last = (np.zeros_like(part), part) if k == 1 else (part >> 32, part & (_IDS - 1))
+                if whole is not None:
+                    head = whole[head - 1]
+                columns = [np.full(len(part), block), head, last, n[low : low + 100_000]]
+                if k == 1:
+                    columns += [[lang] * len(part), [named[code] for code in part.tolist()]]
+                yield _batch(columns, schema + more)
+            named.clear()
+
         for batch in batches:
-            for block, lang, words, r1, rk, names in zip(*batch.columns):
-                keys = merge_join(_relation(r1), _relation(rk), k)
-                keys, n = np.unique(keys[keys > 0], return_counts=True)
-                head, last = (np.zeros_like(keys), keys) if k == 1 else (keys >> 32, keys & (_IDS - 1))
-                if names.is_valid:
-                    head = _relation(names, np.int64)[head - 1]
-                named = words.as_py().split(b"\n") if k == 1 else None
-                for low in range(0, len(keys), 100_000):
-                    part = slice(low, low + 100_000)
-                    columns = [np.full(len(keys[part]), block.as_py()), head[part], last[part], n[part]]
-                    if named is not None:
-                        columns += [[lang.as_py()] * len(keys[part]), [named[code - 1] for code in keys[part].tolist()]]
-                    yield _batch(columns, schema + more)
+            for own, its, words, *parts in zip(*batch.columns):
+                if held and own.as_py() != block:
+                    yield from flush()
+                block, lang = own.as_py(), its.as_py()
+                r1, rk, names = _relation(parts[0]), _relation(parts[1]), _names(parts[2])
+                held.append((r1, rk, names))
+                if k == 1:
+                    named.update(zip(names.tolist(), words.as_py().split(b"\n")))
+        if held:
+            yield from flush()
 
     out = "block bigint, head bigint, last bigint, n bigint" + ", lang string, word string" * (k == 1)
     return relation.select("block", "lang", "words", "r1", "rk", "names").mapInArrow(run, out)
 
 
-def _semi_joined(relation: DataFrame, known: DataFrame, k: int) -> DataFrame:
+def _semi_joined(relation: DataFrame, known: DataFrame, k: int, longest: int) -> DataFrame:
     """``R(k)``: the occurrences of the phrases in ``known(block, head, last, id)``.
 
-    Phrases are held by their index among the block's, ``names`` has their numbers; single
-    words are held by their numbers.
+    Phrases are held by their index among the part's, ``names`` has their numbers; single
+    words are held by their numbers.  A part's ``r1`` goes on for the ``longest - 1`` places
+    that its last phrases reach into.
     """
     none, parts = F.lit(None), ("r1", "rk", "names")
+    names = F.col("names") if k > 1 else none.cast("binary").alias("names")
     rows = relation.select(
-        "block", *(none.cast("bigint").alias(name) for name in ("head", "last", "id")), *parts
-    ).unionByName(known.select("block", "head", "last", "id", *(none.cast("binary").alias(part) for part in parts)))
+        "block", none.cast("bigint").alias("head"), F.col("part").alias("last"), none.cast("bigint").alias("id"),
+        "r1", "rk", names,
+    ).unionByName(known.select("block", "head", "last", "id", *(none.cast("binary").alias(part) for part in parts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the block, its relations, and the phrases that followed
-
-        def flush() -> pa.RecordBatch:
-            block, r1, rk, names, found = held
-            wanted = merge_join(r1, rk, k)
-            phrases, ids = np.zeros(len(wanted), np.int32), np.empty(0, np.int64)
-            if found:
-                head, last, ids = (np.concatenate(column) for column in zip(*found))
-                if names is not None:
-                    head = np.searchsorted(names, head) + 1
-                keys = last if k == 1 else head << 32 | last
-                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                index = ids if k == 1 else np.arange(1, len(keys) + 1)
-                phrases = np.where(keys[at] == wanted, index[at], 0).astype(np.int32)
-            row = [block, None, None, None, (phrases if k == 1 else r1).tobytes(), phrases.tobytes()]
-            return _batch([[value] for value in [*row, None if k == 1 else ids.tobytes()]], _BLOCK_TYPES)
+        block, held, found = None, [], []  # the block's parts, and the phrases that followed
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            at, r1s, rks, names = zip(*held)
+            rks, whole = _by_block(rks, names)
+            head, last, ids = (np.concatenate(column) for column in zip(*found)) if found else [np.empty(0, np.int64)] * 3
+            held.clear(), found.clear()
+            if whole is not None:
+                head = np.searchsorted(whole, head) + 1
+            keys, last = last if k == 1 else head << 32 | last, None
+            if k == 1:
+                rks = [_looked_up(keys, rk, ids) for rk in rks]
+                whole = np.concatenate(rks)
+            for low, r1, rk in zip(at, r1s, rks):
+                if k == 1:
+                    r1, own = whole[low : low + len(rk) + longest - 1], None
+                else:
+                    wanted = merge_join(r1, rk, k)
+                    rk = _looked_up(keys, wanted, np.arange(1, len(keys) + 1))
+                    met = np.unique(rk[rk > 0])
+                    own, rk = _packed(ids[met - 1]), np.where(rk > 0, np.searchsorted(met, rk) + 1, 0).astype(np.int32)
+                row = [block, low, None, None, None, r1.tobytes(), rk.tobytes(), own]
+                yield _batch([[value] for value in row], _BLOCK_TYPES)
 
         for batch in batches:
-            blocks = batch.column(0).to_numpy()
-            # A block's relation stands before its phrases, which are in order.
+            blocks, numbers = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            # A block's parts stand in order before its phrases, which are in order.
             heads = np.flatnonzero(batch.column(1).is_null().to_numpy(zero_copy_only=False)).tolist()
             for low, high in zip([0, *heads], [*heads, len(blocks)]):
                 if low in heads and low < high:
-                    if held is not None:
-                        yield flush()
+                    if held and blocks[low] != block:
+                        yield from flush()
+                    block = int(blocks[low])
                     r1, rk = (_relation(batch.column(at)[low]) for at in (4, 5))
-                    held = int(blocks[low]), r1, rk, _relation(batch.column(6)[low], np.int64), []
+                    held.append((int(numbers[low]), r1, rk, _names(batch.column(6)[low])))
                     low += 1
                 if low < high:
                     columns = (batch.column(at).slice(low, high - low) for at in (1, 2, 3))
-                    held[4].append([column.to_numpy(zero_copy_only=False).astype(np.int64) for column in columns])
-        if held is not None:
-            yield flush()
+                    found.append([column.to_numpy(zero_copy_only=False).astype(np.int64) for column in columns])
+        if held:
+            yield from flush()
 
     return rows.repartition("block").sortWithinPartitions("block", "head", "last").mapInArrow(run, _BLOCK)
 
 
+def _looked_up(keys: np.ndarray, wanted: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The values of the ascending ``keys``, zero for what is not among them."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int32)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0).astype(np.int32)
+
+
 def _frequent(counts: DataFrame, least: int, *phrase: str) -> DataFrame:
     """The rows, one per block, of phrases that stand ``least`` times in all, with that count ``f``.
 
@@ -247,7 +315,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     level = words.select("id", "lang", F.array("id").alias("ids"), F.col("word").alias("phrase"), "f")
     levels, known = [level], near.join(words, ["lang", "word"]).select("block", "head", "last", "id")
     for k in range(2, longest + 1):
-        smaller = scratch.write(_semi_joined(relation, known, k - 1), "r")
+        smaller = scratch.write(_semi_joined(relation, known, k - 1, longest), "r")
         scratch.drop(relation, near)
         relation = smaller
         counts = _counted(relation, k)

@@ -95,3 +95,26 @@ def test_products_beyond_64_bits(spark):
     one = spark.range(1).selectExpr("30000000000001L AS a", "30000000000002L AS l", "30000000000003L AS r")
     a, left, right = 30000000000001, 30000000000002, 30000000000003
     assert one.select(mined.score(one["a"], one["l"], one["r"])).first()[0] == 10**6 * a * a // (left * right)
+
+
+@pytest.mark.parametrize("longest", [2, 3, 4])
+def test_blocks_of_many_short_rows(spark, monkeypatch, longest):
+    """No row holds more than a part, phrases across its border count, and no row grows with a block."""
+    monkeypatch.setattr(mined, "PART_PLACES", 7)
+    rng = random.Random(8)
+    rows = [(" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 50))) + rng.choice(["", ". c d"]), rng.choice(["en", "de"])) for _ in range(40)]
+    wanted = _check(spark, rows, least=3, longest=longest)
+    assert max(len(row[2].split(" ")) for row in wanted) == longest
+    relation = mined._first_relation(_docs(spark, rows))
+    assert 0 < relation.selectExpr("max(length(rk))").first()[0] <= 7 * 4
+
+
+def test_parts_of_a_block_in_two_tasks(spark, monkeypatch):
+    """Two tasks that share a block's parts give a phrase two rows, and the same result."""
+    monkeypatch.setattr(mined, "PART_PLACES", 7)
+    write = mined.Scratch.write
+    monkeypatch.setattr(mined.Scratch, "write", lambda self, df, what: write(self, df.repartition(5) if what in ("r1", "r") else df, what))
+    rng = random.Random(9)
+    rows = [(" ".join(rng.choice("abcd") for _ in range(30)), "en") for _ in range(40)]
+    for longest in (3, 4):
+        _check(spark, rows, least=3, longest=longest)
