@@ -46,6 +46,8 @@ LENGTH = 400
 GRAM = 128
 CELL = 16
 STRETCH = 1 << 19
+# Bytes of short texts that are hashed at once.
+PACK = 1 << 16
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -98,47 +100,110 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:count], ahead[width - 1 : width - 1 + count])
 
 
+def _anchors(part: Stretch, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all grams, and the anchor of each start."""
+    grams = part.hashes(slice(0, len(part.data) - gram + 1), slice(gram, None))
+    keyed = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+    return grams, (window_minima(keyed, length - gram + 1) & _PLACE).astype(np.int64)
+
+
+def _block_words(part: Stretch, grams: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    shape = _mixed(((at - first) * 1024 + (last - first)).astype(np.uint64))
+    whole = part.hashes(first, last + length) ^ shape
+    return part.tokens(at), grams[at].view(np.int64), whole.view(np.int64)
+
+
 def blocks(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
     """``w0, w1, w2, first, last, anchor`` arrays: the blocks of starts of a text."""
     starts = len(data) - length + 1
     for low in range(0, starts, STRETCH):
         part = Stretch(data[low : min(low + STRETCH, starts) + length - 1])
-        count = len(part.data) - length + 1
-        grams = part.hashes(slice(0, len(part.data) - gram + 1), slice(gram, None))
-        keyed = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
-        anchor = (window_minima(keyed, length - gram + 1) & _PLACE).astype(np.int64)
+        grams, anchor = _anchors(part, length, gram)
         first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-        last = np.append(first[1:], count) - 1
+        last = np.append(first[1:], len(anchor)) - 1
         at = anchor[first]
-        shape = _mixed(((at - first) * 1024 + (last - first)).astype(np.uint64))
-        whole = part.hashes(first, last + length) ^ shape
-        words = part.tokens(at), grams[at].view(np.int64), whole.view(np.int64)
-        yield *words, first + low, last + low, at + low
+        yield *_block_words(part, grams, at, first, last, length), first + low, last + low, at + low
+
+
+def bordered(changes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``text, first, last`` of the runs between ``changes`` in the ascending ranges ``[low, high)``."""
+    border = np.append(changes, False)
+    border[low] = border[high] = True
+    first = np.flatnonzero(border[:-1])
+    last = np.append(first[1:], len(changes)) - 1
+    text = np.searchsorted(low, first, "right") - 1
+    inside = (text >= 0) & (first < high[text])
+    return text[inside], first[inside], last[inside]
+
+
+def packs(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours of about ``PACK`` bytes: short texts are worked on together."""
+    low, size = 0, 0
+    for at, more in enumerate(sizes):
+        if size and size + more > PACK:
+            yield low, at
+            low, size = at, 0
+        size += more
+    if low < len(sizes):
+        yield low, len(sizes)
+
+
+def packed_blocks(texts: list[np.ndarray], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
+    """:func:`blocks` of texts of ``length`` bytes or more, the number of the text first."""
+    for one, end in packs([len(text) for text in texts]):
+        if end - one == 1:
+            for found in blocks(texts[one], length, gram):
+                yield np.full(len(found[0]), one), *found
+            continue
+        sizes = np.array([len(text) for text in texts[one:end]])
+        low = np.cumsum(sizes) - sizes
+        part = Stretch(np.concatenate(texts[one:end]))
+        grams, anchor = _anchors(part, length, gram)
+        changes = np.concatenate(([True], anchor[1:] != anchor[:-1]))
+        text, first, last = bordered(changes, low, low + sizes - length + 1)
+        at, off = anchor[first], low[text]
+        yield text + one, *_block_words(part, grams, at, first, last, length), first - off, last - off, at - off
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ``counts[n]`` rows of each ``n``: the ``n`` of each row, and its number among them."""
+    own = np.repeat(np.arange(len(counts)), counts)
+    return own, np.arange(len(own)) - (np.cumsum(counts) - counts)[own]
 
 
 def cells(
-    data: np.ndarray, low: int, high: int, anchor: int, length: int = LENGTH, cell: int = CELL
+    data: list[bytes], low: np.ndarray, high: np.ndarray, anchor: np.ndarray, length: int = LENGTH, cell: int = CELL
 ) -> tuple[np.ndarray, ...]:
-    """``w0, w1, w2, first, last`` of a block's cells; ``data`` starts at byte ``low``."""
-    part = Stretch(data)
-    number = np.arange((anchor - high) // cell, (anchor - low) // cell + 1)
-    ends = anchor - number * cell - low  # the last start of each whole cell
-    first, last = np.maximum(ends - cell + 1, 0), np.minimum(ends, high - low)
+    """``block, w0, w1, w2, first, last`` of the cells of blocks; their ``data`` start at the bytes ``low``."""
+    part = Stretch(np.frombuffer(b"".join(data), np.uint8))
+    sizes = np.array([len(one) for one in data])
+    least = (anchor - high) // cell
+    own, number = _spread((anchor - low) // cell + 1 - least)
+    number += least[own]
+    ends = (anchor - low)[own] - number * cell  # the last start of each whole cell
+    first, last = np.maximum(ends - cell + 1, 0), np.minimum(ends, (high - low)[own])
+    off = (np.cumsum(sizes) - sizes)[own]
     # What all strings of the whole cell share; those of a clipped cell have it too.
-    core_from, core_to = ends, ends - cell + 1 + length
+    core_from, core_to = ends + off, ends - cell + 1 + length + off
     shared = part.hashes(core_from, core_to) ^ _mixed(number.astype(np.uint64))
     shape = _mixed(((ends - first) * 1024 + (ends - last)).astype(np.uint64))
-    whole = part.hashes(first, last + length) ^ shape
+    whole = part.hashes(first + off, last + length + off) ^ shape
     lead = part.tokens(core_from)
-    return lead, shared.view(np.int64), whole.view(np.int64), first + low, last + low
+    return own, lead, shared.view(np.int64), whole.view(np.int64), first + low[own], last + low[own]
 
 
-def strings(data: np.ndarray, low: int, first: int, last: int, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """``w0, w1, w2, first, last`` of each start; ``data`` starts at byte ``low``."""
-    part = Stretch(data[first - low : last - low + length])
-    place = np.arange(last - first + 1)
+def strings(
+    data: list[bytes], low: np.ndarray, block: np.ndarray, first: np.ndarray, last: np.ndarray, length: int = LENGTH
+) -> tuple[np.ndarray, ...]:
+    """``block, w0, w1, w2, start`` of the starts ``first`` to ``last`` of blocks, given by their number."""
+    part = Stretch(np.frombuffer(b"".join(data), np.uint8))
+    sizes = np.array([len(one) for one in data])
+    off = np.cumsum(sizes) - sizes - low
+    own, start = _spread(last - first + 1)
+    start, own = start + first[own], block[own]
+    place = start + off[own]
     whole = part.hashes(place, place + length).view(np.int64)
-    return part.tokens(place), whole, part.tokens(place + length - 8), place + first, place + first
+    return own, part.tokens(place), whole, part.tokens(place + length - 8), start
 
 
 def multikey_order(words: list[np.ndarray]) -> np.ndarray:
@@ -271,12 +336,11 @@ def _bytes(value: pa.Scalar) -> np.ndarray:
 def _all_blocks(named: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            docs, rows = (batch.column(at).to_numpy() for at in (0, 1))
             held, size = [], 0
-            for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                for found in blocks(_bytes(text), length, gram):
-                    n = len(found[0])
-                    held.append([*found[:3], np.full(n, doc), np.full(n, row), *found[3:]])
-                    size += n
+            for text, *found in packed_blocks([_bytes(text) for text in batch.column(2)], length, gram):
+                held.append([*found[:3], docs[text], rows[text], *found[3:]])
+                size += len(text)
                 if size > 100_000:
                     yield _units([np.concatenate(column) for column in zip(*held)])
                     held, size = [], 0
@@ -318,14 +382,12 @@ def _cells_of(held: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, row, first, last, anchor, data in zip(*batch.columns):
-                low = first.as_py()
-                found = cells(_bytes(data), low, last.as_py(), anchor.as_py(), length)
-                n = len(found[0])
-                out.append([*found[:3], np.full(n, doc.as_py()), np.full(n, row.as_py()), *found[3:], np.full(n, low)])
-            if out:
-                yield _units([np.concatenate(column) for column in zip(*out)])
+            doc, row, low, high, anchor = (batch.column(at).to_numpy().astype(np.int64) for at in range(5))
+            data = batch.column(5).to_pylist()
+            for one, end in packs([len(part) for part in data]):
+                own, *found = cells(data[one:end], low[one:end], high[one:end], anchor[one:end], length)
+                own += one
+                yield _units([*found[:3], doc[own], row[own], *found[3:], low[own]])
 
     return held.select("doc", "row", "first", "last", "anchor", "data").mapInArrow(run, UNITS)
 
@@ -339,15 +401,15 @@ def _strings_of(held: DataFrame, probes: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, row, block, data, wanted in zip(*batch.columns):
-                low, bytes_ = block.as_py(), _bytes(data)
-                for cell in wanted.as_py():
-                    found = strings(bytes_, low, cell["first"], cell["last"], length)
-                    n = len(found[0])
-                    out.append([*found[:3], np.full(n, doc.as_py()), np.full(n, row.as_py()), *found[3:], np.full(n, low)])
-            if out:
-                yield _units([np.concatenate(column) for column in zip(*out)])
+            doc, row, low = (batch.column(at).to_numpy().astype(np.int64) for at in range(3))
+            data, wanted = batch.column(3).to_pylist(), batch.column(4)
+            for one, end in packs([len(part) for part in data]):
+                lists = wanted.slice(one, end - one)
+                block = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+                first, last = (lists.flatten().field(at).to_numpy().astype(np.int64) for at in (0, 1))
+                own, *words, start = strings(data[one:end], low[one:end], block, first, last, length)
+                own += one
+                yield _units([*words, doc[own], row[own], start, start, low[own]])
 
     joined = blocks_.join(lists, ["doc", "row", "block"])
     return joined.select("doc", "row", "block", "data", "cells").mapInArrow(run, UNITS)

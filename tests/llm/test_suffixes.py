@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from goldsieve.llm import suffixes
+from goldsieve.llm import passages, suffixes, word_runs
 from goldsieve.llm.suffixes import blocks, multikey_order, window_minima, without_repeats
 from goldsieve.llm.word_runs import shared_runs
 
@@ -138,3 +138,19 @@ def test_shared_words_of_odd_rows(odd_docs):
     assert found[5, 750] and found[6, 750] and not found[None, 0] and not found[1, 0] and not found[8, 1_000_000]
     none = odd_docs.where("false")
     assert without_repeats(none, runs=shared_runs(none)).count() == 0
+
+
+def test_texts_hashed_together_are_as_hashed_alone(monkeypatch):
+    monkeypatch.setattr(suffixes, "PACK", 2_000)
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcd") * rng.randint(1, 4) for _ in range(rng.choice([0, 3, 30, 200, 2_000]))).encode() for _ in range(80)]
+    texts = [text + rng.choice([b"", b" ", b"\n"]) for text in texts]
+    long = [np.frombuffer(text, np.uint8) for text in texts if len(text) >= 40]
+    alone = [(n, *row) for n, text in enumerate(long) for found in blocks(text, 40, 12) for row in zip(*(c.tolist() for c in found))]
+    many = list(suffixes.packed_blocks(long, 40, 12))
+    assert sorted(alone) == sorted(row for found in many for row in zip(*(c.tolist() for c in found)))
+    assert len(many) < len(long)
+    alone = [(n, *row) for n, text in enumerate(texts) for found in passages.blocks(passages.word_hashes(text), 4, 12) for row in zip(*(c.tolist() for c in found))]
+    many = list(word_runs.packed_blocks(texts, 4, 12))
+    assert sorted(alone) == sorted(row for found in many for row in zip(*(c.tolist() for c in found)))
+    assert len(many) < len(texts)
