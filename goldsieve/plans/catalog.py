@@ -62,7 +62,11 @@ ROW_GROUP = 16 << 20
 
 def _prompts(spark: SparkSession, folder: str) -> DataFrame:
     """Problems with a dense 1-based id."""
-    numbered = with_row_no(derived_problems(spark, folder), ["problem_id"])
+    return _with_id(derived_problems(spark, folder))
+
+
+def _with_id(problems: DataFrame) -> DataFrame:
+    numbered = with_row_no(problems, ["problem_id"])
     return numbered.withColumn("id", F.col("row_no") + 1).drop("row_no")
 
 
@@ -103,7 +107,9 @@ def curate_verdicts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def curate_kept_records(spark: SparkSession, folder: str) -> DataFrame:
-    return curate(_prompts(spark, folder), derived_completions(spark, folder)).kept
+    # Numbering writes what it is given, so it gets what a record is made of.
+    asked = derived_problems(spark, folder).select("problem_id", "question", "gold")
+    return curate(_with_id(asked), derived_completions(spark, folder)).kept
 
 
 def curate_rejects(spark: SparkSession, folder: str) -> DataFrame:
@@ -362,8 +368,8 @@ def cleaned_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def kept_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Kept records through the JSON-lines sink, read back by partition."""
-    path = new_folder(spark, "kept")
-    write_kept(curate_kept_records(spark, folder), path, _TEACHER, "orders", "boring", "train")
+    path, run = new_folder(spark, "kept"), (_TEACHER, "orders", "boring", "train")
+    write_kept(curate_kept_records(spark, folder), path, *run, compression="gzip")
     kept = read_kept(spark, path, mode="boring", subset="train")
     return kept.select(*schemas.KEPT.fieldNames(), "teacher", "dataset")
 

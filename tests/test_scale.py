@@ -12,10 +12,10 @@ from goldsieve.operators.numbering import with_row_no
 from goldsieve.operators.reports import batch_report
 from goldsieve.operators.selection import best_of_n
 from goldsieve.operators.voting import vote_phrased, vote_tagged
-from goldsieve.plans.catalog import ARRIVING, _arrive
+from goldsieve.plans.catalog import ARRIVING, _arrive, kept_round_trip
 from goldsieve.plans.curation import judge, kept_records
 from goldsieve.plans.evaluation import evaluate
-from goldsieve.sources.derived import derived_completions, derived_problems
+from goldsieve.sources.derived import _long_orders, derived_completions, derived_problems
 
 HOT = 3_000
 
@@ -231,3 +231,22 @@ def test_number_of_arriving_files_is_fixed(spark, tmp_path):
 def test_shared_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_folder(spark) == (named or spark.sparkContext.getCheckpointDir())
+
+
+def test_kept_lines_are_packed_and_numbering_takes_no_more_than_it_needs(spark, folder, monkeypatch):
+    monkeypatch.setattr("goldsieve.durable._folders", made := [])
+    back = kept_round_trip(spark, folder)
+    assert back.count() > 0 and all(name.endswith(".json.gz") for name in back.inputFiles())
+    [numbered] = [name for name in made if "-numbered-" in name]
+    assert sorted(spark.read.parquet(numbered).columns) == ["_place", "gold", "problem_id", "question"]
+
+
+def test_long_orders_are_found_by_groups_of_keys(spark, monkeypatch):
+    """Keys are counted only if a group of them has so many lines."""
+    monkeypatch.setattr("goldsieve.sources.derived.LONG_ORDER", 30)
+    monkeypatch.setattr("goldsieve.sources.derived.KEY_GROUPS", 4)
+    keys = spark.range(40).selectExpr("id % 13 AS l_orderkey")
+    heavy = spark.range(62).selectExpr("100 + id % 2 AS l_orderkey")
+    assert _long_orders(spark.range(13).selectExpr("id AS l_orderkey")) == []
+    assert _long_orders(keys.unionByName(keys)) == []
+    assert sorted(_long_orders(keys.unionByName(heavy))) == [100, 101]
